@@ -43,3 +43,31 @@ def R(expr: str, digits: int = DIGITS) -> str:
 def circ_sql(col: str) -> str:
     d = f"degrees(atan2(avg(sin(radians({col}))), avg(cos(radians({col})))))"
     return f"(CASE WHEN {d} < 0 THEN {d} + 360 ELSE {d} END)"
+
+
+def pmod360_sql(x: str) -> str:
+    """Spark ``pmod(x, 360)`` for doubles: the remainder, shifted only when negative."""
+    r = f"(({x}) % 360e0)"
+    return f"(CASE WHEN {r} < 0 THEN ({r} + 360e0) % 360e0 ELSE {r} END)"
+
+
+def sector_sql(x: str) -> str:
+    d = pmod360_sql(x)
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {d} >= 315 OR {d} < 45 THEN 'N' WHEN {d} < 135 THEN 'E' "
+            f"WHEN {d} < 225 THEN 'S' ELSE 'W' END)")
+
+
+def blend_colour_sql(x: str) -> str:
+    """DuckDB spelling of ``direction_blend_colour`` (same expression tree, same float order)."""
+    from windlass.functions.scalar import CARDINAL_RGB
+    d = pmod360_sql(x)
+    dists = [f"least(abs({float(a)}e0 - {d}), 360e0 - abs({float(a)}e0 - {d}))" for a, _ in CARDINAL_RGB]
+    m = f"least({', '.join(dists)})"
+    w = f"(0.1e0 + (1e0 - {m} / 45e0) * 0.9e0)"
+    chans = []
+    for ch in range(3):
+        case = "CASE " + " ".join(f"WHEN {dists[i]} = {m} THEN {CARDINAL_RGB[i][1][ch]}e0"
+                                  for i in range(3)) + f" ELSE {CARDINAL_RGB[3][1][ch]}e0 END"
+        chans.append(f"CAST(floor(({w} * ({case}) + (1e0 - {w})) * 255e0) AS INTEGER)")
+    return (f"(CASE WHEN {x} IS NULL OR {m} = 45 THEN '#ffffff' "
+            f"ELSE printf('#%02x%02x%02x', {', '.join(chans)}) END)")
