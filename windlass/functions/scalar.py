@@ -60,7 +60,7 @@ def make_date_safe(y, m, d) -> Column:
 
 # F4 -- difference in hours
 def hours_between(start, end) -> Column:
-    return F.timestampdiff("MICROSECOND", _c(start), _c(end)) / F.lit(3600000000e0)
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(3600000000e0)
 
 
 # F5 -- season

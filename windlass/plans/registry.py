@@ -71,3 +71,18 @@ def blend_colour_sql(x: str) -> str:
         chans.append(f"CAST(floor(({w} * ({case}) + (1e0 - {w})) * 255e0) AS INTEGER)")
     return (f"(CASE WHEN {x} IS NULL OR {m} = 45 THEN '#ffffff' "
             f"ELSE printf('#%02x%02x%02x', {', '.join(chans)}) END)")
+
+
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = 6371.0) -> str:
+    """DuckDB spelling of ``haversine_km`` (same expression order)."""
+    a = (f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * "
+         f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)")
+    return f"({2 * radius}e0 * asin(sqrt(least(1.0e0, {a}))))"
+
+
+def hash_sql(key: str, seed: int = 42) -> str:
+    return f"md5(concat(CAST({key} AS VARCHAR), ':{seed}'))"
+
+
+def bucket_sql(key: str, seed: int = 42, buckets: int = 100) -> str:
+    return f"(CAST(('0x' || substr({hash_sql(key, seed)}, 1, 6)) AS BIGINT) % {buckets})"
