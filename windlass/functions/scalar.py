@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # ---- fixed values (must equal the reference's) -------------------------------------------
 # Seasons by month: 12, 1, 2 Winter; 3-5 Spring; 6-8 Summer; 9-11 Fall.
 SEASONS = ["Winter", "Spring", "Summer", "Fall"]
+# Display order of seasons in the seasonal reports.
+SEASON_ORDER = ["Spring", "Summer", "Fall", "Winter"]
 # Compass labels of the normals' direction codes 1..8.
 COMPASS_8 = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
 # Time-of-day bins, left-closed bounds 0, 6, 12, 18, 24, with these labels.
@@ -73,7 +75,7 @@ def season(month) -> Column:
 def season_position(label) -> Column:
     lab = _c(label)
     out = None
-    for i, s in enumerate(SEASONS):
+    for i, s in enumerate(SEASON_ORDER):
         out = (F.when(lab == s, i) if out is None else out.when(lab == s, i))
     return out
 
