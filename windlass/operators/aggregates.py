@@ -29,11 +29,12 @@ def quantile(col, p: float, approx: bool = False, accuracy: int = 10000) -> Colu
 
 
 def round_doubles(df: DataFrame, digits: int | None) -> DataFrame:
-    """Half-even rounding of every double column (pandas ``round`` semantics)."""
+    """Half-even rounding of every double column (pandas ``round`` semantics); ``+ 0.0`` turns
+    a negative zero into 0.0 so equal results hash alike."""
     if digits is None:
         return df
-    return df.select(*[F.bround(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
-                       else F.col(f.name) for f in df.schema.fields])
+    return df.select(*[(F.bround(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+                       if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
 
 
 def wind_profile(obs: DataFrame, keys: Sequence[str], speed: str = "wspd", direction: str = "wdir",

@@ -37,7 +37,7 @@ DIGITS = 6
 
 def R(expr: str, digits: int = DIGITS) -> str:
     """Half-even rounding, DuckDB spelling of Spark's ``bround``."""
-    return f"round_even({expr}, {digits})"
+    return f"(round_even({expr}, {digits}) + 0e0)"
 
 
 def circ_sql(col: str) -> str:
