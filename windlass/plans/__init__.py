@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every plan module so that its queries register themselves."""
-    from windlass.plans import events, model_queries, normals, station_queries, wind  # noqa: F401
+    from windlass.plans import events, io_queries, model_queries, normals, station_queries, wind  # noqa: F401
     from windlass.plans.registry import QUERIES
     return QUERIES
