@@ -75,16 +75,20 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> Data
     One aggregation pass computes every statistic of every column; the single result row is
     then unpivoted with ``stack`` -- no second scan, nothing collected.
     """
-    stats = [("count", lambda c: F.count(c).cast("double")), ("mean", F.avg), ("std", F.stddev_samp),
-             ("min", lambda c: F.min(c).cast("double")),
-             ("25%", lambda c: F.percentile(c, F.lit(0.25))), ("50%", lambda c: F.percentile(c, F.lit(0.5))),
-             ("75%", lambda c: F.percentile(c, F.lit(0.75))), ("max", lambda c: F.max(c).cast("double"))]
-    aggs = [fn(F.col(c)).alias(f"{i}__{c}") for i, (_, fn) in enumerate(stats) for c in cols]
+    # the three quartiles of a column come from ONE percentile aggregate (one value map per
+    # column instead of three)
+    simple = [("count", lambda c: F.count(c).cast("double")), ("mean", F.avg), ("std", F.stddev_samp),
+              ("min", lambda c: F.min(c).cast("double")), ("max", lambda c: F.max(c).cast("double"))]
+    aggs = [fn(F.col(c)).alias(f"{name}__{c}") for name, fn in simple for c in cols]
+    aggs += [F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q__{c}") for c in cols]
     wide = df.agg(*aggs)
+    order = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    quart = {"25%": 1, "50%": 2, "75%": 3}
     pieces = []
-    for i, (name, _) in enumerate(stats):
-        pieces.append(F.struct(F.lit(name).alias("statistic"), F.lit(i).alias("position"),
-                               *[F.col(f"{i}__{c}").alias(c) for c in cols]))
+    for i, name in enumerate(order):
+        vals = [(F.element_at(F.col(f"q__{c}"), quart[name]) if name in quart else F.col(f"{name}__{c}")).alias(c)
+                for c in cols]
+        pieces.append(F.struct(F.lit(name).alias("statistic"), F.lit(i).alias("position"), *vals))
     out = wide.select(F.inline(F.array(*pieces)))
     return round_doubles(out, digits)
 

@@ -25,11 +25,14 @@ LAGS = [1, 2, 3]
 
 def global_thresholds(obs: DataFrame) -> dict[str, float]:
     """Means and 0.1/0.9 quantiles over all rows (one aggregation)."""
-    return global_scalars(obs, {
+    g = global_scalars(obs, {
         "pres_mean": F.avg("pres"), "temp_mean": F.avg("temp"),
         "pres_q10": F.percentile("pres", F.lit(0.1)), "wspd_q90": F.percentile("wspd", F.lit(0.9)),
-        "temp_q10": F.percentile("temp", F.lit(0.1)), "temp_q90": F.percentile("temp", F.lit(0.9)),
+        "temp_q": F.percentile("temp", F.array(F.lit(0.1), F.lit(0.9))),
     })
+    tq = g.pop("temp_q") or [None, None]
+    g["temp_q10"], g["temp_q90"] = tq[0], tq[1]
+    return g
 
 
 def _flag(cond: Column) -> Column:
