@@ -57,7 +57,7 @@ def parse_normals_date(text, year_prefix: str = "2000-", strict: bool = False) -
 # F3 -- date from year, month, day; invalid -> null
 def make_date_safe(y, m, d) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", _c(y).cast("int"), _c(m).cast("int"),
-                                         _c(d).cast("int")), F.lit("yyyy-MM-dd"))
+                                         _c(d).cast("int")), "yyyy-MM-dd")
 
 
 # F4 -- difference in hours
