@@ -365,3 +365,48 @@ def test_filters_and_columns_reach_the_scan(spark, smoke_dir):
     pushed = plan[plan.index("PushedFilters:"):]
     assert "GreaterThanOrEqual(ts,2024-01-10T00:00)" in pushed.split("]")[0]
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>" in plan
+
+
+# ---- skew-safe split path == window path ---------------------------------------------------------------------
+def _hot_series(spark):
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    data = []
+    for i in range(3000):
+        st = 0 if i % 3 else 1 + i % 5  # station 0 holds two thirds of the rows
+        data.append((st, t0 + dt.timedelta(minutes=7 * i + rnd.randint(0, 5)), (None if rnd.random() < 0.03 else rnd.uniform(-5, 30)),
+                     rnd.uniform(-10, 20), rnd.uniform(0, 100), rnd.uniform(0, 359), rnd.uniform(0, 60),
+                     rnd.uniform(980, 1030), rnd.randint(1, 27)))
+    return spark.createDataFrame(data, "station long, time timestamp_ntz, temp double, dwpt double, rhum double, "
+                                       "wdir double, wspd double, pres double, coco int")
+
+
+def test_with_lags_split_equals_window(spark):
+    from windlass.operators.sequence import with_lags
+    df = _hot_series(spark)
+    a = with_lags(df, ["temp", "wspd"], [1, 3], split=False)
+    b = with_lags(df, ["temp", "wspd"], [1, 3], split=True)
+    assert a.columns == b.columns
+    key = lambda r: (r["station"], r["time"])
+    ra, rb = sorted(a.collect(), key=key), sorted(b.collect(), key=key)
+    assert [tuple(r) for r in ra] == [tuple(r) for r in rb]
+
+
+def test_feature_table_split_equals_window(spark):
+    from windlass.plans import features as fx
+    df = _hot_series(spark)
+    st = spark.createDataFrame([(i, 40.0 + i, -80.0 - i, 100.0 * i) for i in range(6)],
+                               "station long, latitude double, longitude double, elevation double")
+    g = fx.global_thresholds(df)
+    a = fx.feature_table(df, st, g, split=False).toPandas().sort_values(["station", "time"]).reset_index(drop=True)
+    b = fx.feature_table(df, st, g, split=True).toPandas().sort_values(["station", "time"]).reset_index(drop=True)
+    assert len(a) > 1000 and len(fx.feature_names(spark.createDataFrame(a.head(1)))) == 171
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_time_folds_split_equals_window(spark):
+    df = _hot_series(spark).select("station", "time")
+    a = temporal.time_folds(df, "station", ["time"], split=False)
+    b = temporal.time_folds(df, "station", ["time"], split=True)
+    cols = ["station", "time", "row_index", "fold", "role"]
+    assert sorted(rows(a, *cols)) == sorted(rows(b, *cols))

@@ -129,15 +129,19 @@ def running_id(df: DataFrame, order: Sequence[Column], name: str = "row_id") ->
 
 
 def time_folds(df: DataFrame, key: str, order: Sequence[str], max_splits: int = 5,
-               min_splits: int = 2, rows_per_split: int = 500) -> DataFrame:
+               min_splits: int = 2, rows_per_split: int = 500, split: bool = False) -> DataFrame:
     """Expanding-window folds per key (TimeSeriesSplit layout).
 
     With n rows, ``k = min(max_splits, max(min_splits, n // rows_per_split))`` folds of
     ``size = n // (k + 1)`` rows: fold i tests rows [n-(k-i)*size, n-(k-i-1)*size) and trains
     on every row before. Output: one row per (row, fold) with ``role`` train/test.
+    ``split=True`` numbers rows with ``sequence_index`` (no per-key window) for huge keys.
     """
-    w = station_window(key, order)
-    idx = df.withColumn("__i", F.row_number().over(w) - 1)
+    if split:
+        idx = sequence_index(df, key, order[0], name="__i").withColumn("__i", F.col("__i").cast("int"))
+    else:
+        w = station_window(key, order)
+        idx = df.withColumn("__i", F.row_number().over(w) - 1)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     k = F.least(F.lit(max_splits), F.greatest(F.lit(min_splits), F.floor(F.col("__n") / rows_per_split)))
     counts = counts.withColumn("__k", k.cast("int")).withColumn("__size", F.floor(F.col("__n") / (F.col("__k") + 1)))

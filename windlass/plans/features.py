@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
-from windlass.operators.temporal import lag_block, rolling_mean, rolling_std, station_window
+from windlass.operators.sequence import mean_of, ref, std_of, with_lags
 
 RAW = ["temp", "dwpt", "rhum", "wdir", "wspd", "pres"]
 DIFF_COLS = ["pres", "rhum", "wspd", "temp", "dwpt"]
@@ -39,61 +39,70 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0)
 
 
-def derived_columns(g: dict[str, float], w) -> dict[str, Column]:
-    """M1: the 30 derived columns, in the reference's order."""
-    c = F.col
+def derived_columns(g: dict[str, float], r=ref) -> dict[str, Column]:
+    """M1: the 30 derived columns, in the reference's order. ``r(col, j)`` is the raw column
+    ``j`` rows back; evaluating with a shifted ``r`` gives the lagged derived columns."""
     lit = F.lit
 
-    def lit_or_null(v):
+    def k(v):
         return lit(v).cast("double")
 
+    def last3(c):
+        return [r(c, 0), r(c, 1), r(c, 2)]
+
+    temp, dwpt, rhum, wspd, pres = r("temp", 0), r("dwpt", 0), r("rhum", 0), r("wspd", 0), r("pres", 0)
     out: dict[str, Column] = {}
-    out["pres_change"] = c("pres") - F.lag("pres", 1).over(w)
-    out["rhum_change"] = c("rhum") - F.lag("rhum", 1).over(w)
-    out["wspd_change"] = c("wspd") - F.lag("wspd", 1).over(w)
-    out["pres_rhum_ratio"] = F.try_divide(c("pres"), c("rhum") + lit(0.01))
-    out["wspd_rhum_product"] = c("wspd") * c("rhum")
-    out["pres_wspd_ratio"] = F.try_divide(c("pres"), c("wspd") + lit(0.01))
-    out["rhum_squared"] = F.pow(c("rhum"), 2)
-    out["wspd_squared"] = F.pow(c("wspd"), 2)
-    out["pres_deviation"] = F.abs(c("pres") - lit_or_null(g["pres_mean"]))
-    out["rhum_extreme"] = _flag(F.coalesce(c("rhum"), lit(0.0)) > 90)
-    out["low_pressure"] = _flag(F.coalesce(c("pres"), lit_or_null(g["pres_mean"])) < lit_or_null(g["pres_q10"]))
-    out["high_wind"] = _flag(F.coalesce(c("wspd"), lit(0.0)) > lit_or_null(g["wspd_q90"]))
-    out["pressure_trend"] = rolling_mean("pres", w)
-    out["humidity_volatility"] = rolling_std("rhum", w)
-    out["wind_consistency"] = rolling_std("wspd", w)
-    out["temp_change"] = c("temp") - F.lag("temp", 1).over(w)
-    out["dwpt_change"] = c("dwpt") - F.lag("dwpt", 1).over(w)
-    out["temp_dwpt_spread"] = c("temp") - c("dwpt")
-    out["heat_index"] = met.simple_heat_index("temp", "rhum")
-    out["temp_extreme_hot"] = _flag(F.coalesce(c("temp"), lit_or_null(g["temp_mean"])) > lit_or_null(g["temp_q90"]))
-    out["temp_extreme_cold"] = _flag(F.coalesce(c("temp"), lit_or_null(g["temp_mean"])) < lit_or_null(g["temp_q10"]))
-    out["temp_pres_ratio"] = F.try_divide(c("temp"), c("pres") / lit(1000) + lit(0.01))
-    out["temp_wspd_product"] = c("temp") * c("wspd")
-    out["dwpt_rhum_ratio"] = F.try_divide(c("dwpt"), c("rhum") + lit(0.01))
-    out["temp_volatility"] = rolling_std("temp", w)
-    out["dwpt_trend"] = rolling_mean("dwpt", w)
-    out["temp_trend"] = rolling_mean("temp", w)
-    out["comfort_index"] = _flag(c("temp").between(18, 24) & c("rhum").between(30, 70))
-    out["frost_risk"] = _flag((c("temp") <= 2) & (c("dwpt") <= 0))
-    out["condensation_risk"] = _flag(F.abs(c("temp") - c("dwpt")) <= 2)
+    out["pres_change"] = pres - r("pres", 1)
+    out["rhum_change"] = rhum - r("rhum", 1)
+    out["wspd_change"] = wspd - r("wspd", 1)
+    out["pres_rhum_ratio"] = F.try_divide(pres, rhum + lit(0.01))
+    out["wspd_rhum_product"] = wspd * rhum
+    out["pres_wspd_ratio"] = F.try_divide(pres, wspd + lit(0.01))
+    out["rhum_squared"] = F.pow(rhum, 2)
+    out["wspd_squared"] = F.pow(wspd, 2)
+    out["pres_deviation"] = F.abs(pres - k(g["pres_mean"]))
+    out["rhum_extreme"] = _flag(F.coalesce(rhum, lit(0.0)) > 90)
+    out["low_pressure"] = _flag(F.coalesce(pres, k(g["pres_mean"])) < k(g["pres_q10"]))
+    out["high_wind"] = _flag(F.coalesce(wspd, lit(0.0)) > k(g["wspd_q90"]))
+    out["pressure_trend"] = mean_of(last3("pres"))
+    out["humidity_volatility"] = std_of(last3("rhum"))
+    out["wind_consistency"] = std_of(last3("wspd"))
+    out["temp_change"] = temp - r("temp", 1)
+    out["dwpt_change"] = dwpt - r("dwpt", 1)
+    out["temp_dwpt_spread"] = temp - dwpt
+    out["heat_index"] = temp + lit(0.5) * (rhum / lit(100)) * (temp - lit(14.5))
+    out["temp_extreme_hot"] = _flag(F.coalesce(temp, k(g["temp_mean"])) > k(g["temp_q90"]))
+    out["temp_extreme_cold"] = _flag(F.coalesce(temp, k(g["temp_mean"])) < k(g["temp_q10"]))
+    out["temp_pres_ratio"] = F.try_divide(temp, pres / lit(1000) + lit(0.01))
+    out["temp_wspd_product"] = temp * wspd
+    out["dwpt_rhum_ratio"] = F.try_divide(dwpt, rhum + lit(0.01))
+    out["temp_volatility"] = std_of(last3("temp"))
+    out["dwpt_trend"] = mean_of(last3("dwpt"))
+    out["temp_trend"] = mean_of(last3("temp"))
+    out["comfort_index"] = _flag(temp.between(18, 24) & rhum.between(30, 70))
+    out["frost_risk"] = _flag((temp <= 2) & (dwpt <= 0))
+    out["condensation_risk"] = _flag(F.abs(temp - dwpt) <= 2)
     return out
 
 
-def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+DERIVED = list(derived_columns({k: 0.0 for k in ("pres_mean", "temp_mean", "pres_q10", "wspd_q90",
+                                                  "temp_q10", "temp_q90")}).keys())
+
+
+def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None, split="auto") -> DataFrame:
+    """M1 on every row: raw lags 1-2 (one window pass, or the split path for huge stations)."""
     g = thresholds or global_thresholds(obs)
-    w = station_window("station", ["time"])
-    return obs.withColumns(derived_columns(g, w))
+    lagged = with_lags(obs, RAW, [1, 2], split=split)
+    return lagged.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g).items()])
 
 
-def diff_roll(obs: DataFrame) -> DataFrame:
-    """W1 + W4 + W5 in one window pass."""
-    w = station_window("station", ["time"])
-    cols = {f"{c}_change": F.col(c) - F.lag(c, 1).over(w) for c in DIFF_COLS}
-    cols.update({k: rolling_mean(v, w) for k, v in TREND_COLS.items()})
-    cols.update({k: rolling_std(v, w) for k, v in VOLATILITY_COLS.items()})
-    return obs.withColumns(cols)
+def diff_roll(obs: DataFrame, split="auto") -> DataFrame:
+    """W1 + W4 + W5 from lags 1-2 of the raw columns (one window pass)."""
+    lagged = with_lags(obs, DIFF_COLS, [1, 2], split=split)
+    cols = {f"{c}_change": ref(c, 0) - ref(c, 1) for c in DIFF_COLS}
+    cols.update({k: mean_of([ref(v, 0), ref(v, 1), ref(v, 2)]) for k, v in TREND_COLS.items()})
+    cols.update({k: std_of([ref(v, 0), ref(v, 1), ref(v, 2)]) for k, v in VOLATILITY_COLS.items()})
+    return lagged.select(*obs.columns, *[v.alias(k) for k, v in cols.items()])
 
 
 def enhanced_columns(lat: str = "latitude", lon: str = "longitude") -> dict[str, Column]:
@@ -131,22 +140,33 @@ def enhanced_columns(lat: str = "latitude", lon: str = "longitude") -> dict[str,
     return out
 
 
-def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """The classifier's table: 36 base columns, their lags 1-3, coordinates, 24 enhanced
-    columns and the 4-class label (rows with codes 23-27 removed).
+def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, float] | None = None,
+                  split="auto") -> DataFrame:
+    """The classifier's table: 36 base columns (6 raw + 30 derived), their lags 1-3,
+    coordinates, 24 enhanced columns and the 4-class label (codes 23-27 removed).
+
+    Only the 6 raw columns are shifted (lags 1-5, one window pass or the split path): a
+    derived column k rows back is its formula on the raw values shifted by k.
 
     Catalyst's constraint propagation grows combinatorially with hundreds of aliased columns
     under a null filter, so it is switched off for the session (it only derives extra
     IS NOT NULL filters; results do not change).
     """
     obs.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    g = thresholds or global_thresholds(obs)
     base = obs.select("station", "time", *RAW, "coco")
-    d = derived_features(base, thresholds)
-    lag_cols = [x for x in d.columns if x not in ("station", "time", "coco")]
-    w = station_window("station", ["time"])
-    lagged = lag_block(d, lag_cols, LAGS, w).dropna()
+    lagged = with_lags(base, RAW, [1, 2, 3, 4, 5], split=split)
+    cols: dict[str, Column] = {}
+    for k in range(0, max(LAGS) + 1):
+        def rk(c, j, k=k):
+            return ref(c, j + k)
+        block = {c: rk(c, 0) for c in RAW}
+        block.update(derived_columns(g, rk))
+        for name, expr in block.items():
+            cols[name if k == 0 else f"{name}_lag{k}"] = expr
+    wide = lagged.select("station", "time", "coco", *[v.alias(n) for n, v in cols.items()]).dropna()
     coords = stations.select("station", "latitude", "longitude", "elevation")
-    j = lagged.join(coords, "station", "left")
+    j = wide.join(coords, "station", "left")
     e = j.withColumns(enhanced_columns())
     e = e.filter(~F.col("coco").isin(23, 24, 25, 26, 27))
     return e.withColumn("condition", condition_group_4("coco"))

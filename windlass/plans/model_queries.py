@@ -16,7 +16,8 @@ from windlass.operators.aggregates import round_doubles
 from windlass.operators.reshape import pivot_ranks
 from windlass.operators.sampling import hash_order, sample_n, split_by_hash
 from windlass.operators.spatial import k_nearest
-from windlass.operators.temporal import running_id, station_window, time_folds
+from windlass.operators.sequence import use_split, with_lags
+from windlass.operators.temporal import running_id, time_folds
 from windlass.plans.registry import (R, bucket_sql, circ_sql, hash_sql, haversine_sql, pmod360_sql,
                                      query)
 from windlass.sources import standins as sv
@@ -80,8 +81,9 @@ def q_overall_accuracy(spark, d):
 
 
 def _lagged(obs: DataFrame) -> DataFrame:
-    w = station_window()
-    return obs.withColumns({"wspd_pred": F.lag("wspd", 1).over(w), "wdir_pred": F.lag("wdir", 1).over(w)})
+    """Lag-1 speed and direction per station as the stand-in prediction (window or split path)."""
+    return with_lags(obs, ["wspd", "wdir"], [1]).withColumnsRenamed(
+        {"wspd_lag1": "wspd_pred", "wdir_lag1": "wdir_pred"})
 
 
 _REG_SQL = """
@@ -261,7 +263,8 @@ SELECT station, time, CAST(i AS INTEGER) AS row_index, CAST(fold AS INTEGER) AS
 """)
 def q_time_folds(spark, d):
     o = sv.obs(spark, d).select("station", "time")
-    return time_folds(o, "station", ["time"]).select("station", "time", "row_index", "fold", "role")
+    return time_folds(o, "station", ["time"], split=use_split(o, "station", "auto")).select(
+        "station", "time", "row_index", "fold", "role")
 
 
 # ---- L1 data: wind-vector pivot of each main station and its 6 nearest --------------------------------
