@@ -410,3 +410,9 @@ def test_time_folds_split_equals_window(spark):
     b = temporal.time_folds(df, "station", ["time"], split=True)
     cols = ["station", "time", "row_index", "fold", "role"]
     assert sorted(rows(a, *cols)) == sorted(rows(b, *cols))
+
+
+def test_derived_names_match_formulas(spark):
+    from windlass.plans import features as fx
+    g = {k: 0.0 for k in ("pres_mean", "temp_mean", "pres_q10", "wspd_q90", "temp_q10", "temp_q90")}
+    assert list(fx.derived_columns(g).keys()) == fx.DERIVED

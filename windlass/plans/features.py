@@ -85,8 +85,12 @@ def derived_columns(g: dict[str, float], r=ref) -> dict[str, Column]:
     return out
 
 
-DERIVED = list(derived_columns({k: 0.0 for k in ("pres_mean", "temp_mean", "pres_q10", "wspd_q90",
-                                                  "temp_q10", "temp_q90")}).keys())
+DERIVED = ["pres_change", "rhum_change", "wspd_change", "pres_rhum_ratio", "wspd_rhum_product",
+           "pres_wspd_ratio", "rhum_squared", "wspd_squared", "pres_deviation", "rhum_extreme", "low_pressure",
+           "high_wind", "pressure_trend", "humidity_volatility", "wind_consistency", "temp_change", "dwpt_change",
+           "temp_dwpt_spread", "heat_index", "temp_extreme_hot", "temp_extreme_cold", "temp_pres_ratio",
+           "temp_wspd_product", "dwpt_rhum_ratio", "temp_volatility", "dwpt_trend", "temp_trend", "comfort_index",
+           "frost_risk", "condensation_risk"]
 
 
 def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None, split="auto") -> DataFrame:
