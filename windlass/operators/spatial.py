@@ -6,8 +6,8 @@ A place is finished when its k-th candidate is closer than the nearest point *ou
 block (a lower bound computed from the place's position), which makes the answer exact.
 Unfinished places (sparse areas, or fewer than k candidates) move to a grid with cells twice
 as large; at the coarsest level the block covers the globe, so every place finishes.
-Each level only carries the still-unfinished places, and their set is checkpointed, so the
-loop's lineage stays short. The number of levels is log2(180 / base cell) + 1 (about 10).
+Each level only carries the still-unfinished places, and every level is cut with a reliable
+checkpoint (computed once), so the loop's lineage stays short. The number of levels is log2(180 / base cell) + 1 (about 10).
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "
     place_cols = places.columns
     todo = places.withColumns({"__plat": F.col(place_lat), "__plon": F.col(place_lon)})
     out = None
+    level = 0
     while True:
         full = size >= 180.0
         i, j, n_lat, n_lon = _cells(F.col("__plat"), F.col("__plon"), size)
@@ -111,10 +112,10 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "
                                                           F.col("__pj"), size, radius)
         done = F.lit(True) if full else ((F.count("__sid").over(wk) >= k)
                                          & (F.max("distance_km").over(wk) < bound))
-        top = top.withColumn("__done", done)
+        top = top.withColumn("__done", done).select(*place_cols, "__plat", "__plon", "__sid", "distance_km",
+                                                    "rank", "__done")
         if not full:
-            top = cut_lineage(top.select(*place_cols, "__plat", "__plon", "__sid", "distance_km", "rank",
-                                         "__done"))
+            top = cut_lineage(top)
         finished = top.filter(F.col("__done") & F.col("__sid").isNotNull()).select(
             *place_cols, F.col("__sid").alias(station_key), "distance_km", "rank")
         out = finished if out is None else out.unionByName(finished)
@@ -124,4 +125,5 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "
         if todo.isEmpty():
             break
         size = min(size * 2, 180.0)
+        level += 1
     return out
