@@ -416,3 +416,19 @@ def test_derived_names_match_formulas(spark):
     from windlass.plans import features as fx
     g = {k: 0.0 for k in ("pres_mean", "temp_mean", "pres_q10", "wspd_q90", "temp_q10", "temp_q90")}
     assert list(fx.derived_columns(g).keys()) == fx.DERIVED
+
+
+def test_running_id_consecutive_in_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 13).alias("g")).repartition(7)
+    out = temporal.running_id(df, [F.col("g").asc(), F.col("k").asc()], "rid").toPandas()
+    exp = out.sort_values(["g", "k"]).reset_index(drop=True)
+    assert list(exp.rid) == list(range(5000))
+
+
+@pytest.mark.parametrize("max_map", [10, 10_000_000])
+def test_global_quantiles_both_paths_match_numpy(spark, max_map):
+    rng = np.random.default_rng(3)
+    vals = rng.normal(size=3001)
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(5)
+    got = agg.global_quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], max_map_values=max_map)
+    np.testing.assert_allclose(got, np.quantile(vals, [0.1, 0.25, 0.5, 0.9]), rtol=1e-12)

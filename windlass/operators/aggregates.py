@@ -9,6 +9,7 @@ switches to the bounded-memory sketch for data with unbounded distinct values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,55 @@ def quantile(col, p: float, approx: bool = False, accuracy: int = 10000) -> Colu
     return F.percentile(_c(col), F.lit(p))
 
 
+MAX_MAP_VALUES = 100_000
+
+
+def global_quantiles_many(df: DataFrame, wanted: dict[str, Sequence[float]],
+                          max_map_values: int = MAX_MAP_VALUES) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several columns over all rows.
+
+    One aggregation estimates every column's count and distinct count (HyperLogLog). Columns
+    with few distinct values share one ``percentile`` aggregation (value->count maps, combined
+    map-side). A column with many distinct values uses rank selection: a range-partitioned
+    sort, per-partition counts turned into global ranks (``running_id``), and only the rows at
+    the needed ranks are fetched. No task ever holds all values of a column.
+    """
+    stats = df.agg(*[x for c in wanted for x in (F.count(F.col(c)).alias(f"n__{c}"),
+                                                F.approx_count_distinct(F.col(c)).alias(f"d__{c}"))]).first()
+    out: dict[str, list[float | None]] = {}
+    small = [c for c in wanted if stats[f"n__{c}"] and stats[f"d__{c}"] <= max_map_values]
+    if small:
+        r = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(c)
+                     for c in small]).first()
+        out.update({c: list(r[c]) for c in small})
+    from windlass.operators.temporal import running_id
+    for c in wanted:
+        if c in out:
+            continue
+        n = stats[f"n__{c}"]
+        if not n:
+            out[c] = [None for _ in wanted[c]]
+            continue
+        ranks = {p: (int(math.floor((n - 1) * p)), int(math.ceil((n - 1) * p)), (n - 1) * p) for p in wanted[c]}
+        need = sorted({r for lo, hi, _ in ranks.values() for r in (lo, hi)})
+        ranked = running_id(df.select(F.col(c).alias("__v")).filter(F.col("__v").isNotNull()),
+                            [F.col("__v").asc()], "__r")
+        got = {r["__r"]: r["__v"] for r in ranked.filter(F.col("__r").isin(need)).collect()}  # <= 2 per prob
+        vals = []
+        for p in wanted[c]:
+            lo, hi, pos = ranks[p]
+            a, b = float(got[lo]), float(got[hi])
+            vals.append(a if lo == hi else (hi - pos) * a + (pos - lo) * b)
+        out[c] = vals
+    return out
+
+
+def global_quantiles(df: DataFrame, col: str, probs: Sequence[float],
+                     max_map_values: int = MAX_MAP_VALUES) -> list[float | None]:
+    """Exact quantiles of one column over all rows (see ``global_quantiles_many``)."""
+    return global_quantiles_many(df, {col: list(probs)}, max_map_values)[col]
+
+
 def round_doubles(df: DataFrame, digits: int | None) -> DataFrame:
     """Half-even rounding of every double column (pandas ``round`` semantics); ``+ 0.0`` turns
     a negative zero into 0.0 so equal results hash alike."""
@@ -75,12 +125,13 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> Data
     One aggregation pass computes every statistic of every column; the single result row is
     then unpivoted with ``stack`` -- no second scan, nothing collected.
     """
-    # the three quartiles of a column come from ONE percentile aggregate (one value map per
-    # column instead of three)
+    # quartiles: exact per column via ``global_quantiles`` (value map for few distinct values,
+    # rank selection for many), entered as literals
     simple = [("count", lambda c: F.count(c).cast("double")), ("mean", F.avg), ("std", F.stddev_samp),
               ("min", lambda c: F.min(c).cast("double")), ("max", lambda c: F.max(c).cast("double"))]
     aggs = [fn(F.col(c)).alias(f"{name}__{c}") for name, fn in simple for c in cols]
-    aggs += [F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q__{c}") for c in cols]
+    quarts = global_quantiles_many(df, {c: [0.25, 0.5, 0.75] for c in cols})
+    aggs += [F.array(*[F.lit(v).cast("double") for v in quarts[c]]).alias(f"q__{c}") for c in cols]
     wide = df.agg(*aggs)
     order = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     quart = {"25%": 1, "50%": 2, "75%": 3}

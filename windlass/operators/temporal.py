@@ -116,16 +116,25 @@ def event_window_join(events: DataFrame, obs: DataFrame, days: int = 3, event_da
 
 # ---- W9 / W10 ------------------------------------------------------------------------------------
 def running_id(df: DataFrame, order: Sequence[Column], name: str = "row_id") -> DataFrame:
-    """0-based running id after a global sort.
+    """0-based running id after a global sort, computed in the JVM.
 
-    Uses a range-partitioned sort and ``zipWithIndex`` (one small job to count each
-    partition), so no single task sees all rows.
+    The sorted (range-partitioned) frame is tagged with its partition id and the position
+    inside the partition, and checkpointed so that both stay fixed. Per-partition row counts
+    (one row per partition) are prefix-summed into offsets and broadcast back. No task sees
+    more than its own partition; nothing goes through Python or the driver.
     """
-    sorted_df = df.orderBy(*order)
-    schema = sorted_df.schema
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    from pyspark.sql.types import LongType, StructField, StructType
-    return df.sparkSession.createDataFrame(rdd, StructType(schema.fields + [StructField(name, LongType(), False)]))
+    from windlass.session import cut_lineage
+    tagged = df.orderBy(*order).withColumns({"__p": F.spark_partition_id(),
+                                             "__m": F.monotonically_increasing_id()})
+    tagged = cut_lineage(tagged)
+    counts = tagged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition: a window without partitioning is bounded by the partition count
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    local = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
+    return (tagged.join(F.broadcast(offsets), "__p")
+            .withColumn(name, (F.col("__off") + local).cast("long"))
+            .drop("__p", "__m", "__off"))
 
 
 def time_folds(df: DataFrame, key: str, order: Sequence[str], max_splits: int = 5,
