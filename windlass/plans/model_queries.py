@@ -292,7 +292,7 @@ def _pivot_sql() -> str:
     notnull = " AND ".join(f"{v}_{r} IS NOT NULL" for r in range(1, 7) for v in ("u", "v", "longitude", "latitude"))
     hv = haversine_sql('m.latitude', 'm.longitude', 's.latitude', 's.longitude')
     return f"""
-WITH m AS (SELECT station AS place, latitude, longitude FROM stations WHERE station % 25 = 0),
+WITH m AS (SELECT station AS place, latitude, longitude FROM stations),
 nb AS (SELECT place, station, rank FROM (SELECT m.place, s.station,
          row_number() OVER (PARTITION BY m.place ORDER BY {hv}, s.station) AS rank FROM m, stations s) WHERE rank <= 6),
 o AS (SELECT station, date_trunc('day', time) AS time, {_U} AS u, {_V} AS v FROM obs),
@@ -306,5 +306,4 @@ SELECT DISTINCT * FROM p WHERE {notnull}
 @query("wind_vector_pivot", "L1 J4 F9 A11 A12 P7 U2", views=("obs", "stations"), sql=_pivot_sql())
 def q_wind_vector_pivot(spark, d):
     st = sv.stations(spark, d)
-    mains = st.filter(F.col("station") % 25 == 0)
-    return round_doubles(wind_vector_table(sv.obs(spark, d), st, mains), 6)
+    return round_doubles(wind_vector_table(sv.obs(spark, d), st, st), 6)

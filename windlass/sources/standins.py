@@ -64,10 +64,9 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-track shape (one in ten orders): ev, station, magnitude, d, start point."""
-    o = _read(spark, sf_dir, "orders").select("o_orderkey").filter(F.col("o_orderkey") % 10 == 0)
-    q = F.floor(F.col("o_orderkey") / F.lit(10e0)).cast("int")
-    base = o.select(F.col("o_orderkey").alias("ev"), q.alias("q"))
+    """Event-track shape, one event per order: ev, station, magnitude, d, start point."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey")
+    base = o.select(F.col("o_orderkey").alias("ev"), F.col("o_orderkey").cast("int").alias("q"))
     st = F.col("q") % 15
     return base.select(
         "ev",
@@ -127,7 +126,7 @@ events_dim AS (
     date '2024-01-04' + q % 24 AS d,
     25 + ((q % 15)*7 % 240)/10e0 AS start_lat,
     -120 + ((q % 15)*13 % 450)/10e0 AS start_lon
-  FROM (SELECT o_orderkey, CAST(floor(o_orderkey/10e0) AS INTEGER) AS q FROM orders WHERE o_orderkey % 10 = 0)
+  FROM (SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS q FROM orders)
 )""",
     "normals": """
 normals AS (
