@@ -15,6 +15,7 @@ from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
 from windlass.operators.sequence import mean_of, ref, std_of, with_lags
+from windlass.session import wide_plan_mode
 
 RAW = ["temp", "dwpt", "rhum", "wdir", "wspd", "pres"]
 DIFF_COLS = ["pres", "rhum", "wspd", "temp", "dwpt"]
@@ -156,7 +157,7 @@ def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, flo
     under a null filter, so it is switched off for the session (it only derives extra
     IS NOT NULL filters; results do not change).
     """
-    obs.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    wide_plan_mode(obs.sparkSession)
     g = thresholds or global_thresholds(obs)
     base = obs.select("station", "time", *RAW, "coco")
     lagged = with_lags(base, RAW, [1, 2, 3, 4, 5], split=split)

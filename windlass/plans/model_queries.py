@@ -20,6 +20,7 @@ from windlass.operators.sequence import use_split, with_lags
 from windlass.operators.temporal import running_id, time_folds
 from windlass.plans.registry import (R, bucket_sql, circ_sql, hash_sql, haversine_sql, pmod360_sql,
                                      query)
+from windlass.session import wide_plan_mode
 from windlass.sources import standins as sv
 
 LABELS_4 = list(CONDITION_4)
@@ -273,6 +274,7 @@ def wind_vector_table(obs: DataFrame, stations: DataFrame, mains: DataFrame, k:
     """L1: neighbours ranked by distance (J4) -> wind vectors (F9) -> mean per (time bucket,
     rank, main station) (A11) -> one row per (time, main station) with ``{u,v,longitude,
     latitude}_{rank}`` (A12) -> rows with any gap dropped -> distinct (U2)."""
+    wide_plan_mode(obs.sparkSession)
     nb = k_nearest(mains.select(F.col("station").alias("place"), "latitude", "longitude"), stations, k,
                    place_key="place").select("place", "station", "rank")
     coords = stations.select("station", "longitude", "latitude")

@@ -60,5 +60,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def wide_plan_mode(spark: SparkSession) -> None:
+    """Wide plans (pivots and feature tables with hundreds of aliased columns under null
+    filters) make Catalyst's constraint propagation grow combinatorially; switching it off
+    only drops some inferred IS NOT NULL filters -- results are unchanged."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def pin_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
