@@ -131,7 +131,7 @@ events_dim AS (
     "normals": """
 normals AS (
   SELECT l_orderkey AS row_key, l_linenumber AS line, l_shipdate AS ts,
-    month(l_shipdate) AS month, dayofyear(l_shipdate) AS day_of_year,
+    CAST(month(l_shipdate) AS INTEGER) AS month, CAST(dayofyear(l_shipdate) AS INTEGER) AS day_of_year,
     l_quantity, l_discount, l_tax, l_extendedprice,
     CAST(1 + l_orderkey % 8 AS INTEGER) AS dir_code
   FROM lineitem
