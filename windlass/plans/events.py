@@ -58,7 +58,7 @@ _NEAR1_SQL = f"""near AS (
 _WINDOW_SELECT_SQL = f"""
 SELECT n.ev, n.magnitude, n.station, o.time,
   {R("date_diff('microsecond', CAST(n.d AS TIMESTAMP), o.time) / 3600000000e0")} AS time_delta,
-  o.wspd, o.wdir, {R('o.wspd * 0.621371e0')} AS wspd_mph, CAST(dayofyear(o.time) AS INTEGER) AS day_of_year
+  {R('o.wspd')} AS wspd, {R('o.wdir')} AS wdir, {R('o.wspd * 0.621371e0')} AS wspd_mph, CAST(dayofyear(o.time) AS INTEGER) AS day_of_year
 FROM near n JOIN obs o ON o.station = n.station
   AND o.time BETWEEN CAST(n.d - 3 AS TIMESTAMP) AND CAST(n.d + 3 AS TIMESTAMP)
 """

@@ -36,8 +36,10 @@ DIGITS = 6
 
 
 def R(expr: str, digits: int = DIGITS) -> str:
-    """Half-even rounding, DuckDB spelling of Spark's ``bround``."""
-    return f"(round_even({expr}, {digits}) + 0e0)"
+    """DuckDB spelling of Spark's ``bround`` on a double: Spark rounds the double's decimal
+    text half-even, so the oracle does the same (text -> DECIMAL -> round_even -> DOUBLE)."""
+    return (f"(CAST(round_even(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+            f" + 0e0)")
 
 
 def circ_sql(col: str) -> str:
