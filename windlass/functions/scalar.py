@@ -48,6 +48,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# rounding as NumPy/pandas do it: half-even on the binary value, rint(x * 10^d) / 10^d
+def round_half_even(x, digits: int) -> Column:
+    f = float(10 ** digits)
+    return F.rint(_c(x) * F.lit(f)) / F.lit(f)
+
+
 # F1 -- timestamps from text ("MM-DDTHH:MM:SS" prefixed with the leap year 2000)
 def parse_normals_date(text, year_prefix: str = "2000-", strict: bool = False) -> Column:
     s = F.concat(F.lit(year_prefix), _c(text))

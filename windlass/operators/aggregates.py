@@ -79,11 +79,13 @@ def global_quantiles(df: DataFrame, col: str, probs: Sequence[float],
 
 
 def round_doubles(df: DataFrame, digits: int | None) -> DataFrame:
-    """Half-even rounding of every double column (pandas ``round`` semantics); ``+ 0.0`` turns
-    a negative zero into 0.0 so equal results hash alike."""
+    """Half-even rounding of every double column as pandas/NumPy do it (``rint(x*10^d)/10^d``,
+    plain double arithmetic inside codegen); ``+ 0.0`` turns a negative zero into 0.0 so equal
+    results hash alike."""
     if digits is None:
         return df
-    return df.select(*[(F.bround(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+    from windlass.functions.scalar import round_half_even
+    return df.select(*[(round_half_even(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
                        if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
 
 

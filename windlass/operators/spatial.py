@@ -78,8 +78,9 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "
               radius: float = EARTH_RADIUS_KM) -> DataFrame:
     """J4 + W7: for each place its ``k`` nearest stations, ranked 1..k by (distance, station key).
 
-    ``place_key`` must identify a place. Returns the place columns plus ``station_key``,
-    ``distance_km`` and ``rank``. One checkpointed job per grid level.
+    Returns the place columns plus ``station_key``, ``distance_km`` and ``rank``. The search
+    runs once per distinct (lat, lon); one checkpointed job per grid level. ``place_key`` is
+    kept for callers' clarity; places without coordinates get no rows.
     """
     st = stations.select(F.col(station_key).alias("__sid"), F.col(station_lat).alias("__slat"),
                          F.col(station_lon).alias("__slon")).filter(
@@ -87,8 +88,10 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "
     cell, n_st = auto_cell(st, k, "__slat", "__slon")
     size = base_cell or cell
     st = maybe_broadcast(st, known_rows=n_st)
-    place_cols = places.columns
-    todo = places.withColumns({"__plat": F.col(place_lat), "__plon": F.col(place_lon)})
+    # the search runs once per distinct point: places sharing a location share the answer
+    key = ["__plat", "__plon"]
+    todo = places.select(F.col(place_lat).alias("__plat"), F.col(place_lon).alias("__plon")).filter(
+        F.col("__plat").isNotNull() & F.col("__plon").isNotNull()).distinct()
     out = None
     level = 0
     while True:
@@ -102,28 +105,30 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "
         p = p.withColumns({"__ci": F.col("__cell.ci"), "__cj": F.col("__cell.cj")}).drop("__cell")
         si, sj, _, _ = _cells(F.col("__slat"), F.col("__slon"), size)
         s = st.withColumns({"__ci": si, "__cj": sj})
-        # left join: a place without any station in its block still shows up (count 0)
+        # left join: a point without any station in its block still shows up (count 0)
         cand = p.join(s, ["__ci", "__cj"], "left").withColumn(
             "distance_km", haversine_km("__plat", "__plon", "__slat", "__slon", radius))
-        w = Window.partitionBy(place_key).orderBy(F.col("distance_km").asc_nulls_last(), F.col("__sid").asc())
+        w = Window.partitionBy(*key).orderBy(F.col("distance_km").asc_nulls_last(), F.col("__sid").asc())
         top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        wk = Window.partitionBy(place_key)
+        wk = Window.partitionBy(*key)
         bound = F.lit(float("inf")) if full else _bound_km(F.col("__plat"), F.col("__plon"), F.col("__pi"),
                                                           F.col("__pj"), size, radius)
         done = F.lit(True) if full else ((F.count("__sid").over(wk) >= k)
                                          & (F.max("distance_km").over(wk) < bound))
-        top = top.withColumn("__done", done).select(*place_cols, "__plat", "__plon", "__sid", "distance_km",
-                                                    "rank", "__done")
+        top = top.withColumn("__done", done).select(*key, "__sid", "distance_km", "rank", "__done")
         if not full:
             top = cut_lineage(top)
         finished = top.filter(F.col("__done") & F.col("__sid").isNotNull()).select(
-            *place_cols, F.col("__sid").alias(station_key), "distance_km", "rank")
+            *key, F.col("__sid").alias(station_key), "distance_km", "rank")
         out = finished if out is None else out.unionByName(finished)
         if full:
             break
-        todo = top.filter(~F.col("__done")).select(*place_cols, "__plat", "__plon").dropDuplicates([place_key])
+        todo = top.filter(~F.col("__done")).select(*key).distinct()
         if todo.isEmpty():
             break
         size = min(size * 2, 180.0)
         level += 1
-    return out
+    # back to the places: equi-join on the exact coordinates (the point table is small)
+    pl = places.withColumns({"__plat": F.col(place_lat), "__plon": F.col(place_lon)})
+    return pl.join(out, key).drop(*key)
+

@@ -57,8 +57,8 @@ _NEAR1_SQL = f"""near AS (
 
 _WINDOW_SELECT_SQL = f"""
 SELECT n.ev, n.magnitude, n.station, o.time,
-  {R("date_diff('microsecond', CAST(n.d AS TIMESTAMP), o.time) / 3600000000e0")} AS time_delta,
-  {R('o.wspd')} AS wspd, {R('o.wdir')} AS wdir, {R('o.wspd * 0.621371e0')} AS wspd_mph, CAST(dayofyear(o.time) AS INTEGER) AS day_of_year
+  date_diff('microsecond', CAST(n.d AS TIMESTAMP), o.time) / 3600000000e0 AS time_delta,
+  o.wspd, o.wdir, o.wspd * 0.621371e0 AS wspd_mph, CAST(dayofyear(o.time) AS INTEGER) AS day_of_year
 FROM near n JOIN obs o ON o.station = n.station
   AND o.time BETWEEN CAST(n.d - 3 AS TIMESTAMP) AND CAST(n.d + 3 AS TIMESTAMP)
 """
@@ -67,8 +67,8 @@ FROM near n JOIN obs o ON o.station = n.station
 @query("event_window_wind", "J4 J5 F4 F8 F2", views=("obs", "stations", "events_dim"),
        sql="WITH " + _NEAR1_SQL.format(src="events_dim") + _WINDOW_SELECT_SQL)
 def q_event_window_wind(spark, d):
-    return round_doubles(event_window_wind(sv.events_dim(spark, d), sv.stations(spark, d), sv.obs(spark, d)),
-                         DIGITS)
+    # row-level IEEE arithmetic only: identical in both engines, no final rounding needed
+    return event_window_wind(sv.events_dim(spark, d), sv.stations(spark, d), sv.obs(spark, d))
 
 
 _STRATA_SQL = f"""
@@ -95,8 +95,7 @@ def q_stratified_sample(spark, d):
 @query("event_case_study", "X1 J4 J5 F4", views=("obs", "stations", "events_dim"),
        sql="WITH strata AS (" + _STRATA_SQL + "), " + _NEAR1_SQL.format(src="strata") + _WINDOW_SELECT_SQL)
 def q_event_case_study(spark, d):
-    return round_doubles(event_window_wind(case_study_events(sv.events_dim(spark, d)), sv.stations(spark, d),
-                                           sv.obs(spark, d)), DIGITS)
+    return event_window_wind(case_study_events(sv.events_dim(spark, d)), sv.stations(spark, d), sv.obs(spark, d))
 
 
 @query("event_distinct_sites", "A22 A16", views=("obs", "stations", "events_dim"),

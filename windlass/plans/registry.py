@@ -36,10 +36,10 @@ DIGITS = 6
 
 
 def R(expr: str, digits: int = DIGITS) -> str:
-    """DuckDB spelling of Spark's ``bround`` on a double: Spark rounds the double's decimal
-    text half-even, so the oracle does the same (text -> DECIMAL -> round_even -> DOUBLE)."""
-    return (f"(CAST(round_even(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
-            f" + 0e0)")
+    """DuckDB spelling of ``round_half_even``: round_even(x * 10^d, 0) / 10^d -- the same
+    double operations, so equal inputs give bit-equal results."""
+    f = f"{float(10 ** digits)!r}e0" if "e" not in repr(float(10 ** digits)) else repr(float(10 ** digits))
+    return f"(round_even(({expr}) * {f}, 0) / {f} + 0e0)"
 
 
 def circ_sql(col: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from windlass.functions.circular import circular_mean
 from windlass.functions.scalar import (KMH_TO_MPH, MS_TO_MPH, c_to_f, chart_vector, direction_blend_colour,
                                        direction_sector, sector_colour)
+from windlass.functions.scalar import round_half_even
 from windlass.operators.aggregates import padded_domain, round_doubles, wind_profile
 from windlass.operators.sampling import stratified_sample
 from windlass.operators.spatial import k_nearest
@@ -50,8 +51,8 @@ def wind_tables(obs, stations, places, start="2020-01-01", end="2024-12-31",
     """Speed rounded to 1, direction to 0 decimals, blended direction colour, sorted by region
     and falling speed, split into two tables by region group."""
     t = wind_stats(obs, stations, places, start, end)
-    t = t.withColumns({"avg_wind_speed_kmh": F.bround("avg_wind_speed_kmh", 1),
-                       "avg_wind_direction_deg": F.bround(F.pmod("avg_wind_direction_deg", F.lit(360.0)), 0)})
+    t = t.withColumns({"avg_wind_speed_kmh": round_half_even("avg_wind_speed_kmh", 1),
+                       "avg_wind_direction_deg": round_half_even(F.pmod("avg_wind_direction_deg", F.lit(360.0)), 0)})
     t = t.withColumn("direction_colour", direction_blend_colour("avg_wind_direction_deg")).orderBy(
         F.col("region").asc_nulls_last(), F.col("avg_wind_speed_kmh").desc_nulls_last())
     return split_tables(t, groups)
@@ -61,8 +62,8 @@ def wind_table(obs, stations, places, start="2024-01-01", end="2024-12-31", fact
     """Speed in mph (the factor is a parameter; ``MS_TO_MPH`` reproduces the m/s reading),
     direction, compass-sector colour, and the speed scale domain."""
     t = wind_stats(obs, stations, places, start, end)
-    t = t.withColumns({"avg_wind_speed_mph": F.bround(F.col("avg_wind_speed_kmh") * F.lit(factor), 1),
-                       "avg_wind_direction_deg": F.bround("avg_wind_direction_deg", 0)}).drop("avg_wind_speed_kmh")
+    t = t.withColumns({"avg_wind_speed_mph": round_half_even(F.col("avg_wind_speed_kmh") * F.lit(factor), 1),
+                       "avg_wind_direction_deg": round_half_even("avg_wind_direction_deg", 0)}).drop("avg_wind_speed_kmh")
     t = t.withColumns({"sector": direction_sector("avg_wind_direction_deg"),
                        "sector_colour": sector_colour("avg_wind_direction_deg")})
     return t.orderBy(F.col("region").asc_nulls_last(), F.col("avg_wind_speed_mph").desc_nulls_last())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from windlass.functions.circular import circular_mean
 from windlass.functions.scalar import (KMH_TO_MPH, c_to_f, chart_vector, direction_blend_colour,
                                        direction_sector, scale_position, sector_colour)
+from windlass.functions.scalar import round_half_even
 from windlass.dims import GEO_FEATURES
 from windlass.operators.aggregates import padded_domain, round_doubles, wind_mean, wind_profile
 from windlass.operators.selection import box_selection, highlight, interval_selection, point_selection
@@ -52,9 +53,9 @@ def wind_table_sector(obs: DataFrame, stations: DataFrame, factor: float = KMH_T
         (F.avg("wspd") * F.lit(factor)).alias("avg_wind_speed_mph"),
         circular_mean("wdir").alias("avg_wind_direction_deg"))
     if digits is not None:
-        t = t.withColumn("avg_wind_speed_mph", F.bround("avg_wind_speed_mph", digits))
+        t = t.withColumn("avg_wind_speed_mph", round_half_even("avg_wind_speed_mph", digits))
     if dir_digits is not None:
-        t = t.withColumn("avg_wind_direction_deg", F.bround("avg_wind_direction_deg", dir_digits))
+        t = t.withColumn("avg_wind_direction_deg", round_half_even("avg_wind_direction_deg", dir_digits))
     t = t.withColumns({"sector": direction_sector("avg_wind_direction_deg"),
                        "sector_colour": sector_colour("avg_wind_direction_deg")})
     return t.orderBy(F.col("region").asc_nulls_last(), F.col("avg_wind_speed_mph").desc_nulls_last(), "city")
@@ -81,9 +82,9 @@ def wind_table_blend(obs: DataFrame, stations: DataFrame, digits: int | None = 1
     speed's position on the table's [min, max] colour scale (A16 + F14)."""
     t = wind_mean(obs.join(stations.select("station", "region", "city"), "station"), ["region", "city"])
     if digits is not None:
-        t = t.withColumn("avg_wind_speed_kmh", F.bround("avg_wind_speed_kmh", digits))
+        t = t.withColumn("avg_wind_speed_kmh", round_half_even("avg_wind_speed_kmh", digits))
     if dir_digits is not None:
-        t = t.withColumn("avg_wind_direction_deg", F.bround("avg_wind_direction_deg", dir_digits))
+        t = t.withColumn("avg_wind_direction_deg", round_half_even("avg_wind_direction_deg", dir_digits))
     t = t.cache()  # small (one row per city); reused for the scale domain
     lo, hi = padded_domain(t, "avg_wind_speed_kmh", mode="minmax")
     pos = F.lit(None).cast("double") if lo is None else scale_position("avg_wind_speed_kmh", F.lit(lo), F.lit(hi))
