@@ -432,3 +432,11 @@ def test_global_quantiles_both_paths_match_numpy(spark, max_map):
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(5)
     got = agg.global_quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], max_map_values=max_map)
     np.testing.assert_allclose(got, np.quantile(vals, [0.1, 0.25, 0.5, 0.9]), rtol=1e-12)
+
+
+def test_diff_roll_split_equals_native_window(spark):
+    from windlass.plans import features as fx
+    df = _hot_series(spark)
+    a = fx.diff_roll(df, split=False).toPandas().sort_values(["station", "time"]).reset_index(drop=True)
+    b = fx.diff_roll(df, split=True).toPandas().sort_values(["station", "time"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9, atol=1e-9)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
-from windlass.operators.sequence import mean_of, ref, std_of, with_lags
+from windlass.operators.sequence import mean_of, ref, std_of, use_split, with_lags
+from windlass.operators.temporal import rolling_mean, rolling_std, station_window
 from windlass.session import wide_plan_mode
 
 RAW = ["temp", "dwpt", "rhum", "wdir", "wspd", "pres"]
@@ -40,17 +41,50 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0)
 
 
-def derived_columns(g: dict[str, float], r=ref) -> dict[str, Column]:
-    """M1: the 30 derived columns, in the reference's order. ``r(col, j)`` is the raw column
-    ``j`` rows back; evaluating with a shifted ``r`` gives the lagged derived columns."""
+class LagColumns:
+    """Row offsets read from ``{col}_lag{j}`` columns (after ``with_lags``), shifted by ``shift``
+    rows -- evaluating the formulas with shift k gives the derived columns k rows back."""
+
+    def __init__(self, shift: int = 0):
+        self.shift = shift
+
+    def lag(self, c: str, j: int) -> Column:
+        return ref(c, j + self.shift)
+
+    def mean3(self, c: str) -> Column:
+        return mean_of([self.lag(c, 0), self.lag(c, 1), self.lag(c, 2)])
+
+    def std3(self, c: str) -> Column:
+        return std_of([self.lag(c, 0), self.lag(c, 1), self.lag(c, 2)])
+
+
+class WindowColumns:
+    """The same accessors as native window functions over the per-station window (one exchange
+    and sort; used when no station is too large for one task)."""
+
+    def __init__(self):
+        self.w = station_window()
+
+    def lag(self, c: str, j: int) -> Column:
+        return F.col(c) if j == 0 else F.lag(c, j).over(self.w)
+
+    def mean3(self, c: str) -> Column:
+        return rolling_mean(c, self.w)
+
+    def std3(self, c: str) -> Column:
+        return rolling_std(c, self.w)
+
+
+def derived_columns(g: dict[str, float], acc=None) -> dict[str, Column]:
+    """M1: the 30 derived columns, in the reference's order, through an accessor for row
+    offsets and 3-row rolling statistics (``LagColumns`` or ``WindowColumns``)."""
+    acc = acc or LagColumns()
+    r = acc.lag
     lit = F.lit
 
     def k(v):
         return lit(v).cast("double")
 
-    def last3(c):
-        return [r(c, 0), r(c, 1), r(c, 2)]
-
     temp, dwpt, rhum, wspd, pres = r("temp", 0), r("dwpt", 0), r("rhum", 0), r("wspd", 0), r("pres", 0)
     out: dict[str, Column] = {}
     out["pres_change"] = pres - r("pres", 1)
@@ -65,9 +99,9 @@ def derived_columns(g: dict[str, float], r=ref) -> dict[str, Column]:
     out["rhum_extreme"] = _flag(F.coalesce(rhum, lit(0.0)) > 90)
     out["low_pressure"] = _flag(F.coalesce(pres, k(g["pres_mean"])) < k(g["pres_q10"]))
     out["high_wind"] = _flag(F.coalesce(wspd, lit(0.0)) > k(g["wspd_q90"]))
-    out["pressure_trend"] = mean_of(last3("pres"))
-    out["humidity_volatility"] = std_of(last3("rhum"))
-    out["wind_consistency"] = std_of(last3("wspd"))
+    out["pressure_trend"] = acc.mean3("pres")
+    out["humidity_volatility"] = acc.std3("rhum")
+    out["wind_consistency"] = acc.std3("wspd")
     out["temp_change"] = temp - r("temp", 1)
     out["dwpt_change"] = dwpt - r("dwpt", 1)
     out["temp_dwpt_spread"] = temp - dwpt
@@ -77,9 +111,9 @@ def derived_columns(g: dict[str, float], r=ref) -> dict[str, Column]:
     out["temp_pres_ratio"] = F.try_divide(temp, pres / lit(1000) + lit(0.01))
     out["temp_wspd_product"] = temp * wspd
     out["dwpt_rhum_ratio"] = F.try_divide(dwpt, rhum + lit(0.01))
-    out["temp_volatility"] = std_of(last3("temp"))
-    out["dwpt_trend"] = mean_of(last3("dwpt"))
-    out["temp_trend"] = mean_of(last3("temp"))
+    out["temp_volatility"] = acc.std3("temp")
+    out["dwpt_trend"] = acc.mean3("dwpt")
+    out["temp_trend"] = acc.mean3("temp")
     out["comfort_index"] = _flag(temp.between(18, 24) & rhum.between(30, 70))
     out["frost_risk"] = _flag((temp <= 2) & (dwpt <= 0))
     out["condensation_risk"] = _flag(F.abs(temp - dwpt) <= 2)
@@ -95,19 +129,24 @@ DERIVED = ["pres_change", "rhum_change", "wspd_change", "pres_rhum_ratio", "wspd
 
 
 def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None, split="auto") -> DataFrame:
-    """M1 on every row: raw lags 1-2 (one window pass, or the split path for huge stations)."""
+    """M1 on every row: native window functions, or raw lags 1-2 on the split path for huge stations."""
     g = thresholds or global_thresholds(obs)
-    lagged = with_lags(obs, RAW, [1, 2], split=split)
-    return lagged.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g).items()])
+    if not use_split(obs, "station", split):
+        return obs.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, WindowColumns()).items()])
+    lagged = with_lags(obs, RAW, [1, 2], split=True)
+    return lagged.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, LagColumns()).items()])
 
 
 def diff_roll(obs: DataFrame, split="auto") -> DataFrame:
-    """W1 + W4 + W5 from lags 1-2 of the raw columns (one window pass)."""
-    lagged = with_lags(obs, DIFF_COLS, [1, 2], split=split)
-    cols = {f"{c}_change": ref(c, 0) - ref(c, 1) for c in DIFF_COLS}
-    cols.update({k: mean_of([ref(v, 0), ref(v, 1), ref(v, 2)]) for k, v in TREND_COLS.items()})
-    cols.update({k: std_of([ref(v, 0), ref(v, 1), ref(v, 2)]) for k, v in VOLATILITY_COLS.items()})
-    return lagged.select(*obs.columns, *[v.alias(k) for k, v in cols.items()])
+    """W1 + W4 + W5: native window functions (one exchange), or lags 1-2 on the split path."""
+    if use_split(obs, "station", split):
+        acc, src = LagColumns(), with_lags(obs, DIFF_COLS, [1, 2], split=True)
+    else:
+        acc, src = WindowColumns(), obs
+    cols = {f"{c}_change": acc.lag(c, 0) - acc.lag(c, 1) for c in DIFF_COLS}
+    cols.update({k: acc.mean3(v) for k, v in TREND_COLS.items()})
+    cols.update({k: acc.std3(v) for k, v in VOLATILITY_COLS.items()})
+    return src.select(*obs.columns, *[v.alias(k) for k, v in cols.items()])
 
 
 def enhanced_columns(lat: str = "latitude", lon: str = "longitude") -> dict[str, Column]:
@@ -163,10 +202,9 @@ def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, flo
     lagged = with_lags(base, RAW, [1, 2, 3, 4, 5], split=split)
     cols: dict[str, Column] = {}
     for k in range(0, max(LAGS) + 1):
-        def rk(c, j, k=k):
-            return ref(c, j + k)
-        block = {c: rk(c, 0) for c in RAW}
-        block.update(derived_columns(g, rk))
+        acc = LagColumns(shift=k)
+        block = {c: acc.lag(c, 0) for c in RAW}
+        block.update(derived_columns(g, acc))
         for name, expr in block.items():
             cols[name if k == 0 else f"{name}_lag{k}"] = expr
     wide = lagged.select("station", "time", "coco", *[v.alias(n) for n, v in cols.items()]).dropna()
