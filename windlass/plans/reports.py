@@ -18,6 +18,7 @@ from windlass.functions.scalar import (KMH_TO_MPH, MS_TO_MPH, c_to_f, chart_vect
 from windlass.functions.scalar import round_half_even
 from windlass.operators.aggregates import padded_domain, round_doubles, wind_profile
 from windlass.operators.sampling import stratified_sample
+from windlass.operators.joins import maybe_broadcast
 from windlass.operators.spatial import k_nearest
 from windlass.operators.temporal import date_spine, event_window_join
 from windlass.plans.registry import R, circ_sql, haversine_sql, query
@@ -132,7 +133,7 @@ def dashboard_std_data(obs, stations, places, features, start="2024-01-01", end=
     geographic feature with 'Standard' as default (J3) and the chart vectors (F21)."""
     o = _obs_of_places(obs, stations, places, start, end)
     prof = places.join(wind_profile(o, ["city"]), "city", "left")
-    prof = prof.join(F.broadcast(features), "city", "left").withColumn(
+    prof = prof.join(maybe_broadcast(features), "city", "left").withColumn(
         "geographic_feature", F.coalesce("feature", F.lit("Standard"))).drop("feature")
     return prof.withColumns(chart_vector("avg_wind_speed_kmh", "avg_wind_direction_deg"))
 

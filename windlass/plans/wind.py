@@ -12,6 +12,7 @@ from windlass.functions.scalar import (KMH_TO_MPH, c_to_f, chart_vector, directi
 from windlass.functions.scalar import round_half_even
 from windlass.dims import GEO_FEATURES
 from windlass.operators.aggregates import padded_domain, round_doubles, wind_mean, wind_profile
+from windlass.operators.joins import maybe_broadcast
 from windlass.operators.selection import box_selection, highlight, interval_selection, point_selection
 from windlass.operators.temporal import date_spine
 from windlass.plans.registry import (DIGITS, R, blend_colour_sql, circ_sql, pmod360_sql, query,
@@ -177,7 +178,7 @@ def feature_daily_temperature(obs: DataFrame, places: DataFrame, features: DataF
 
 def with_default_feature(places: DataFrame, features: DataFrame, default: str = "Standard") -> DataFrame:
     """Left join to a small feature dimension; places without an entry get ``default``."""
-    return places.join(F.broadcast(features), "city", "left").withColumn(
+    return places.join(maybe_broadcast(features), "city", "left").withColumn(
         "feature", F.coalesce(F.col("feature"), F.lit(default)))
 
 
@@ -232,7 +233,7 @@ def q_city_day_wind(spark, d):
 def explorer_vectors(obs: DataFrame, stations: DataFrame, features: DataFrame) -> DataFrame:
     """Per-city profile (A3) with its geographic feature (J3) and chart vectors."""
     prof = wind_profile(obs.join(stations.select("station", "region", "city"), "station"), ["region", "city"])
-    prof = prof.join(F.broadcast(features), "city", "left").withColumn(
+    prof = prof.join(maybe_broadcast(features), "city", "left").withColumn(
         "geographic_feature", F.coalesce("feature", F.lit("Standard"))).drop("feature")
     return prof.withColumns(chart_vector("avg_wind_speed_kmh", "avg_wind_direction_deg"))
 
