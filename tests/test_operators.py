@@ -440,3 +440,12 @@ def test_diff_roll_split_equals_native_window(spark):
     a = fx.diff_roll(df, split=False).toPandas().sort_values(["station", "time"]).reset_index(drop=True)
     b = fx.diff_roll(df, split=True).toPandas().sort_values(["station", "time"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9, atol=1e-9)
+
+
+def test_k_nearest_plan_has_no_nested_loop(spark):
+    st = spark.createDataFrame([(i, 40.0 + i * 0.1, -80.0 + i * 0.1) for i in range(30)],
+                               "station long, latitude double, longitude double")
+    pl = spark.createDataFrame([(i, 40.05 + i * 0.1, -79.95) for i in range(10)],
+                               "place long, latitude double, longitude double")
+    plan = k_nearest(pl, st, 3, place_key="place")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
