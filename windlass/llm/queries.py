@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from windlass.llm import exact_dedup, mixing, packing, quality, simhash
+from windlass.llm import embedding_join, exact_dedup, mixing, packing, quality, simhash
 from windlass.llm.common import read
 
 
@@ -24,10 +24,14 @@ def op8_quality(spark, sf_dir):
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_embeddings(spark, sf_dir):
+    return embedding_join.near_groups(read(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_mixing, op7_exact_dedup, op8_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_packing, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
