@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from windlass.llm import embedding_join, exact_dedup, mixing, packing, quality, simhash
+from windlass.llm import embedding_join, exact_dedup, licenses, mixing, packing, quality, secrets, simhash
 from windlass.llm.common import read
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark, sf_dir):
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,6 +40,6 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_licenses, op3_packing, op4_secrets, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
