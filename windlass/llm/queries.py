@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from windlass.llm import embedding_join, exact_dedup, licenses, mixing, packing, quality, secrets, simhash
+from windlass.llm import embedding_join, exact_dedup, licenses, mixing, packing, quality, secrets, simhash, toxicity
 from windlass.llm.common import read
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_licenses(spark, sf_dir):
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op3_packing, op4_secrets, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_packing, op4_secrets, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
