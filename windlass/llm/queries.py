@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from windlass.llm import embedding_join, exact_dedup, licenses, mixing, packing, quality, secrets, simhash, toxicity
+from windlass.llm import embedding_join, exact_dedup, language_model, licenses, mixing, packing, quality, secrets, simhash, toxicity
 from windlass.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_secrets(spark, sf_dir):
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark, sf_dir):
+    return language_model.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +48,6 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_packing, op4_secrets, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_packing, op4_secrets, op5_language_model, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
