@@ -52,17 +52,18 @@ def count_words(texts: DataFrame) -> DataFrame:
         held = Counter()
 
         def rows():
-            out = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in held], "n": list(held.values())})
+            words, counts = [w.decode("utf-8", "replace") for w in held], list(held.values())
             held.clear()
-            return out
+            for at in range(0, len(words), 50_000):
+                yield pd.DataFrame({"word": pd.Series(words[at:at + 50_000], dtype=object), "n": counts[at:at + 50_000]})
 
         for frame in frames:
             for text in frame["text"]:
                 held.update(words_of(text))
             held[END_WORD.encode()] += len(frame)
             if len(held) > 400_000:
-                yield rows()
-        yield rows()
+                yield from rows()
+        yield from rows()
 
     return texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -306,24 +307,27 @@ def score_documents(docs: DataFrame, mod: int = 7, left_out: int = 2, share: int
     frequent, bound = frequent_words(counts)
     v = Vocabulary(frequent, total, distinct)
     flat = docs.sparkSession.sparkContext.broadcast(train(learned, v, share))
-    table = docs.sparkSession.sparkContext.broadcast({w: math.log10(n + 1) for w, n in frequent.items()})
+    end_log = math.log10(frequent.pop(END_WORD.encode(), 0) + 1)
+    listed = sorted(frequent, key=lambda w: (-frequent[w], w))  # the model's words come first
+    table = docs.sparkSession.sparkContext.broadcast(
+        ({w: k for k, w in enumerate(listed)}, np.log10(np.array([*(frequent[w] for w in listed), 0], np.float64) + 1)))
+    in_model = len(v.ids)
 
     def scan(frames):
-        logs = table.value
+        (places, logs), end = table.value, np.array([END], np.int32)
+        place = places.get
         for frame in frames:
             for at in range(0, len(frame), 2048):
                 part, rows, encoded = frame.iloc[at:at + 2048], [], []
                 for doc_id, text in zip(part["doc_id"].astype("Int64"), part["text"]):
                     words = words_of(text)
-                    encoded.append(v.encode(words))
-                    words.append(END_WORD.encode())
-                    found = [logs.get(w) for w in words]
-                    rare = Counter(w for w, x in zip(words, found) if x is None)
-                    base = math.fsum(x for x in found if x is not None)
-                    inside = math.fsum(x for w, x in zip(words, found) if w in v.ids) + logs.get(END_WORD.encode(), 0.0)
-                    unknown = int((encoded[-1] == UNKNOWN).sum())
-                    rows.append((doc_id, len(words), len(words) - sum(rare.values()), base, base - inside, unknown,
-                                 [{"word": w.decode("utf-8", "replace"), "times": n} for w, n in rare.items()]))
+                    found = np.array([place(w, -1) for w in words], np.int64)  # -1 is the last of logs, 0
+                    model = (found >= 0) & (found < in_model)
+                    encoded.append(np.concatenate([np.where(model, found + 2, UNKNOWN).astype(np.int32), end]))
+                    rare = Counter(words[i].decode("utf-8", "replace") for i in np.flatnonzero(found < 0))
+                    log = logs[found]
+                    rows.append((doc_id, len(words) + 1, int((found >= 0).sum()) + (total > 0), float(log.sum()) + end_log, float(log[~model].sum()),
+                                 int((~model).sum()), [{"word": w, "times": n} for w, n in rare.items()]))
                 out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_frequent", "base", "rest", "n_unknown", "rare"])
                 out["model"] = log_probabilities(flat.value, v, encoded) / math.log(10)
                 yield out.astype({"doc_id": "Int64"})
