@@ -38,6 +38,17 @@ def unit(raw: bytes) -> np.ndarray:
     return x / np.sqrt((x * x).sum())
 
 
+def stored(raws) -> tuple[bytes, bytes]:
+    """(scales, members) of an interval: a member times its scale has length one. Single precision if it loses nothing."""
+    x = np.frombuffer(b"".join(raws), np.float64).reshape(len(raws), -1)
+    with np.errstate(over="ignore", under="ignore"):
+        single = x.astype(np.float32)
+    most = np.abs(x).max(1)
+    if (single == x).all() and most.min() > 1e-30 and most.max() < 1e30:
+        return (1 / np.sqrt((x * x).sum(1))).tobytes(), single.tobytes()
+    return np.ones(len(raws)).tobytes(), np.array([unit(r) for r in raws]).tobytes()
+
+
 def vectors_of(rows: DataFrame) -> DataFrame:
     """vec_id, raw: the components as little-endian doubles; null if the vector links with nothing."""
     def scan(frames):
@@ -87,7 +98,8 @@ def grid_blocks(distinct: DataFrame, axes: np.ndarray, eps: float, block: int, n
         for frame in frames:
             points = [(u := unit(raw)) @ axes[:len(u)] for raw in frame["raw"]]
             cells = [[len(raw) // 8, *np.floor(p / eps).astype(int).tolist()] for raw, p in zip(frame["raw"], points)]
-            yield pd.DataFrame({"node": frame["node"], "copies": frame["copies"], "raw": frame["raw"], "cell": cells, "point": [p.tobytes() for p in points]})
+            yield pd.DataFrame({"node": frame["node"], "copies": frame["copies"], "raw": frame["raw"], "cell": cells,
+                                "point": [p.astype(np.float32).tobytes() for p in points]})
 
     def cut(frames):
         from pyspark import TaskContext
@@ -99,11 +111,11 @@ def grid_blocks(distinct: DataFrame, axes: np.ndarray, eps: float, block: int, n
             out = []
             for i in range(0, len(part), block):
                 nodes, copies, raws, points, _ = zip(*part[i:i + block])
-                p = np.array([np.frombuffer(x) for x in points])
-                out.append((nth, len(raws[0]) // 8, p.min(0).tobytes(), p.max(0).tobytes(),
-                            np.array(nodes, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), b"".join(raws)))
+                p = np.frombuffer(b"".join(points), np.float32).reshape(len(points), -1).astype(np.float64)
+                out.append((nth, len(raws[0]) // 8, p.min(0).tobytes(), p.max(0).tobytes(), np.array(nodes, np.int64).tobytes(),
+                            np.array(copies, np.int64).tobytes(), b"".join(points), *stored(raws)))
                 nth += 1
-            return pd.DataFrame(out, columns=["block", "dims", "low", "high", "nodes", "copies", "members"])
+            return pd.DataFrame(out, columns=["block", "dims", "low", "high", "nodes", "copies", "points", "scales", "members"])
 
         for frame in frames:
             for row in zip(frame["node"], frame["copies"], frame["raw"], frame["point"], (len(r) for r in frame["raw"])):
@@ -116,7 +128,8 @@ def grid_blocks(distinct: DataFrame, axes: np.ndarray, eps: float, block: int, n
 
     placed = saved(distinct.select("node", "copies", "raw").mapInPandas(project, "node long, copies long, raw binary, cell array<int>, point binary"), "placed")
     return (placed.repartitionByRange(max(1, -(-n // (16 * block))), "cell", "node").sortWithinPartitions("cell", "node")
-            .mapInPandas(cut, "block long, dims int, low binary, high binary, nodes binary, copies binary, members binary"))
+            .mapInPandas(cut, "block long, dims int, low binary, high binary, nodes binary, "
+                         "copies binary, points binary, scales binary, members binary"))
 
 
 def apart(low_a, high_a, low_b, high_b) -> np.ndarray:
@@ -150,10 +163,10 @@ def near_pairs(distinct: DataFrame, cosine: float = 0.9, block: int = 512) -> Da
     boxes = blocks.select("block", "dims", "low", "high").collect()  # at most about MAX_BLOCKS rows of 2 x AXES numbers
     ids, dims = np.array([r[0] for r in boxes], np.int64), np.array([r[1] for r in boxes], np.int64)
     low, high = (np.array([np.frombuffer(r[k]) for r in boxes]).reshape(-1, AXES) for k in (2, 3))
-    upper = spark.sparkContext.broadcast((ids, dims, low, high, axes))
+    upper = spark.sparkContext.broadcast((ids, dims, low, high))
 
     def partners(frames):
-        ids, dims, low, high, _ = upper.value
+        ids, dims, low, high = upper.value
         for frame in frames:
             out = [pd.DataFrame({"block": [], "other": []}, dtype="int64")]
             for block, d, lo, hi in zip(frame["block"], frame["dims"], frame["low"], frame["high"]):
@@ -161,18 +174,18 @@ def near_pairs(distinct: DataFrame, cosine: float = 0.9, block: int = 512) -> Da
                 out.append(pd.DataFrame({"block": block, "other": ids[near]}))
             yield pd.concat(out)
 
-    def load(nodes, members):
-        nodes = np.frombuffer(nodes, np.int64)
-        x = np.frombuffer(members, np.float64).reshape(len(nodes), -1)
-        x = x / np.abs(x).max(1, keepdims=True)
-        x = x / np.sqrt((x * x).sum(1, keepdims=True))
-        return nodes, x, x @ upper.value[4][:x.shape[1]]
+    def load(width, nodes, points, scales, members):
+        nodes, scales = np.frombuffer(nodes, np.int64), np.frombuffer(scales, np.float64)
+        kind = np.float32 if len(members) == 4 * width * len(nodes) else np.float64
+        x = np.frombuffer(members, kind).reshape(len(nodes), -1).astype(np.float64) * scales[:, None]
+        return nodes, x, np.frombuffer(points, np.float32).reshape(len(nodes), -1).astype(np.float64)
 
     def compare(frames):
         for frame in frames:
             out = [pd.DataFrame({"a": [], "b": [], "weight": []}, dtype="Int64")]
             for row in frame.itertuples(index=False):
-                (na, a, pa), (nb, b, pb) = load(row.nodes, row.members), load(row.other_nodes, row.other_members)
+                na, a, pa = load(row.dims, row.nodes, row.points, row.scales, row.members)
+                nb, b, pb = load(row.dims, row.other_nodes, row.other_points, row.other_scales, row.other_members)
                 found: list = []
                 join_intervals(a, b, pa, pb, eps, cosine, found)
                 x = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
@@ -190,9 +203,9 @@ def near_pairs(distinct: DataFrame, cosine: float = 0.9, block: int = 512) -> Da
             yield pd.concat(out)[["a", "b", "weight"]].astype("Int64")
 
     pairs = blocks.select("block", "dims", "low", "high").mapInPandas(partners, "block long, other long")
-    left = blocks.select("block", "nodes", "copies", "members")
-    right = blocks.select(F.col("block").alias("other"), F.col("nodes").alias("other_nodes"),
-                          F.col("copies").alias("other_copies"), F.col("members").alias("other_members"))
+    held = ("nodes", "copies", "points", "scales", "members")
+    left = blocks.select("block", "dims", *held)
+    right = blocks.select(F.col("block").alias("other"), *(F.col(c).alias(f"other_{c}") for c in held))
     return pairs.join(left, "block").join(right, "other").mapInPandas(compare, "a long, b long, weight long")
 
 
