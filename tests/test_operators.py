@@ -449,3 +449,56 @@ def test_k_nearest_plan_has_no_nested_loop(spark):
                                "place long, latitude double, longitude double")
     plan = k_nearest(pl, st, 3, place_key="place")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("base_cell", [None, 8, 16, 48, 100])
+def test_k_nearest_across_the_antimeridian_and_at_the_poles(spark, base_cell):
+    from windlass.operators.spatial import EARTH_RADIUS_KM, k_nearest
+    rng = np.random.default_rng(3)
+    st = [(0, 0.0, 170.0), (1, 0.0, -166.0), (2, 88.0, 10.0), (3, -89.0, -170.0)] + [
+        (4 + i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 12), rng.uniform(-180, 180, 12)))]
+    pl = [(0, 0.0, -179.9), (1, 0.0, 179.9), (2, 89.5, -170.0), (3, -90.0, 0.0), (4, 10.0, 180.0), (5, 10.0, -180.0)] + [
+        (6 + i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 20), rng.uniform(170, 190, 20)))]
+    pl = [(k, a, b - 360 if b > 180 else b) for k, a, b in pl]
+    got = k_nearest(spark.createDataFrame(pl, "place int, latitude double, longitude double"),
+                    spark.createDataFrame(st, "station int, latitude double, longitude double"), 3, base_cell=base_cell)
+    got = {(r["place"], r["rank"]): r["distance_km"] for r in got.collect()}
+    for k, a, b in pl:
+        p1, p2 = np.radians(a), np.radians([s[1] for s in st])
+        x = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians([s[2] - b for s in st]) / 2) ** 2
+        want = np.sort(2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(x)))[:3]
+        assert np.allclose([got[k, r] for r in (1, 2, 3)], want, rtol=1e-9)
+
+
+def test_lags_of_tied_times_agree_on_both_paths(spark):
+    from windlass.operators.sequence import with_lags
+    rows = [(s, t, i, float(i)) for i, (s, t) in enumerate([(1, 1), (1, 1), (1, 2), (1, 2), (2, 1), (2, 1)])]
+    df = spark.createDataFrame(rows[::-1], "station int, t int, obs_id int, v double").selectExpr(
+        "station", "timestamp_ntz'2024-01-01' + make_interval(0,0,0,t) AS time", "obs_id", "v")
+    both = [{(r["obs_id"], r["v_lag1"], r["v_lag2"]) for r in with_lags(df, ["v"], [1, 2], split=s).collect()} for s in (False, True)]
+    assert both[0] == both[1] and (1, 0.0, None) in both[0]
+
+
+def test_tornado_data_keeps_one_row_per_track_and_hour(spark):
+    from datetime import date, datetime, timedelta
+
+    from windlass.plans import reports
+    tracks = spark.createDataFrame([(7, "TX", 4, 30.0, -99.0, 2024, date(2024, 5, 2)), (7, "OK", 4, 35.0, -97.0, 2024, date(2024, 5, 2))],
+                                   ["Tornado Number", "State Abbreviation", "Magnitude", "Starting Latitude", "Starting Longitude", "Year", "event_date"])
+    st = spark.createDataFrame([(1, 30.1, -99.0), (2, 35.1, -97.0)], ["station", "latitude", "longitude"])
+    obs = spark.createDataFrame([(s, datetime(2024, 5, 1) + timedelta(hours=h), 5.0, 90.0) for s in (1, 2) for h in range(24)],
+                                "station long, time timestamp_ntz, wspd double, wdir double")
+    got = reports.tornado_data(tracks, st, obs).collect()
+    assert len(got) == 48 and len({(r["state"], r["time"]) for r in got}) == 48
+
+
+def test_regional_daily_wind_counts_the_whole_last_day(spark):
+    from datetime import datetime
+
+    from windlass.plans import reports
+    places = spark.createDataFrame([("A", "r", 30.0, -99.0), ("B", "r", 50.0, 10.0)], ["city", "region", "latitude", "longitude"])
+    st = spark.createDataFrame([(1, 30.0, -99.0), (2, 50.0, 10.0)], ["station", "latitude", "longitude"])
+    obs = spark.createDataFrame([(1, datetime(2024, 12, 31, h), float(h), 0.0) for h in range(24)],
+                                "station long, time timestamp_ntz, wspd double, wdir double")
+    got = reports.regional_daily_wind(obs, st, places, "2024-12-31", "2024-12-31", factor=1.0).collect()
+    assert [(str(r["date"]), r["wspd_mph"]) for r in got] == [("2024-12-31", 11.5)]

@@ -10,8 +10,7 @@ rows ordered by time). Two physical strategies give the same rows:
   pieces only), then each row is copied to the positions it is a lag of and regrouped on
   (station, position). The hot station is hashed over all partitions.
 
-``split="auto"`` counts rows per station first (a partial aggregate) and picks the split
-path only when the largest station exceeds ``max_rows_per_key``.
+The caller picks the path; rows of equal time are ordered by a tie column on both.
 """
 
 from __future__ import annotations
@@ -23,26 +22,16 @@ from pyspark.sql import functions as F
 
 from windlass.operators.temporal import lag_block, sequence_index, station_window
 
-MAX_ROWS_PER_KEY = 20_000_000
-
-
-def largest_group(df: DataFrame, key: str) -> int:
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(r or 0)
-
-
-def use_split(df: DataFrame, key: str, split, max_rows_per_key: int = MAX_ROWS_PER_KEY) -> bool:
-    if split == "auto":
-        return largest_group(df, key) > max_rows_per_key
-    return bool(split)
-
-
 def with_lags(df: DataFrame, cols: Sequence[str], lags: Sequence[int], key: str = "station",
-              order: str = "time", split="auto", max_rows_per_key: int = MAX_ROWS_PER_KEY) -> DataFrame:
+              order: str = "time", split: bool = False, tie: str | None = None) -> DataFrame:
+    """Lags of ``cols`` in ``order``, rows of equal order by ``tie`` (default: the first other column), so both
+    paths see one total order and give equal results. ``split=True`` is for keys too large for one task; the
+    caller says so, nothing is counted."""
+    tie = tie or next((c for c in df.columns if c not in (key, order)), None)
     lags = sorted(set(lags))
-    if not use_split(df, key, split, max_rows_per_key):
-        return lag_block(df, list(cols), lags, station_window(key, [order]))
-    idx = sequence_index(df, key, order, name="__seq")
+    if not split:
+        return lag_block(df, list(cols), lags, station_window(key, [order, tie] if tie else [order]))
+    idx = sequence_index(df, key, order, name="__seq", tie=tie)
     others = [c for c in idx.columns if c not in (key, "__seq")]
     base = F.struct(*[F.col(c) for c in others])
     vals = F.struct(*[F.col(c) for c in cols])

@@ -59,7 +59,7 @@ def _bound_km(lat: Column, lon: Column, i: Column, j: Column, size: float, radiu
 
 
 def auto_cell(stations: DataFrame, k: int, lat: str, lon: str) -> tuple[float, int]:
-    """Base cell (degrees, a power of two) sized so that a 3 x 3 block holds about 4k stations
+    """Base cell (degrees, 180 / 2^m) sized so that a 3 x 3 block holds about 4k stations
     on average over the stations' bounding box; also returns the station count."""
     r = stations.agg(F.count(F.lit(1)).alias("n"), F.min(lat).alias("a"), F.max(lat).alias("b"),
                      F.min(lon).alias("c"), F.max(lon).alias("d")).first()
@@ -68,8 +68,13 @@ def auto_cell(stations: DataFrame, k: int, lat: str, lon: str) -> tuple[float, i
         return 180.0, 0
     area = max((r["b"] - r["a"]) * (r["d"] - r["c"]), 1e-6)
     side = math.sqrt(4.0 * k * area / n / 9.0)
-    cell = 2.0 ** math.ceil(math.log2(max(side, 1.0 / 64)))
-    return min(cell, 180.0), n
+    return tiling_cell(max(side, 1.0 / 64)), n
+
+
+def tiling_cell(size: float) -> float:
+    """The smallest cell of at least ``size`` degrees that tiles the globe: 180 / 2^m, so that the last cell before
+    the antimeridian is as wide as the others and the block's bound holds there."""
+    return 180.0 / 2 ** max(0, math.floor(math.log2(180.0 / min(size, 180.0))))
 
 
 def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "place",
@@ -86,7 +91,7 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "
                          F.col(station_lon).alias("__slon")).filter(
         F.col("__slat").isNotNull() & F.col("__slon").isNotNull())
     cell, n_st = auto_cell(st, k, "__slat", "__slon")
-    size = base_cell or cell
+    size = tiling_cell(base_cell) if base_cell else cell
     st = maybe_broadcast(st, known_rows=n_st)
     # the search runs once per distinct point: places sharing a location share the answer
     key = ["__plat", "__plon"]

@@ -52,7 +52,7 @@ def rolling_std(col: str, w, rows: int = 3, fill: float | None = 0.0) -> Column:
 
 # ---- skew-safe sequence index ------------------------------------------------------------------
 def sequence_index(df: DataFrame, key: str, order: str, chunk: Column | None = None,
-                   name: str = "seq") -> DataFrame:
+                   name: str = "seq", tie: str | None = None) -> DataFrame:
     """Position of each row within its key by ``order`` (0-based), without putting one key in one task.
 
     Rows are cut into (key, chunk) pieces -- by default one calendar day of ``order`` -- and
@@ -61,7 +61,7 @@ def sequence_index(df: DataFrame, key: str, order: str, chunk: Column | None = N
     only the piece table, far smaller than the data, is windowed per key.
     """
     chunk = chunk if chunk is not None else F.to_date(F.col(order))
-    tie = [F.col(c) for c in df.columns if c not in (key, order)][:1]
+    tie = [F.col(c).asc_nulls_last() for c in ([tie] if tie else [c for c in df.columns if c not in (key, order)][:1])]
     pieces = df.withColumn("__chunk", chunk)
     w_in = Window.partitionBy(key, "__chunk").orderBy(F.col(order).asc_nulls_last(), *tie)
     local = pieces.withColumn("__rn", F.row_number().over(w_in) - 1)

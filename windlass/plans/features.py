@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
-from windlass.operators.sequence import mean_of, ref, std_of, use_split, with_lags
+from windlass.operators.sequence import mean_of, ref, std_of, with_lags
 from windlass.operators.temporal import rolling_mean, rolling_std, station_window
 from windlass.session import wide_plan_mode
 
@@ -128,18 +128,18 @@ DERIVED = ["pres_change", "rhum_change", "wspd_change", "pres_rhum_ratio", "wspd
            "frost_risk", "condensation_risk"]
 
 
-def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None, split="auto") -> DataFrame:
+def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None, split: bool = False) -> DataFrame:
     """M1 on every row: native window functions, or raw lags 1-2 on the split path for huge stations."""
     g = thresholds or global_thresholds(obs)
-    if not use_split(obs, "station", split):
+    if not split:
         return obs.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, WindowColumns()).items()])
     lagged = with_lags(obs, RAW, [1, 2], split=True)
     return lagged.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, LagColumns()).items()])
 
 
-def diff_roll(obs: DataFrame, split="auto") -> DataFrame:
+def diff_roll(obs: DataFrame, split: bool = False) -> DataFrame:
     """W1 + W4 + W5: native window functions (one exchange), or lags 1-2 on the split path."""
-    if use_split(obs, "station", split):
+    if split:
         acc, src = LagColumns(), with_lags(obs, DIFF_COLS, [1, 2], split=True)
     else:
         acc, src = WindowColumns(), obs
@@ -185,7 +185,7 @@ def enhanced_columns(lat: str = "latitude", lon: str = "longitude") -> dict[str,
 
 
 def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, float] | None = None,
-                  split="auto") -> DataFrame:
+                  split: bool = False) -> DataFrame:
     """The classifier's table: 36 base columns (6 raw + 30 derived), their lags 1-3,
     coordinates, 24 enhanced columns and the 4-class label (codes 23-27 removed).
 

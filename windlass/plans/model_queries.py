@@ -16,7 +16,7 @@ from windlass.operators.aggregates import round_doubles
 from windlass.operators.reshape import pivot_ranks
 from windlass.operators.sampling import hash_order, sample_n, split_by_hash
 from windlass.operators.spatial import k_nearest
-from windlass.operators.sequence import use_split, with_lags
+from windlass.operators.sequence import with_lags
 from windlass.operators.temporal import running_id, time_folds
 from windlass.plans.registry import (R, bucket_sql, circ_sql, hash_sql, haversine_sql, pmod360_sql,
                                      query)
@@ -264,7 +264,7 @@ SELECT station, time, CAST(i AS INTEGER) AS row_index, CAST(fold AS INTEGER) AS
 """)
 def q_time_folds(spark, d):
     o = sv.obs(spark, d).select("station", "time")
-    return time_folds(o, "station", ["time"], split=use_split(o, "station", "auto")).select(
+    return time_folds(o, "station", ["time"], split=False).select(
         "station", "time", "row_index", "fold", "role")
 
 

@@ -135,11 +135,11 @@ SELECT season, direction, count, {R('count * 100e0 / sum(count) OVER (PARTITION
 FROM (SELECT CASE WHEN month IN (12, 1, 2) THEN 'Winter' WHEN month BETWEEN 3 AND 5 THEN 'Spring'
                WHEN month BETWEEN 6 AND 8 THEN 'Summer' WHEN month BETWEEN 9 AND 11 THEN 'Fall' END AS season,
              {_COMPASS_SQL} AS direction, count(*) AS count
-      FROM normals GROUP BY 1, 2)
+      FROM normals WHERE {_COMPASS_SQL} IS NOT NULL AND month BETWEEN 1 AND 12 GROUP BY 1, 2)
 """)
 def q_season_direction_share(spark, d):
     n = sv.normals(spark, d).select(season("month").alias("season"), compass_label("dir_code").alias("direction"))
-    c = n.groupBy("season", "direction").agg(F.count(F.lit(1)).alias("count"))
+    c = n.dropna().groupBy("season", "direction").agg(F.count(F.lit(1)).alias("count"))
     return round_doubles(share_within(c, ["season"], "count", "percentage"), DIGITS)
 
 

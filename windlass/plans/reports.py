@@ -26,10 +26,16 @@ from windlass.sources import standins as sv
 
 
 def _obs_of_places(obs: DataFrame, stations: DataFrame, places: DataFrame, start: str, end: str,
-                   key: str = "city") -> DataFrame:
-    """S3: observations in [start, end] of each place's nearest station (rank 1)."""
+                   key: str = "city", whole_days: bool = False) -> DataFrame:
+    """S3: observations in [start, end] of each place's nearest station (rank 1). The ends are times, or with
+    ``whole_days`` dates, the last one included whole (S5)."""
     near = k_nearest(places, stations, 1, place_key=key).select(*places.columns, "station")
-    o = obs.filter(F.col("time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    if whole_days:
+        after = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
+        o = obs.filter((F.col("time") >= first) & (F.col("time") < after))
+    else:
+        o = obs.filter(F.col("time").between(first, last))
     return near.join(o, "station")
 
 
@@ -86,7 +92,7 @@ def regional_daily_wind(obs, stations, places, start="2024-01-01", end="2024-12-
                         factor: float = KMH_TO_MPH) -> DataFrame:
     """Daily mean speed (mph) per place; places without data get a null spine (J9); mean per
     (date, region)."""
-    o = _obs_of_places(obs, stations, places, start, end)
+    o = _obs_of_places(obs, stations, places, start, end, whole_days=True)
     daily = o.groupBy("region", "city", F.to_date("time").alias("date")).agg(
         (F.avg("wspd") * F.lit(factor)).alias("wspd_mph"))
     spine = date_spine(places, daily, ["region", "city"], start, end, {"wspd_mph": "double"})
@@ -96,7 +102,7 @@ def regional_daily_wind(obs, stations, places, start="2024-01-01", end="2024-12-
 
 def geo_feature_temperature(obs, stations, feature_places, start="2024-01-01", end="2024-12-31") -> DataFrame:
     """Daily mean temperature (F) per feature place; null spine for features without data."""
-    o = _obs_of_places(obs, stations, feature_places, start, end, key="feature")
+    o = _obs_of_places(obs, stations, feature_places, start, end, key="feature", whole_days=True)
     daily = o.groupBy("feature", F.to_date("time").alias("date")).agg(F.avg(c_to_f("temp")).alias("temp_f"))
     spine = date_spine(feature_places, daily, ["feature"], start, end, {"temp_f": "double"})
     return daily.unionByName(spine).groupBy("date", F.col("feature").alias("Feature")).agg(
@@ -112,9 +118,9 @@ def tornado_data(tracks: DataFrame, stations: DataFrame, obs: DataFrame, year: i
     ev = t.select(F.col("Tornado Number").alias("tornado_number"), F.col("State Abbreviation").alias("state"),
                   F.col("Magnitude").alias("magnitude"), F.col("Starting Latitude").alias("lat"),
                   F.col("Starting Longitude").alias("lon"), F.col("event_date").alias("d"))
-    near = k_nearest(ev.select("tornado_number", "lat", "lon"), stations, 1, place_key="tornado_number",
-                     place_lat="lat", place_lon="lon").select("tornado_number", "station")
-    j = event_window_join(ev.join(near, "tornado_number"), obs.select("station", "time", "wspd", "wdir"), days)
+    # k_nearest keeps the track's columns: joining back on a number that repeats would multiply rows
+    near = k_nearest(ev, stations, 1, place_key="tornado_number", place_lat="lat", place_lon="lon").select(*ev.columns, "station")
+    j = event_window_join(near, obs.select("station", "time", "wspd", "wdir"), days)
     return j.select("tornado_number", "state", "magnitude", "lat", "lon", "time",
                     ((F.unix_micros(F.col("time").cast("timestamp")) -
                       F.unix_micros(F.col("d").cast("timestamp"))) / F.lit(3600000000e0)).alias("time_delta"),

@@ -66,13 +66,13 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-track shape, one event per order: ev, station, magnitude, d, start point."""
     o = _read(spark, sf_dir, "orders").select("o_orderkey")
-    base = o.select(F.col("o_orderkey").alias("ev"), F.col("o_orderkey").cast("int").alias("q"))
+    base = o.select(F.col("o_orderkey").alias("ev"), F.col("o_orderkey").alias("q"))
     st = F.col("q") % 15
     return base.select(
         "ev",
         st.cast("bigint").alias("station"),
-        (F.floor(F.col("q") / F.lit(7e0)).cast("int") % 5).alias("magnitude"),
-        F.date_add(F.lit("2024-01-04").cast("date"), F.col("q") % 24).alias("d"),
+        (F.floor(F.col("q") / F.lit(7e0)) % 5).cast("int").alias("magnitude"),
+        F.date_add(F.lit("2024-01-04").cast("date"), (F.col("q") % 24).cast("int")).alias("d"),
         # start point: the placed coordinates of the station, so the nearest-station search
         # (J4, k=1) must find it again
         (F.lit(25) + (st * 7 % 240) / F.lit(10e0)).alias("start_lat"),
@@ -90,7 +90,7 @@ def normals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.month("l_shipdate").alias("month"),
         F.dayofyear("l_shipdate").alias("day_of_year"),
         "l_quantity", "l_discount", "l_tax", "l_extendedprice",
-        (F.lit(1) + F.col("l_orderkey") % 8).cast("int").alias("dir_code"),
+        (F.col("l_orderkey") % 10).cast("int").alias("dir_code"),  # 0 and 9 are no direction
     )
 
 
@@ -122,18 +122,18 @@ stations AS (
     "events_dim": """
 events_dim AS (
   SELECT o_orderkey AS ev, CAST(q % 15 AS BIGINT) AS station,
-    CAST(floor(q/7e0) AS INTEGER) % 5 AS magnitude,
-    date '2024-01-04' + q % 24 AS d,
+    CAST(CAST(floor(q/7e0) AS BIGINT) % 5 AS INTEGER) AS magnitude,
+    date '2024-01-04' + CAST(q % 24 AS INTEGER) AS d,
     25 + ((q % 15)*7 % 240)/10e0 AS start_lat,
     -120 + ((q % 15)*13 % 450)/10e0 AS start_lon
-  FROM (SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS q FROM orders)
+  FROM (SELECT o_orderkey, o_orderkey AS q FROM orders)
 )""",
     "normals": """
 normals AS (
   SELECT l_orderkey AS row_key, l_linenumber AS line, l_shipdate AS ts,
     CAST(month(l_shipdate) AS INTEGER) AS month, CAST(dayofyear(l_shipdate) AS INTEGER) AS day_of_year,
     l_quantity, l_discount, l_tax, l_extendedprice,
-    CAST(1 + l_orderkey % 8 AS INTEGER) AS dir_code
+    CAST(l_orderkey % 10 AS INTEGER) AS dir_code
   FROM lineitem
 )""",
 }
