@@ -119,10 +119,10 @@ def last_served(line: DataFrame, rows_per_range: int):
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them: a row for each copy taken, all columns unchanged."""
-    taken = mix(docs, **how).filter("copies > 0").groupBy("row_key").agg(F.max("copies").alias("__copies"))
+    taken = mix(docs, **how).filter("copies > 0").groupBy(F.col("row_key").alias("__row")).agg(F.max("copies").alias("__copies"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(*columns, row_key(F.col("doc_id"), F.col("text")).alias("__key"))
-    joined = keyed.join(saved(taken, "taken"), F.col("__key") == F.col("row_key"))
+    joined = keyed.join(saved(taken, "taken"), F.col("__key") == F.col("__row"))
     return joined.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 

@@ -32,6 +32,7 @@ HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODES = len(ALPHABET) + 1  # code 0: any other character
+BACK = 5
 
 
 def pieces(text: Column, pattern: str, groups: int = 0) -> Column:
@@ -76,10 +77,13 @@ def pair_counts(strings: DataFrame) -> dict[tuple[int, int], int]:
 
 
 def ratio_table(random: dict, ordinary: dict) -> list[float]:
-    """log p(b | a, random) - log p(b | a, ordinary) at place a * CODES + b; one is added to each count."""
+    """log p(b | a, random) - log p(b | a, ordinary) at place a * CODES + b. Pairs are backed by the share of their second
+    character (``BACK`` pseudo-counts), that by one count for each character."""
     def model(counts):
+        ends = [sum(counts.get((a, b), 0) for a in range(CODES)) + 1 for b in range(CODES)]
+        share = [n / sum(ends) for n in ends]
         total = [sum(counts.get((a, b), 0) for b in range(CODES)) for a in range(CODES)]
-        return [[(counts.get((a, b), 0) + 1) / (total[a] + CODES) for b in range(CODES)] for a in range(CODES)]
+        return [[(counts.get((a, b), 0) + BACK * share[b]) / (total[a] + BACK) for b in range(CODES)] for a in range(CODES)]
 
     p, q = model(random), model(ordinary)
     return [math.log(p[a][b] / q[a][b]) for a in range(CODES) for b in range(CODES)]
