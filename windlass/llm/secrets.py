@@ -1,7 +1,7 @@
 """Secret scans by character Markov models (native: DataFrame functions only).
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from samples
-that the base patterns label: the values they match are random, words of texts without a match are ordinary. At most
+that the base patterns label: the values they match are random, runs of letters or of digits in texts without a match are ordinary. At most
 ``sample`` strings of each class (picked by hash; ordinary ones from ``sample_docs`` documents) are used: the documented
 bound of the training sample. Only the table of character pair counts reaches the driver. A run of key characters
 outside the base spans is a secret if the log-likelihood ratio of the models is high enough, in total and a character.
@@ -95,7 +95,7 @@ def train(found: DataFrame, sample: int = 20_000, sample_docs: int = 2_000) -> l
     values = (found.filter(held > 0).select(F.explode(F.concat("assign", "access", "hex")).alias("s"))
               .select(F.col("s.string").alias("string")).filter("string rlike '[0-9]'").distinct())
     some = found.filter((held == 0) & (F.length("text") > 0)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    words = (some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_-]{5,}"), F.lit(0))).alias("string")).distinct())
+    words = (some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_-]{6,}|[0-9]{4,}"), F.lit(0))).alias("string")).distinct())
     # a limit on the hash order: every task sends its first ``sample`` strings at most
     picked = [saved(s.filter(F.length("string") > 1).orderBy(F.xxhash64("string"), "string").limit(sample), "strings") for s in (values, words)]
     return ratio_table(*map(pair_counts, picked))
