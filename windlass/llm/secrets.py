@@ -94,7 +94,10 @@ def train(found: DataFrame, sample: int = 20_000, sample_docs: int = 2_000) -> l
     held = F.size("assign") + F.size("access") + F.size("hex")
     values = (found.filter(held > 0).select(F.explode(F.concat("assign", "access", "hex")).alias("s"))
               .select(F.col("s.string").alias("string")).filter("string rlike '[0-9]'").distinct())
-    some = found.filter((held == 0) & (F.length("text") > 0)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    plain = found.filter((held == 0) & (F.length("text") > 0) & F.col("doc_id").isNotNull())
+    # ids are picked first, so that no task gathers texts; sample_docs ids at most are broadcast
+    ids = plain.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    some = plain.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     words = (some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_-]{6,}|[0-9]{4,}"), F.lit(0))).alias("string")).distinct())
     # a limit on the hash order: every task sends its first ``sample`` strings at most
     picked = [saved(s.filter(F.length("string") > 1).orderBy(F.xxhash64("string"), "string").limit(sample), "strings") for s in (values, words)]
