@@ -442,6 +442,20 @@ def test_diff_roll_split_equals_native_window(spark):
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9, atol=1e-9)
 
 
+def test_diff_roll_orders_tied_times_alike_on_both_paths(spark):
+    from datetime import datetime
+
+    from windlass.plans import features as fx
+    rows = [(1, float(t), datetime(2024, 1, 1, h), 10.0 * t, t + 0.5, t * 2.0, t * 3.0, t * 4.0)
+            for h, t in [(1, 9), (1, 4), (0, 3), (1, 1), (2, 7), (2, 2)]]
+    df = spark.createDataFrame(rows, "station long, rid double, time timestamp_ntz, " + ", ".join(f"{c} double" for c in fx.DIFF_COLS))
+    a, b = (fx.diff_roll(df.repartition(3), split=split).orderBy("rid").toPandas() for split in (False, True))
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12, atol=1e-12)
+    change = dict(zip(a["rid"], a["pres_change"]))
+    assert np.isnan(change.pop(3.0))
+    assert change == {1.0: -20.0, 4.0: 30.0, 9.0: 50.0, 2.0: -70.0, 7.0: 50.0}
+
+
 def test_k_nearest_plan_has_no_nested_loop(spark):
     st = spark.createDataFrame([(i, 40.0 + i * 0.1, -80.0 + i * 0.1) for i in range(30)],
                                "station long, latitude double, longitude double")

@@ -22,12 +22,18 @@ from pyspark.sql import functions as F
 
 from windlass.operators.temporal import lag_block, sequence_index, station_window
 
+
+def tie_column(columns: Sequence[str], key: str = "station", order: str = "time") -> str | None:
+    """The column that orders rows of equal time by default: the first one besides key and order."""
+    return next((c for c in columns if c not in (key, order)), None)
+
+
 def with_lags(df: DataFrame, cols: Sequence[str], lags: Sequence[int], key: str = "station",
               order: str = "time", split: bool = False, tie: str | None = None) -> DataFrame:
     """Lags of ``cols`` in ``order``, rows of equal order by ``tie`` (default: the first other column), so both
     paths see one total order and give equal results. ``split=True`` is for keys too large for one task; the
     caller says so, nothing is counted."""
-    tie = tie or next((c for c in df.columns if c not in (key, order)), None)
+    tie = tie or tie_column(df.columns, key, order)
     lags = sorted(set(lags))
     if not split:
         return lag_block(df, list(cols), lags, station_window(key, [order, tie] if tie else [order]))

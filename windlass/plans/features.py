@@ -8,13 +8,15 @@ one-row aggregate and enter the row expressions as literals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
-from windlass.operators.sequence import mean_of, ref, std_of, with_lags
+from windlass.operators.sequence import mean_of, ref, std_of, tie_column, with_lags
 from windlass.operators.temporal import rolling_mean, rolling_std, station_window
 from windlass.session import wide_plan_mode
 
@@ -62,8 +64,9 @@ class WindowColumns:
     """The same accessors as native window functions over the per-station window (one exchange
     and sort; used when no station is too large for one task)."""
 
-    def __init__(self):
-        self.w = station_window()
+    def __init__(self, columns: Sequence[str]):
+        tie = tie_column(columns)
+        self.w = station_window(order=["time", tie] if tie else ["time"])
 
     def lag(self, c: str, j: int) -> Column:
         return F.col(c) if j == 0 else F.lag(c, j).over(self.w)
@@ -132,7 +135,7 @@ def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None,
     """M1 on every row: native window functions, or raw lags 1-2 on the split path for huge stations."""
     g = thresholds or global_thresholds(obs)
     if not split:
-        return obs.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, WindowColumns()).items()])
+        return obs.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, WindowColumns(obs.columns)).items()])
     lagged = with_lags(obs, RAW, [1, 2], split=True)
     return lagged.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, LagColumns()).items()])
 
@@ -142,7 +145,7 @@ def diff_roll(obs: DataFrame, split: bool = False) -> DataFrame:
     if split:
         acc, src = LagColumns(), with_lags(obs, DIFF_COLS, [1, 2], split=True)
     else:
-        acc, src = WindowColumns(), obs
+        acc, src = WindowColumns(obs.columns), obs
     cols = {f"{c}_change": acc.lag(c, 0) - acc.lag(c, 1) for c in DIFF_COLS}
     cols.update({k: acc.mean3(v) for k, v in TREND_COLS.items()})
     cols.update({k: acc.std3(v) for k, v in VOLATILITY_COLS.items()})
