@@ -2,8 +2,8 @@
 
 A link table has long columns ``a`` and ``b``. Every round is two joins with the smallest neighbour; minima are
 aggregated map-side and written before the join, so both sides of the join are plain exchanges and AQE can split
-a node with very many links. Rounds are written to the shared folder; nothing but a count and a checksum of the
-links reaches the driver.
+a node with very many links. Rounds are written to the shared folder and end as soon as the links are stars, which
+one small aggregation tells; nothing else reaches the driver.
 """
 
 from __future__ import annotations
@@ -40,11 +40,21 @@ def _local_stars(frames):
         yield pd.DataFrame(forest(zip(frame["a"].tolist(), frame["b"].tolist())), columns=["a", "b"], dtype="int64")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Every node ``a`` has one link only and is no other node's ``b``: nothing is left to contract."""
+    ends = (edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            .unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    at = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return at.filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component): each linked node with the smallest node of its component."""
+    """(node, component): each linked node with the smallest node of its component. Every link of the rounds leads
+    from ``a`` to a smaller ``b``, so the centre of a star is its smallest node."""
     edges = saved(links.filter("a <> b").mapInPandas(_local_stars, "a long, b long").distinct(), "links")
-    state = None
     for _ in range(most_rounds):
+        if are_stars(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
         large = saved(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -53,8 +63,4 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         small = (large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                                F.col("least").alias("b")).distinct())
         edges = saved(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
