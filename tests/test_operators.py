@@ -13,7 +13,7 @@ from windlass.functions import scalar as fs
 from windlass.functions.circular import angular_error, circular_mean, degrees_from_sin_cos, sin_cos
 from windlass.operators import aggregates as agg
 from windlass.operators import metrics as mx
-from windlass.operators import reshape, sampling, selection, temporal
+from windlass.operators import quantiles, reshape, sampling, selection, temporal
 from windlass.operators.joins import not_in_keep_null, reindex
 from windlass.operators.spatial import haversine_km, k_nearest
 
@@ -425,13 +425,35 @@ def test_running_id_consecutive_in_order(spark):
     assert list(exp.rid) == list(range(5000))
 
 
-@pytest.mark.parametrize("max_map", [10, 10_000_000])
-def test_global_quantiles_both_paths_match_numpy(spark, max_map):
+def _sorted_quantile(vals, p):
+    s, x = sorted(vals), (len(vals) - 1) * p
+    lo, hi = math.floor(x), math.ceil(x)
+    return s[lo] if lo == hi else (hi - x) * s[lo] + (x - lo) * s[hi]
+
+
+def test_quantiles_equal_a_full_sort_at_every_spread(spark):
     rng = np.random.default_rng(3)
-    vals = rng.normal(size=3001)
-    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(5)
-    got = agg.global_quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], max_map_values=max_map)
-    np.testing.assert_allclose(got, np.quantile(vals, [0.1, 0.25, 0.5, 0.9]), rtol=1e-12)
+    groups = {"normal": rng.normal(size=3001), "wide": rng.normal(size=800) * 10.0 ** rng.integers(-200, 200, 800),
+              "outlier": np.append(rng.random(500), 1e308), "dense": 1 + rng.random(700) * 1e-9, "ties": rng.integers(-2, 3, 400) / 2,
+              "powers": np.concatenate([s * 2.0 ** np.arange(-60, 60) * f for s in (1, -1) for f in (1, 1 - 1e-16, 1 + 3e-16)]),
+              "one": np.array([7.5]), "tiny": np.array([0.0, 5e-324, -5e-324, 1e-301, -1e-301, 1e-299])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(None, 1.0), (None, 4.0), ("normal", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.95, 1.0]
+    got = {r["g"]: r["quantiles"] for r in quantiles.grouped_quantiles(df, ["g"], "x", probs).collect()}
+    groups[None] = np.array([1.0, 4.0])
+    assert got == {g: [_sorted_quantile(vs.tolist(), p) for p in probs] for g, vs in groups.items()}
+    assert quantiles.global_quantiles(df.filter("g = 'none'"), "x", [0.5]) == [None]
+    np.testing.assert_allclose(got["normal"], np.quantile(groups["normal"], probs), rtol=1e-12)
+
+
+def test_value_range_never_decreases(spark):
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(size=2000) * 10.0 ** rng.integers(-300, 300, 2000), 2.0 ** np.arange(-1074.0, 1024),
+                           np.nextafter(2.0 ** np.arange(-1000.0, 1024), 0), [0.0, -0.0, np.inf, -np.inf, 1.7976931348623157e308]])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = [r["r"] for r in df.select("x", quantiles.value_range(F.col("x")).alias("r")).orderBy("x").collect()]
+    assert got == sorted(got)
 
 
 def test_diff_roll_split_equals_native_window(spark):

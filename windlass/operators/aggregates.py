@@ -2,20 +2,19 @@
 
 All grouped statistics are built-in aggregates. Algebraic ones (avg, sum, count, min, max,
 stddev, the sin/cos means of a direction) combine map-side, so a hot group costs no more
-than any other. Exact percentiles keep a value->count map per group: its size is the number
-of *distinct* values (small for measured quantities with a fixed resolution); ``approx=True``
-switches to the bounded-memory sketch for data with unbounded distinct values.
+than any other. Exact quantiles come from ``operators.quantiles`` (one method at every size);
+``approx=True`` asks for the bounded-memory sketch instead.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windlass.functions.circular import circular_mean
+from windlass.operators.quantiles import global_quantiles_many, grouped_quantiles
 
 
 def _c(x) -> Column:
@@ -23,61 +22,13 @@ def _c(x) -> Column:
 
 
 def quantile(col, p: float, approx: bool = False, accuracy: int = 10000) -> Column:
-    """Linear-interpolated quantile (pandas/NumPy default); ``approx`` uses the sketch."""
+    """Linear-interpolated quantile (pandas/NumPy default) as an aggregate; ``approx`` uses the sketch. The exact
+    form keeps a map of a group's distinct values in one task: for few distinct values, else ``grouped_quantiles``."""
     if approx:
         return F.percentile_approx(_c(col), p, accuracy)
     return F.percentile(_c(col), F.lit(p))
 
 
-MAX_MAP_VALUES = 100_000
-
-
-def global_quantiles_many(df: DataFrame, wanted: dict[str, Sequence[float]],
-                          max_map_values: int = MAX_MAP_VALUES) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of several columns over all rows.
-
-    One aggregation estimates every column's count and distinct count (HyperLogLog). Columns
-    with few distinct values share one ``percentile`` aggregation (value->count maps, combined
-    map-side). A column with many distinct values uses rank selection: a range-partitioned
-    sort, per-partition counts turned into global ranks (``running_id``), and only the rows at
-    the needed ranks are fetched. No task ever holds all values of a column.
-    """
-    stats = df.agg(*[x for c in wanted for x in (F.count(F.col(c)).alias(f"n__{c}"),
-                                                F.approx_count_distinct(F.col(c)).alias(f"d__{c}"))]).first()
-    out: dict[str, list[float | None]] = {}
-    small = [c for c in wanted if stats[f"n__{c}"] and stats[f"d__{c}"] <= max_map_values]
-    if small:
-        r = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(c)
-                     for c in small]).first()
-        out.update({c: list(r[c]) for c in small})
-    from windlass.operators.temporal import running_id
-    for c in wanted:
-        if c in out:
-            continue
-        n = stats[f"n__{c}"]
-        if not n:
-            out[c] = [None for _ in wanted[c]]
-            continue
-        ranks = {p: (int(math.floor((n - 1) * p)), int(math.ceil((n - 1) * p)), (n - 1) * p) for p in wanted[c]}
-        need = sorted({r for lo, hi, _ in ranks.values() for r in (lo, hi)})
-        ranked = running_id(df.select(F.col(c).alias("__v")).filter(F.col("__v").isNotNull()),
-                            [F.col("__v").asc()], "__r")
-        got = {r["__r"]: r["__v"] for r in ranked.filter(F.col("__r").isin(need)).collect()}  # <= 2 per prob
-        vals = []
-        for p in wanted[c]:
-            lo, hi, pos = ranks[p]
-            a, b = float(got[lo]), float(got[hi])
-            vals.append(a if lo == hi else (hi - pos) * a + (pos - lo) * b)
-        out[c] = vals
-    return out
-
-
-def global_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                     max_map_values: int = MAX_MAP_VALUES) -> list[float | None]:
-    """Exact quantiles of one column over all rows (see ``global_quantiles_many``)."""
-    return global_quantiles_many(df, {col: list(probs)}, max_map_values)[col]
-
-
 def round_doubles(df: DataFrame, digits: int | None) -> DataFrame:
     """Half-even rounding of every double column as pandas/NumPy do it (``rint(x*10^d)/10^d``,
     plain double arithmetic inside codegen); ``+ 0.0`` turns a negative zero into 0.0 so equal
@@ -92,13 +43,24 @@ def round_doubles(df: DataFrame, digits: int | None) -> DataFrame:
 def wind_profile(obs: DataFrame, keys: Sequence[str], speed: str = "wspd", direction: str = "wdir",
                  q: float = 0.95, approx: bool = False) -> DataFrame:
     """A3: mean, q-quantile, max, sample std of speed and circular mean of direction per group."""
-    return obs.groupBy(*keys).agg(
+    ks = [f"__g{i}" for i in range(len(keys))]
+    stats = obs.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, ks)]).agg(
         F.avg(speed).alias("avg_wind_speed_kmh"),
-        quantile(speed, q, approx).alias("wind_speed_95th_kmh"),
         F.max(speed).alias("max_wind_speed_kmh"),
         F.stddev_samp(speed).alias("wind_speed_std_kmh"),
         circular_mean(direction).alias("avg_wind_direction_deg"),
+        *([quantile(speed, q, approx=True).alias("wind_speed_95th_kmh")] if approx else []),
     )
+    own = [F.col(g).alias(k) for g, k in zip(ks, keys)]
+    order = ["avg_wind_speed_kmh", "wind_speed_95th_kmh", "max_wind_speed_kmh", "wind_speed_std_kmh", "avg_wind_direction_deg"]
+    if approx:
+        return stats.select(*own, *order)
+    exact = grouped_quantiles(obs, keys, speed, [q], "__q")
+    same = F.lit(True)
+    for k, g in zip(keys, ks):
+        same = same & F.col(k).eqNullSafe(F.col(g))
+    joined = stats.join(exact, same, "left").withColumn("wind_speed_95th_kmh", F.col("__q")[0])
+    return joined.select(*own, *order)
 
 
 def wind_mean(obs: DataFrame, keys: Sequence[str], speed: str = "wspd", direction: str = "wdir") -> DataFrame:
@@ -124,11 +86,10 @@ def min_mean_max(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> DataFrame:
     """A4: pandas-style ``describe`` (count, mean, std, min, 25%, 50%, 75%, max) as rows.
 
-    One aggregation pass computes every statistic of every column; the single result row is
-    then unpivoted with ``stack`` -- no second scan, nothing collected.
+    One aggregation pass computes every other statistic of every column; the single result row is
+    then unpivoted.
     """
-    # quartiles: exact per column via ``global_quantiles`` (value map for few distinct values,
-    # rank selection for many), entered as literals
+    # quartiles: exact, of all columns at once, entered as literals
     simple = [("count", lambda c: F.count(c).cast("double")), ("mean", F.avg), ("std", F.stddev_samp),
               ("min", lambda c: F.min(c).cast("double")), ("max", lambda c: F.max(c).cast("double"))]
     aggs = [fn(F.col(c)).alias(f"{name}__{c}") for name, fn in simple for c in cols]

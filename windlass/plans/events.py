@@ -98,6 +98,18 @@ def q_event_case_study(spark, d):
     return event_window_wind(case_study_events(sv.events_dim(spark, d)), sv.stations(spark, d), sv.obs(spark, d))
 
 
+def event_sites(events: DataFrame, stations: DataFrame, obs: DataFrame, days: int = 3) -> DataFrame:
+    """Events whose nearest station has an observation in the window of ``event_window_wind``. The observations
+    are first reduced to the earliest time of each (station, day): the last day counts at its midnight only."""
+    near = nearest_stations(events, stations, 1, "ev", "start_lat", "start_lon").select("ev", "station")
+    seen = obs.groupBy("station", F.to_date("time").alias("__day")).agg(F.min("time").alias("__first"))
+    ev = (events.select("ev", "magnitude", "d").join(near, "ev")
+          .withColumn("__last", F.date_add("d", days).cast("timestamp_ntz"))
+          .withColumn("__day", F.explode(F.sequence(F.date_sub("d", days), F.date_add("d", days)))))
+    hits = ev.join(seen, ["station", "__day"]).filter(F.col("__first") <= F.col("__last"))
+    return hits.select("ev", "magnitude", "station").distinct()
+
+
 @query("event_distinct_sites", "A22 A16", views=("obs", "stations", "events_dim"),
        sql="WITH " + _NEAR1_SQL.format(src="events_dim") + """
 SELECT DISTINCT n.ev, n.magnitude, n.station FROM near n
@@ -106,5 +118,4 @@ WHERE EXISTS (SELECT 1 FROM obs o WHERE o.station = n.station
 """)
 def q_event_distinct_sites(spark, d):
     """Distinct event sites that have observations in their window."""
-    w = event_window_wind(sv.events_dim(spark, d), sv.stations(spark, d), sv.obs(spark, d))
-    return w.select("ev", "magnitude", "station").dropDuplicates()
+    return event_sites(sv.events_dim(spark, d), sv.stations(spark, d), sv.obs(spark, d))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
+from windlass.operators.quantiles import global_quantiles_many
 from windlass.operators.sequence import mean_of, ref, std_of, tie_column, with_lags
 from windlass.operators.temporal import rolling_mean, rolling_std, station_window
 from windlass.session import wide_plan_mode
@@ -28,14 +29,10 @@ LAGS = [1, 2, 3]
 
 
 def global_thresholds(obs: DataFrame) -> dict[str, float]:
-    """Means and 0.1/0.9 quantiles over all rows (one aggregation)."""
-    g = global_scalars(obs, {
-        "pres_mean": F.avg("pres"), "temp_mean": F.avg("temp"),
-        "pres_q10": F.percentile("pres", F.lit(0.1)), "wspd_q90": F.percentile("wspd", F.lit(0.9)),
-        "temp_q": F.percentile("temp", F.array(F.lit(0.1), F.lit(0.9))),
-    })
-    tq = g.pop("temp_q") or [None, None]
-    g["temp_q10"], g["temp_q90"] = tq[0], tq[1]
+    """Means and 0.1/0.9 quantiles over all rows."""
+    g = global_scalars(obs, {"pres_mean": F.avg("pres"), "temp_mean": F.avg("temp")})
+    q = global_quantiles_many(obs, {"pres": [0.1], "wspd": [0.9], "temp": [0.1, 0.9]})
+    (g["pres_q10"],), (g["wspd_q90"],), (g["temp_q10"], g["temp_q90"]) = q["pres"], q["wspd"], q["temp"]
     return g
 
 
