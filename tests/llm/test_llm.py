@@ -272,6 +272,17 @@ def test_language_model_is_a_distribution_and_its_gradient_is_right():
     assert language_model.log_probabilities(trained, v, [ids])[0] > language_model.log_probabilities(flat, v, [ids])[0] + 2
 
 
+def test_language_model_knows_more_words_of_a_larger_corpus():
+    sizes = []
+    for distinct in (100_000, 800_000):
+        words = {b"%d" % i: 2 + 10 ** 6 // (i + 1) for i in range(distinct)}
+        v = language_model.Vocabulary({b"": 50, **words}, sum(words.values()) + 50, distinct + 1)
+        assert len(v.ids) == language_model.model_words(distinct + 1) and set(v.ids) == set(list(words)[:len(v.ids)])
+        assert 0.5 < len(v.class_bias) / math.sqrt(len(v.ids)) < 1.2
+        sizes.append(len(v.ids))
+    assert sizes[1] > 3.9 * sizes[0]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(12, 16))

@@ -1,12 +1,13 @@
 """LM scoring: a gated recurrent language model with a class-factored output softmax.
 
 Corpus counts: words are counted over all training documents in one shuffle with map-side counts. Every word's count
-reaches the documents: the more frequent ones (at most ``MOST_FREQUENT``, above a count read from a histogram) as a
-broadcast table, all others by an equi-join on the word.
+reaches the documents: the more frequent ones (at most ``MOST_FREQUENT``, or as many as the model
+knows, above a count read from a histogram) as a broadcast table, all others by an equi-join on the word.
 
-Model: the ``MODEL_WORDS`` most frequent words, the end and one unknown word are embedded; a gated recurrent unit carries
-its state through the whole document; the softmax is factored into classes of about equal share. Biases start at the
-corpus frequencies. An unknown word gets the model's probability of the unknown, divided among the rest by smoothed
+Model: the most frequent words (``model_words``: the distinct words to the power 2/3, so the vocabulary grows with the
+corpus), the end and one unknown word are embedded; a gated recurrent unit carries its state through the whole document;
+the softmax is factored into about the square root of that many classes of about equal share. Biases start at the corpus
+frequencies. An unknown word gets the model's probability of the unknown, divided among the rest by smoothed
 counts, so every text has a probability.
 
 Training: truncated backpropagation in numpy, state carried from window to window, on every ``share``-th training document
@@ -31,12 +32,17 @@ from pyspark.sql import functions as F
 
 from windlass.llm.common import id_remainder, saved, whole_text
 
-MODEL_WORDS, MOST_FREQUENT = 1000, 131_072
+LEAST_WORDS, MOST_FREQUENT = 1000, 131_072
 END, UNKNOWN = 0, 1
 WIDTH = 24
 END_WORD = ""  # a word is never empty
 
 
+def model_words(distinct: int) -> int:
+    """How many words the model knows in a corpus of ``distinct`` words."""
+    return max(LEAST_WORDS, math.ceil(distinct ** (2 / 3)))
+
+
 def words_of(text: str) -> list[bytes]:
     """Words between space and the characters 9-13, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -68,14 +74,14 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
-    """The words of at least ``bound`` occurrences, at most MOST_FREQUENT of them, and ``bound``."""
+def frequent_words(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
+    """The words of at least ``bound`` occurrences, at most ``most`` of them, and ``bound``."""
     step = F.floor(F.log2("n") * 16).cast("long")
     histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
     bound, held = None, 0
     for row in histogram:  # at most 1,024 rows
         held += row["words"]
-        if held > MOST_FREQUENT:
+        if held > most:
             break
         bound = row["least"]
     if bound is None:
@@ -87,11 +93,12 @@ def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
 class Vocabulary:
     """Model words by falling count, and their classes: runs of about equal share of sqrt(count)."""
 
-    def __init__(self, frequent: dict[bytes, int], total: int, distinct: int, classes: int = 32):
+    def __init__(self, frequent: dict[bytes, int], total: int, distinct: int, classes: int | None = None):
         frequent = dict(frequent)
         ends = frequent.pop(END_WORD.encode(), 0)
-        words = sorted(frequent, key=lambda w: (-frequent[w], w))[:MODEL_WORDS]
+        words = sorted(frequent, key=lambda w: (-frequent[w], w))[:model_words(distinct)]
         known = [frequent[w] for w in words]
+        classes = classes or max(1, round(math.sqrt(len(words))))
         self.ids = {w: i + 2 for i, w in enumerate(words)}
         self.rest_count, self.rest_words = total - ends - sum(known), distinct - len(words) - (1 if ends else 0)
         counts = np.array([ends, self.rest_count, *known], np.float64) + 1
@@ -146,11 +153,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def forward(p: dict, ids: np.ndarray, state: np.ndarray):
     """States after each step (steps, rows, WIDTH) for inputs ids (rows, steps), and what backpropagation needs."""
-    table = p["embed"] @ p["input"] + p["bias"]
+    used, at = np.unique(ids, return_inverse=True)  # only the window's words, not the whole vocabulary
+    table, at = p["embed"][used] @ p["input"] + p["bias"], at.reshape(ids.shape)
     states, gates = [state], []
     w = p["state"]
     for t in range(ids.shape[1]):
-        x, h = table[ids[:, t]], states[-1]
+        x, h = table[at[:, t]], states[-1]
         a = h @ w
         zr = sigmoid(x[:, :2 * WIDTH] + a[:, :2 * WIDTH])
         z, r = zr[:, :WIDTH], zr[:, WIDTH:]
@@ -257,10 +265,11 @@ def train_shard(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows
             g["state"] += before.T @ da
             back = d * z + da @ p["state"].T
         ids, dx = source.ravel(), dx.reshape(-1, 3 * WIDTH)
-        table = np.zeros((v.size, 3 * WIDTH), np.float32)
-        np.add.at(table, ids, dx)
-        g["embed"] += table @ p["input"].T
-        g["input"] += p["embed"].T @ table
+        order = np.argsort(ids, kind="stable")
+        used, at = np.unique(ids[order], return_index=True)
+        table = np.add.reduceat(dx[order], at, axis=0)
+        g["embed"][used] += table @ p["input"].T
+        g["input"] += p["embed"][used].T @ table
         g["bias"] += dx.sum(0)
         gradient /= max(1, int(mask.sum()))
         gradient *= min(1.0, 1.0 / (float(np.linalg.norm(gradient)) + 1e-12))
@@ -304,7 +313,7 @@ def score_documents(docs: DataFrame, mod: int = 7, left_out: int = 2, share: int
     learned = training(docs, mod, left_out)
     counts = saved(count_words(learned), "word_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent, bound = frequent_words(counts)
+    frequent, bound = frequent_words(counts, max(MOST_FREQUENT, model_words(distinct)))
     v = Vocabulary(frequent, total, distinct)
     flat = docs.sparkSession.sparkContext.broadcast(train(learned, v, share))
     end_log = math.log10(frequent.pop(END_WORD.encode(), 0) + 1)
