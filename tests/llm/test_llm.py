@@ -283,6 +283,18 @@ def test_language_model_knows_more_words_of_a_larger_corpus():
     assert sizes[1] > 3.9 * sizes[0]
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    docs = spark.createDataFrame([(i, "a b " * 30) for i in range(300)], "doc_id long, text string")
+    docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(16)) != 0)  # those a sixteenth by hash leaves out
+    n = docs.count()
+    v = language_model.Vocabulary({b"": n, b"a": 30 * n, b"b": 30 * n}, 61 * n, 3)
+    start = language_model.start_parameters(v)
+    ids = v.encode(language_model.words_of("a b a b a b a b"))
+    for shard_docs in (8000, 70):  # one shard and several
+        learned = language_model.train(docs, v, shard_docs=shard_docs)
+        assert language_model.log_probabilities(learned, v, [ids])[0] > language_model.log_probabilities(start, v, [ids])[0] + 1
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(12, 16))

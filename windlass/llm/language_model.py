@@ -10,9 +10,10 @@ the softmax is factored into about the square root of that many classes of about
 frequencies. An unknown word gets the model's probability of the unknown, divided among the rest by smoothed
 counts, so every text has a probability.
 
-Training: truncated backpropagation in numpy, state carried from window to window, on every ``share``-th training document
-(by hash), so the sample grows with the corpus. Documents are dealt to shards; a round trains every shard from the same
-parameters, and the parameters are averaged by words in a tree. Scoring carries the state across windows of whole
+Training: truncated backpropagation in numpy, state carried from window to window, on all training documents. They are
+dealt to shards; a round trains every shard from the same parameters, batch after batch, and the parameters are averaged
+by words in a tree. A shard has a document for every fourth word of the model at least, so what the averaging sends stays
+in proportion to the text. Scoring carries the state across windows of whole
 documents, many documents at a time.
 
 Defined cases: null and empty texts are the end alone; repeated rows are counted and scored each; null ids count as the
@@ -240,7 +241,7 @@ def log_probabilities(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray]
     return out
 
 
-def train_shard(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows: int = 32, steps: int = 16, rate: float = 0.01) -> np.ndarray:
+def train_shard(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows: int = 128, steps: int = 16, rate: float = 0.01) -> np.ndarray:
     """One pass of truncated backpropagation (Adam) over the shard's documents."""
     flat = flat.copy()
     first, second, step, state = np.zeros_like(flat), np.zeros_like(flat), 0, None
@@ -281,33 +282,38 @@ def train_shard(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows
     return flat
 
 
-def train(texts: DataFrame, v: Vocabulary, share: int = 16, rounds: int = 2, shard_docs: int = 2000) -> np.ndarray:
-    """Parameters learned from every ``share``-th document of ``texts``, by averaging the shards' parameters."""
+def train(texts: DataFrame, v: Vocabulary, share: int = 1, rounds: int = 2, shard_docs: int = 8000) -> np.ndarray:
+    """Parameters learned from every document of ``texts`` (every ``share``-th for tests), by averaging the shards' parameters."""
     spark = texts.sparkSession
     flat = start_parameters(v)
-    sample = saved(texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(share)) == 0).select("doc_id", "text"), "lm_sample")
-    n = sample.count()
+    if share > 1:
+        texts = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(share)) == 0)
+    n = texts.count()
     if not n:
         return flat
-    shards = max(1, -(-n // shard_docs))
-    sample = saved(sample.repartition(shards, F.xxhash64("doc_id", "text")), "lm_shards") if shards > 1 else sample.coalesce(1)
+    shards = -(-n // max(shard_docs, v.size // 4))
+    dealt = saved(texts.select("doc_id", "text").repartition(shards), "lm_shards")
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(flat)
 
         def one(frames):
-            got, weights = np.zeros(len(now.value) + 1), 0
+            learned, weight = now.value, 0
             for frame in frames:
                 encoded = [v.encode(words_of(t)) for _, t in sorted(zip(frame["doc_id"].astype("string").fillna(""), frame["text"]))]
-                weights = sum(map(len, encoded))
-                got += np.append(train_shard(now.value, v, encoded) * np.float64(weights), weights)
-            yield pd.DataFrame({"sums": [got.tobytes()]})
+                learned = train_shard(learned, v, encoded)
+                weight += sum(map(len, encoded))
+            if weight:
+                yield pd.DataFrame({"weight": [weight], "learned": [learned.tobytes()]})
 
-        total = sample.mapInPandas(one, "sums binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add, 3)
-        flat = (total[:-1] / total[-1]).astype(np.float32)
+        def mean(a, b):
+            n = a[0] + b[0]
+            return n, (a[1] * (a[0] / n) + b[1] * (b[0] / n)).astype(np.float32)
+
+        _, flat = dealt.mapInPandas(one, "weight long, learned binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32))).treeReduce(mean, 3)
     return flat
 
 
-def score_documents(docs: DataFrame, mod: int = 7, left_out: int = 2, share: int = 16) -> DataFrame:
+def score_documents(docs: DataFrame, mod: int = 7, left_out: int = 2, share: int = 1) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col("doc_id").cast("long"), whole_text(F.col("text")).alias("text"))
     learned = training(docs, mod, left_out)
