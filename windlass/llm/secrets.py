@@ -3,8 +3,10 @@
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from samples
 that the base patterns label: the values they match are random, runs of letters or of digits in texts without a match are ordinary. At most
 ``sample`` strings of each class (picked by hash; ordinary ones from ``sample_docs`` documents) are used: the documented
-bound of the training sample. Only the table of character pair counts reaches the driver. A run of key characters
-outside the base spans is a secret if the log-likelihood ratio of the models is high enough, in total and a character.
+bound of the training sample. Only the table of character pair counts reaches the driver. What the base spans
+leave of a run of key characters is searched for its best stretches, so that a key joined to ordinary text (paths,
+NAME=VALUE) is judged by itself: a stretch is a secret if the log-likelihood ratio of the models is high enough, in total
+and a character.
 
 Positions: a text is cut by a pattern that takes what stands before a match as its first group and can also match the
 end of the text, so that the groups' lengths add up to positions and the scan is linear. Only texts that hold a match
@@ -29,7 +31,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: A run of key characters; what the models judge.
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST = 16
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODES = len(ALPHABET) + 1  # code 0: any other character
 BACK = 5
@@ -104,12 +107,64 @@ def train(found: DataFrame, sample: int = 20_000, sample_docs: int = 2_000) -> l
     return ratio_table(*map(pair_counts, picked))
 
 
-def log_ratio(string: Column, table: Column) -> Column:
-    def code(i):
-        return F.instr(F.lit(ALPHABET), F.substr(string, i, F.lit(1)))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(string) - 1), F.lit(0.0),
-                       lambda total, i: total + F.element_at(table, (code(i) * CODES + code(i + 1) + 1).cast("int")))
+def outside(run, base: Column) -> Column:
+    """What the base spans (in order) leave of a run: spans (start, end, string) of at least LEAST characters."""
+    kept = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def cut(state, b):
+        gap = F.array(F.struct(state["at"].alias("start"), F.least(b["start"], run["end"]).alias("end")))
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), F.concat(state["kept"], gap).alias("kept"))
+
+    near = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    parts = F.aggregate(near, F.struct(run["start"].alias("at"), kept.alias("kept")), cut,
+                        lambda s: F.concat(s["kept"], F.array(F.struct(s["at"].alias("start"), run["end"].alias("end")))))
+    parts = F.filter(parts, lambda p: p["end"] - p["start"] >= LEAST)
+    return F.transform(parts, lambda p: F.struct(p["start"], p["end"], F.substring(
+        run["string"], (p["start"] - run["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")).alias("string")))
+
+
+def pair_ratios(string: Column, table: Column) -> Column:
+    """The log ratio of each pair of neighbours in the string."""
+    codes = F.transform(F.split(string, "", F.length(string)), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1),
+                      lambda a, b: F.element_at(table, (a * CODES + b + 1).cast("int")))
+
+
+def stretches(ratios: Column, total: float, per_character: float) -> tuple[Column, Column]:
+    """Stretches (start, end) of a part that are secrets, and the whole part if it is one. One pass over the ratios of its pairs: a sum of what each pair
+    has above ``per_character`` starts anew once it is not positive or has fallen by ``total`` from its best, and a
+    stretch ends at its best sum. Short ones are widened to LEAST characters."""
+    n = F.size(ratios) + 1
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    zero = [F.lit(0).alias(c) for c in ("at", "floor", "start", "end")] + [F.lit(0.0).alias(c) for c in ("sum", "best")]
+
+    def closed(s):
+        """``found`` and ``floor`` after the open stretch of the state."""
+        high = s["best"] + per_character * (s["end"] - s["start"]) >= total
+        start = F.greatest(s["floor"], F.least(s["start"], F.greatest(F.lit(0), s["end"] - LEAST)))
+        end = F.least(n, F.greatest(s["end"], start + LEAST))
+        return (F.when(high, F.concat(s["found"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(s["found"]),
+                F.when(high, end).otherwise(s["floor"]))
+
+    def step(s, w):
+        x = s["sum"] + w - per_character
+        over, better = (x <= 0) | (s["best"] - x >= total), x > s["best"]
+        found, floor = closed(s)
+        after = s["at"] + 1
+        return F.struct(after.alias("at"), F.when(over, floor).otherwise(s["floor"]).alias("floor"),
+                        F.when(over, after).otherwise(s["start"]).alias("start"),
+                        F.when(over, after).when(better, after + 1).otherwise(s["end"]).alias("end"),
+                        F.when(over, 0.0).otherwise(x).alias("sum"), F.when(over, 0.0).otherwise(F.greatest(x, s["best"])).alias("best"),
+                        F.when(over, found).otherwise(s["found"]).alias("found"))
+
+    def secret(t):
+        ratio = F.aggregate(F.slice(ratios, t["start"] + 1, t["end"] - t["start"] - 1), F.lit(0.0), lambda a, w: a + w)
+        long = t["end"] - t["start"]
+        return (long >= LEAST) & (ratio >= total) & (ratio >= per_character * long)
+
+    found = F.aggregate(ratios, F.struct(*zero, none.alias("found")), step, lambda s: closed(s)[0])
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
+    return F.filter(found, secret), F.filter(whole, secret)
 
 
 def find_secrets(docs: DataFrame, total: float = 12.0, per_character: float = 0.5, sample: int = 20_000) -> DataFrame:
@@ -118,14 +173,18 @@ def find_secrets(docs: DataFrame, total: float = 12.0, per_character: float = 0.
     ratios = train(found, sample)
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     found = found.withColumn("runs", pieces(F.col("text"), RUN)).drop("text")
-    found = found.select("*", F.concat("assign", "access", "hex").alias("base"), spans(F.col("runs"), 3).alias("judged")).drop("runs")
-
-    def secret(s):
-        free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        ratio = log_ratio(s["string"], table)
-        return free & (ratio >= total) & (ratio >= per_character * F.length(s["string"]))
-
-    found = found.withColumn("markov", F.filter("judged", secret))
+    found = found.select("*", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), spans(F.col("runs"), 3).alias("runs_at"))
+    found = found.withColumn("parts", F.flatten(F.transform("runs_at", lambda r: outside(r, F.col("base")))))
+    found = found.withColumn("judged", F.transform("parts", lambda p: F.struct(
+        p["start"], pair_ratios(p["string"], table).alias("ratios")))).drop("runs", "runs_at", "parts")
+
+    def secrets_of(p):
+        held, whole = stretches(p["ratios"], total, per_character)
+        # a one-element array names the stretches, so that the pass over the part is not made twice
+        return F.transform(F.flatten(F.transform(F.array(held), lambda h: F.when(F.size(h) > 0, h).otherwise(whole))), lambda t: F.struct(
+            (p["start"] + t["start"]).alias("start"), F.lit(3).alias("kind"), (p["start"] + t["end"]).alias("end"), F.lit("").alias("string")))
+
+    found = found.withColumn("markov", F.flatten(F.transform("judged", secrets_of)))
 
     def listed(column) -> Column:
         names = F.array(*map(F.lit, KINDS))
