@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from windlass.llm import embedding_join, exact_dedup, language_model, licenses, mixing, packing, quality, secrets, simhash, toxicity
+from windlass.llm import (embedding_join, exact_dedup, heap_clusters, language_model, languages, licenses, mixing, packing, prefix_trie,
+                          quality, secrets, simhash, toxicity)
 from windlass.llm.common import read
 
 
@@ -48,6 +49,19 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_packing, op4_secrets, op5_language_model, op6_mixing, op7_exact_dedup, op8_quality, op9_embeddings, op10_simhash)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_clusters(spark, sf_dir):
+    return heap_clusters.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op13_languages(spark, sf_dir):
+    return languages.identify_documents(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_packing, op4_secrets, op5_language_model, op6_mixing, op7_exact_dedup,
+                                   op8_quality, op9_embeddings, op10_simhash, op11_prefix_trie, op12_clusters, op13_languages)}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
+SQL = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_clusters": heap_clusters.SQL}
