@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,13 @@ RANGES = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "
 STARTS, NAMES = [r[0] for r in RANGES], [r[1] for r in RANGES]
 SCRIPTS = sorted(set(NAMES))
 SCRIPT_AT = [SCRIPTS.index(n) for n in NAMES]
+LATIN, BEYOND_LATIN = SCRIPTS.index("latin"), chr(STARTS[1])
 
 
 def script_of(word: str) -> int:
     """Number of the script of most letters of ``word`` (the first on ties)."""
-    if word.isascii():
-        return SCRIPTS.index("latin")
+    if max(word) < BEYOND_LATIN:
+        return LATIN
     return Counter(SCRIPT_AT[bisect_right(STARTS, ord(c)) - 1] for c in word).most_common(1)[0][0]
 
 
@@ -98,20 +100,21 @@ def counted(docs: DataFrame) -> DataFrame:
         letters: Counter = Counter()
 
         def flush(lang, words):
-            if words:
-                texts, n = list(words), np.fromiter(words.values(), np.float64, len(words))
-                buckets, at = ngrams(texts)
+            lettered = {w: n for w, n in words.items() if letters_in(w)}
+            if lettered:
+                n = np.fromiter(lettered.values(), np.float64, len(lettered))
+                buckets, at = ngrams([w.lower() for w in lettered])
                 counts = totals.setdefault(lang, np.zeros(BUCKETS))
                 counts += np.bincount(buckets, n[at], BUCKETS)
-                for w, k in words.items():
+                for w, k in lettered.items():
                     letters[lang, script_of(w)] += letters_in(w) * k
-                words.clear()
+            words.clear()
 
         held: dict[str, Counter] = {}
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"]):
                 words = held.setdefault(lang, Counter())
-                words.update(w for w in WORD.findall(text.lower()) if letters_in(w))
+                words.update(WORD.findall(text))
                 if len(words) > MOST_WORDS:
                     flush(lang, words)
         for lang, words in held.items():
@@ -157,9 +160,10 @@ class Scores:
         """Rows of all words of the texts, one after the other."""
         if len(self.known) > MOST_WORDS:
             self.reset()
-        new = list({w for words in found for w in words if w not in self.known})
+        words = list(chain.from_iterable(found))
+        new = list(set(words).difference(self.known))
         if new:
-            buckets, at = ngrams(new)
+            buckets, at = ngrams([w.lower() for w in new])
             order = np.argsort(at, kind="stable")
             n = np.bincount(at, minlength=len(new))
             sums = np.add.reduceat(self.model.shares[buckets[order]], np.cumsum(n) - n)
@@ -169,8 +173,7 @@ class Scores:
             self.known |= {w: len(self.letters) + i for i, w in enumerate(new)}
             self.table = np.concatenate([self.table, s])
             self.letters = np.concatenate([self.letters, np.array([letters_in(w) for w in new], np.int64)])
-        known = self.known
-        return np.fromiter((known[w] for words in found for w in words), np.int64, sum(map(len, found)))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -233,6 +236,18 @@ def judged(words: list[list[str]], scores: Scores, switch: float):
     return np.split(labels, np.cumsum(counts)[:-1]), np.where(all_letters > 0, language, -1), np.where(all_letters > 0, share * sure, 0.0)
 
 
+def spans_of(text: str, labels: np.ndarray, names: list[str]) -> list[dict]:
+    """The runs of one label among the words of ``text``."""
+    cut = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]]).tolist()
+    if len(cut) == 1:  # no word's place is needed but the first one's start and the last one's end
+        end = len(text)
+        while not WORD.match(text, end - 1):
+            end -= 1
+        return [{"start": WORD.search(text).start(), "end": end, "lang": names[labels[0]]}]
+    places = [m.span() for m in WORD.finditer(text)]
+    return [{"start": places[i][0], "end": places[j - 1][1], "lang": names[labels[i]]} for i, j in zip(cut, [*cut[1:], len(places)])]
+
+
 def fit(docs: DataFrame) -> Model:
     """The model of the rows (lang, text)."""
     usable = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -254,8 +269,7 @@ def identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFra
             texts = [t or "" for t in part.column(1).to_pylist()]
             preds, values, spans = [], [], []
             for a, b in batches(texts, most):
-                found = [[m.span() for m in WORD.finditer(t)] for t in texts[a:b]]
-                words = [[t[i:j].lower() for i, j in places] for t, places in zip(texts[a:b], found)]
+                words = [WORD.findall(t) for t in texts[a:b]]
                 if not names or not any(words):
                     preds += ["und"] * (b - a)
                     values += [0.0] * (b - a)
@@ -264,10 +278,7 @@ def identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFra
                 labels, language, value = judged(words, scores, switch)
                 preds += [names[n] if n >= 0 else "und" for n in language]
                 values += value.tolist()
-                for places, own, n in zip(found, labels, language):
-                    cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if n >= 0 else ()
-                    ends = [*(c - 1 for c in cut[1:]), len(places) - 1]
-                    spans.append([{"start": places[i][0], "end": places[j][1], "lang": names[own[i]]} for i, j in zip(cut, ends)])
+                spans += [spans_of(t, own, names) if n >= 0 else [] for t, own, n in zip(texts[a:b], labels, language)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(values, pa.float64()), pa.array(
                 spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))], ["doc_id", "lang_pred", "score", "spans"])
 
