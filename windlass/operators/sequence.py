@@ -1,57 +1,31 @@
-"""Row-offset access within a station's time series, with or without a per-station window.
+"""Row-offset access within a station's time series.
 
-``with_lags`` adds ``{col}_lag{k}`` columns (the value k rows earlier in the same station,
-rows ordered by time). Two physical strategies give the same rows:
-
-* window (default for ordinary data): one exchange on the station key plus a sort; every
-  station is processed by one task.
-* split (for stations too large for one task -- e.g. one station holding a third of all
-  rows): rows get a 0-based position from ``sequence_index`` (windows over (station, day)
-  pieces only), then each row is copied to the positions it is a lag of and regrouped on
-  (station, position). The hot station is hashed over all partitions.
-
-The caller picks the path; rows of equal time are ordered by a tie column on both.
+``with_lags`` adds ``{col}_lag{k}`` columns (the value k rows earlier in the same station, rows ordered by time, then by a tie
+column). It works on (station, day) pieces with a halo (``operators.pieces``), at every size: no station is one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windlass.operators.temporal import lag_block, sequence_index, station_window
+from windlass.operators.pieces import own_rows, piece_window, tie_column, with_halo
+from windlass.operators.temporal import lag_block
 
 
-def tie_column(columns: Sequence[str], key: str = "station", order: str = "time") -> str | None:
-    """The column that orders rows of equal time by default: the first one besides key and order."""
-    return next((c for c in columns if c not in (key, order)), None)
+def with_lags(df: DataFrame, cols: Sequence[str], lags: Sequence[int], key: str = "station",
+              order: str = "time", tie: str | None = None, chunk: Column | None = None) -> DataFrame:
+    """Lags of ``cols`` in ``order``, rows of equal order by ``tie`` (default: the first other column)."""
+    tie, lags = tie or tie_column(df.columns, key, order), sorted(set(lags))
+    pieces = with_halo(df, max(lags, default=0), cols, key, order, tie, chunk)
+    return lags_in_pieces(pieces, cols, lags, piece_window(df.columns, key, order, tie))
 
 
-def with_lags(df: DataFrame, cols: Sequence[str], lags: Sequence[int], key: str = "station",
-              order: str = "time", split: bool = False, tie: str | None = None) -> DataFrame:
-    """Lags of ``cols`` in ``order``, rows of equal order by ``tie`` (default: the first other column), so both
-    paths see one total order and give equal results. ``split=True`` is for keys too large for one task; the
-    caller says so, nothing is counted."""
-    tie = tie or tie_column(df.columns, key, order)
-    lags = sorted(set(lags))
-    if not split:
-        return lag_block(df, list(cols), lags, station_window(key, [order, tie] if tie else [order]))
-    idx = sequence_index(df, key, order, name="__seq", tie=tie)
-    others = [c for c in idx.columns if c not in (key, "__seq")]
-    base = F.struct(*[F.col(c) for c in others])
-    vals = F.struct(*[F.col(c) for c in cols])
-    offs = F.explode(F.array(*[F.lit(k) for k in [0] + lags])).alias("__k")
-    copies = idx.select(key, "__seq", base.alias("__base"), vals.alias("__vals"), offs)
-    copies = copies.select(key, (F.col("__seq") + F.col("__k")).alias("__seq"),
-                           F.when(F.col("__k") == 0, F.col("__base")).alias("__base"),
-                           *[F.when(F.col("__k") == k, F.col("__vals")).alias(f"__v{k}") for k in lags])
-    g = copies.groupBy(key, "__seq").agg(F.first("__base", ignorenulls=True).alias("__base"),
-                                         *[F.first(f"__v{k}", ignorenulls=True).alias(f"__v{k}") for k in lags])
-    g = g.filter(F.col("__base").isNotNull())
-    out = g.select(key, *[F.col("__base")[c].alias(c) for c in others],
-                   *[F.col(f"__v{k}")[c].alias(f"{c}_lag{k}") for k in lags for c in cols])
-    return out.select(*df.columns, *[f"{c}_lag{k}" for k in lags for c in cols])
+def lags_in_pieces(pieces: DataFrame, cols: Sequence[str], lags: Sequence[int], w) -> DataFrame:
+    """The lags of a table that already has its halo (``with_halo``, or a stored layout)."""
+    return own_rows(lag_block(pieces, list(cols), list(lags), w))
 
 
 def ref(col: str, offset: int):

@@ -2,10 +2,8 @@
 event-window join (J5), date spines for places without data (J9), running ids (W9) and
 expanding time folds (W10).
 
-Per-station windows share one window spec, so every W-operator of a query costs a single
-exchange on ``station`` and one sort. For stations too large for one task, ``split_hot``
-replaces the window by a sequence index and equi-joins on (station, index), which spreads
-one station over all partitions (see ``sequence_index``).
+Lags and rolling windows take a window spec: that of a (station, day) piece with a halo (``operators.pieces``) in all
+registered queries. Positions within a station come from ``sequence_index``; neither puts a station in one task.
 """
 
 from __future__ import annotations
@@ -22,11 +20,6 @@ def station_window(key: str | Sequence[str] = "station", order: Sequence[str] =
 
 
 # ---- W1-W5 ---------------------------------------------------------------------------------------
-def diffs(cols: Sequence[str], w, suffix: str = "_change") -> dict[str, Column]:
-    """First difference to the previous row of the same station."""
-    return {f"{c}{suffix}": F.col(c) - F.lag(c, 1).over(w) for c in cols}
-
-
 def lag_block(df: DataFrame, cols: Sequence[str], lags: Sequence[int], w) -> DataFrame:
     """``lag`` of many columns at several offsets as one struct per offset.
 
@@ -61,27 +54,18 @@ def sequence_index(df: DataFrame, key: str, order: str, chunk: Column | None = N
     only the piece table, far smaller than the data, is windowed per key.
     """
     chunk = chunk if chunk is not None else F.to_date(F.col(order))
-    tie = [F.col(c).asc_nulls_last() for c in ([tie] if tie else [c for c in df.columns if c not in (key, order)][:1])]
+    tie = [F.col(c) for c in ([tie] if tie else [c for c in df.columns if c not in (key, order)][:1])]
     pieces = df.withColumn("__chunk", chunk)
-    w_in = Window.partitionBy(key, "__chunk").orderBy(F.col(order).asc_nulls_last(), *tie)
+    w_in = Window.partitionBy(key, "__chunk").orderBy(F.col(order), *tie)
     local = pieces.withColumn("__rn", F.row_number().over(w_in) - 1)
-    sizes = local.groupBy(key, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    w_off = Window.partitionBy(key).orderBy(F.col("__chunk").asc_nulls_last()) \
+    sizes = local.groupBy(F.col(key).alias("__k"), F.col("__chunk").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    w_off = Window.partitionBy("__k").orderBy(F.col("__c").asc_nulls_last()) \
                   .rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0))).drop("__n")
-    return (local.join(offsets, [key, "__chunk"])
+    same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__chunk").eqNullSafe(F.col("__c"))
+    return (local.join(offsets, same)
             .withColumn(name, F.col("__off") + F.col("__rn"))
-            .drop("__chunk", "__rn", "__off"))
-
-
-def shifted_join(df: DataFrame, key: str, seq: str, cols: Sequence[str], lags: Sequence[int]) -> DataFrame:
-    """Lags by equi-join on (key, seq - k): a hot key is hashed over all partitions."""
-    out = df
-    for k in lags:
-        prev = df.select(F.col(key), (F.col(seq) + k).alias(seq),
-                         *[F.col(c).alias(f"{c}_lag{k}") for c in cols])
-        out = out.join(prev, [key, seq], "left")
-    return out
+            .drop("__k", "__c", "__chunk", "__rn", "__off"))
 
 
 # ---- J9 date spine -------------------------------------------------------------------------------
@@ -138,19 +122,16 @@ def running_id(df: DataFrame, order: Sequence[Column], name: str = "row_id") ->
 
 
 def time_folds(df: DataFrame, key: str, order: Sequence[str], max_splits: int = 5,
-               min_splits: int = 2, rows_per_split: int = 500, split: bool = False) -> DataFrame:
+               min_splits: int = 2, rows_per_split: int = 500) -> DataFrame:
     """Expanding-window folds per key (TimeSeriesSplit layout).
 
     With n rows, ``k = min(max_splits, max(min_splits, n // rows_per_split))`` folds of
     ``size = n // (k + 1)`` rows: fold i tests rows [n-(k-i)*size, n-(k-i-1)*size) and trains
     on every row before. Output: one row per (row, fold) with ``role`` train/test.
-    ``split=True`` numbers rows with ``sequence_index`` (no per-key window) for huge keys.
+    Rows are numbered by ``sequence_index`` (no window per key): by the first column of ``order``, ties by the second.
     """
-    if split:
-        idx = sequence_index(df, key, order[0], name="__i").withColumn("__i", F.col("__i").cast("int"))
-    else:
-        w = station_window(key, order)
-        idx = df.withColumn("__i", F.row_number().over(w) - 1)
+    idx = sequence_index(df, key, order[0], name="__i", tie=order[1] if len(order) > 1 else None)
+    idx = idx.withColumn("__i", F.col("__i").cast("int"))
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     k = F.least(F.lit(max_splits), F.greatest(F.lit(min_splits), F.floor(F.col("__n") / rows_per_split)))
     counts = counts.withColumn("__k", k.cast("int")).withColumn("__size", F.floor(F.col("__n") / (F.col("__k") + 1)))

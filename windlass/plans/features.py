@@ -1,8 +1,8 @@
 """Station time-series features: differences, rolling windows, global-threshold
 flags, the lag block and the meteorological set -- the classifier's 171 features.
 
-Every W-operator uses the same window (partition by station, order by time), so Spark plans
-one exchange and one sort for all of them. Global means/quantiles are computed once as a
+Every W-operator uses the same window, over (station, day) pieces that carry the rows before them, so Spark plans one
+exchange and one sort for all of them, and no station is one task. Global means/quantiles are computed once as a
 one-row aggregate and enter the row expressions as literals.
 """
 
@@ -17,8 +17,9 @@ from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
 from windlass.operators.quantiles import global_quantiles_many
-from windlass.operators.sequence import mean_of, ref, std_of, tie_column, with_lags
-from windlass.operators.temporal import rolling_mean, rolling_std, station_window
+from windlass.operators.pieces import own_rows, piece_window, with_halo
+from windlass.operators.sequence import mean_of, ref, std_of, with_lags
+from windlass.operators.temporal import rolling_mean, rolling_std
 from windlass.session import wide_plan_mode
 
 RAW = ["temp", "dwpt", "rhum", "wdir", "wspd", "pres"]
@@ -58,12 +59,10 @@ class LagColumns:
 
 
 class WindowColumns:
-    """The same accessors as native window functions over the per-station window (one exchange
-    and sort; used when no station is too large for one task)."""
+    """The same accessors as native window functions over a window ``w``."""
 
-    def __init__(self, columns: Sequence[str]):
-        tie = tie_column(columns)
-        self.w = station_window(order=["time", tie] if tie else ["time"])
+    def __init__(self, w):
+        self.w = w
 
     def lag(self, c: str, j: int) -> Column:
         return F.col(c) if j == 0 else F.lag(c, j).over(self.w)
@@ -128,25 +127,24 @@ DERIVED = ["pres_change", "rhum_change", "wspd_change", "pres_rhum_ratio", "wspd
            "frost_risk", "condensation_risk"]
 
 
-def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None, split: bool = False) -> DataFrame:
-    """M1 on every row: native window functions, or raw lags 1-2 on the split path for huge stations."""
+def derived_features(obs: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """M1 on every row, by native window functions inside pieces."""
     g = thresholds or global_thresholds(obs)
-    if not split:
-        return obs.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, WindowColumns(obs.columns)).items()])
-    lagged = with_lags(obs, RAW, [1, 2], split=True)
-    return lagged.select(*obs.columns, *[v.alias(n) for n, v in derived_columns(g, LagColumns()).items()])
-
-
-def diff_roll(obs: DataFrame, split: bool = False) -> DataFrame:
-    """W1 + W4 + W5: native window functions (one exchange), or lags 1-2 on the split path."""
-    if split:
-        acc, src = LagColumns(), with_lags(obs, DIFF_COLS, [1, 2], split=True)
-    else:
-        acc, src = WindowColumns(obs.columns), obs
+    return _in_pieces(obs, RAW, derived_columns(g, WindowColumns(piece_window(obs.columns))))
+
+
+def diff_roll(obs: DataFrame) -> DataFrame:
+    """W1 + W4 + W5: differences and 3-row rolling statistics."""
+    acc = WindowColumns(piece_window(obs.columns))
     cols = {f"{c}_change": acc.lag(c, 0) - acc.lag(c, 1) for c in DIFF_COLS}
     cols.update({k: acc.mean3(v) for k, v in TREND_COLS.items()})
     cols.update({k: acc.std3(v) for k, v in VOLATILITY_COLS.items()})
-    return src.select(*obs.columns, *[v.alias(k) for k, v in cols.items()])
+    return _in_pieces(obs, DIFF_COLS, cols)
+
+
+def _in_pieces(obs: DataFrame, raw: Sequence[str], cols: dict[str, Column]) -> DataFrame:
+    pieces = with_halo(obs, 2, raw)
+    return own_rows(pieces.select(*pieces.columns, *[v.alias(n) for n, v in cols.items()]))
 
 
 def enhanced_columns(lat: str = "latitude", lon: str = "longitude") -> dict[str, Column]:
@@ -184,12 +182,11 @@ def enhanced_columns(lat: str = "latitude", lon: str = "longitude") -> dict[str,
     return out
 
 
-def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, float] | None = None,
-                  split: bool = False) -> DataFrame:
+def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """The classifier's table: 36 base columns (6 raw + 30 derived), their lags 1-3,
     coordinates, 24 enhanced columns and the 4-class label (codes 23-27 removed).
 
-    Only the 6 raw columns are shifted (lags 1-5, one window pass or the split path): a
+    Only the 6 raw columns are shifted (lags 1-5, one window pass over pieces): a
     derived column k rows back is its formula on the raw values shifted by k.
 
     Catalyst's constraint propagation grows combinatorially with hundreds of aliased columns
@@ -199,7 +196,7 @@ def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, flo
     wide_plan_mode(obs.sparkSession)
     g = thresholds or global_thresholds(obs)
     base = obs.select("station", "time", *RAW, "coco")
-    lagged = with_lags(base, RAW, [1, 2, 3, 4, 5], split=split)
+    lagged = with_lags(base, RAW, [1, 2, 3, 4, 5])
     cols: dict[str, Column] = {}
     for k in range(0, max(LAGS) + 1):
         acc = LagColumns(shift=k)

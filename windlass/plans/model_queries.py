@@ -82,7 +82,7 @@ def q_overall_accuracy(spark, d):
 
 
 def _lagged(obs: DataFrame) -> DataFrame:
-    """Lag-1 speed and direction per station as the stand-in prediction (window or split path)."""
+    """Lag-1 speed and direction per station as the stand-in prediction."""
     return with_lags(obs, ["wspd", "wdir"], [1]).withColumnsRenamed(
         {"wspd_lag1": "wspd_pred", "wdir_lag1": "wdir_pred"})
 
@@ -264,7 +264,7 @@ SELECT station, time, CAST(i AS INTEGER) AS row_index, CAST(fold AS INTEGER) AS
 """)
 def q_time_folds(spark, d):
     o = sv.obs(spark, d).select("station", "time")
-    return time_folds(o, "station", ["time"], split=False).select(
+    return time_folds(o, "station", ["time"]).select(
         "station", "time", "row_index", "fold", "role")
 
 
