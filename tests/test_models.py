@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from windlass.plans import boosting
 from windlass.plans import models as ml
 from windlass.plans.features import feature_names, feature_table
 from windlass.sources import standins as sv
@@ -38,12 +39,75 @@ def test_feature_table_has_171_features(spark, smoke_dir):
     assert t.filter(F.col("condition").isNull()).count() == 0
 
 
+@pytest.fixture(scope="module")
+def rings(spark):
+    """Three classes of points whose borders are rings and a diagonal, a rare one weighted up; an empty and a constant feature."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 3))
+    r = np.hypot(x[:, 0], x[:, 1])
+    label = np.where(r < 0.5, "core", np.where(x[:, 2] + 0.7 * x[:, 0] > 0, "upper", "lower"))
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(flat=1.0, empty=np.nan, label=label, part=rng.random(1500))
+    df = spark.createDataFrame(pdf).repartition(4).cache()
+    return df.filter("part < 0.7"), df.filter("part >= 0.7")
+
+
+def test_boosting_beats_the_forest(spark, rings):
+    train, test = rings
+    weight = F.when(F.col("label") == "core", 4.0).otherwise(1.0)
+    feats = ["a", "b", "c", "flat"]
+    model = boosting.boost_classes(train, feats, "label", weight, rounds=60, rate=0.3, depth=4)
+    assert model.labels == ["core", "lower", "upper"]
+    scored = model.transform(test).cache()
+    p = np.array([r["probabilities"] for r in scored.collect()])
+    assert np.allclose(p.sum(1), 1) and (p >= 0).all()
+    assert {r["predicted_label"] == model.labels[int(np.argmax(r["probabilities"]))] for r in scored.collect()} == {True}
+    asm = VectorAssembler(inputCols=feats, outputCol="x")
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import vector_to_array
+    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(train)
+    forest = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=100, maxDepth=10, seed=42).fit(
+        index.transform(asm.transform(train)).withColumn("w", weight))
+    old = forest.transform(asm.transform(test)).withColumn("probabilities", vector_to_array("probability"))
+    loss = [boosting.weighted_log_loss(t, model.labels, "label", weight) for t in (scored, old)]
+    assert loss[0] < loss[1]
+    importances = dict(model.importances())
+    assert sum(importances.values()) == pytest.approx(1) and importances["flat"] == 0
+    assert list(importances.values()) == sorted(importances.values(), reverse=True)
+
+
+def test_weighted_log_loss_is_the_formula(spark):
+    rows = [("x", [0.5, 0.5], 1.0), ("y", [0.9, 0.1], 3.0), ("z", [0.2, 0.8], 1.0)]
+    df = spark.createDataFrame(rows, "label string, probabilities array<double>, w double")
+    want = -(np.log(0.5) + 3 * np.log(0.1) + np.log(boosting.LOG_FLOOR)) / 5
+    assert boosting.weighted_log_loss(df, ["x", "y"], "label", F.col("w")) == pytest.approx(want)
+    assert boosting.weighted_log_loss(df.limit(0), ["x", "y"], "label") is None
+
+
+def test_boosting_of_one_class_and_null_labels(spark):
+    df = spark.createDataFrame([("only", 1.0), ("only", 2.0), (None, 3.0)], "label string, a double")
+    model = boosting.boost_classes(df, ["a"], "label", rounds=2)
+    assert [(r["predicted_label"], r["probabilities"]) for r in model.transform(df).collect()] == [("only", [1.0])] * 3
+    assert model.importances() == [("a", 0.0)]
+
+
 def test_classifier_results_and_unknown_name(spark, smoke_dir):
     st = sv.stations(spark, smoke_dir)
     t = feature_table(sv.obs(spark, smoke_dir), st)
-    res = ml.condition_classifier(t, st, num_trees=10, max_depth=5)
+    res = ml.condition_classifier(t, st, rounds=3, max_depth=4)
     assert res["confusion_matrix"].count() == 16
     imp = res["feature_importance"].toPandas()
     assert len(imp) == 15 and (imp.importance.diff().dropna() <= 0).all()
+    trained = {r["station"] for r in res["training_stations"].collect()}
+    tested = {r["station"] for r in res["predictions"].select("station").distinct().collect()}
+    assert trained and tested and not trained & tested
+    perf = res["geographic_performance"].toPandas()
+    assert {"station", "name", "latitude", "longitude", "accuracy", "samples"} <= set(perf.columns) and perf["name"].notna().all()
     with pytest.raises(ValueError):
         ml.classification_result(t, st, "pie_chart")
+
+
+def test_direction_features_hold_place_and_city(spark, smoke_dir):
+    f = ml.direction_features(sv.obs(spark, smoke_dir), sv.stations(spark, smoke_dir))
+    assert {"latitude", "longitude", "elevation", "city", "condition_group", *ml.DIRECTION_NUMERIC, *ml.DIRECTION_CLOCK} <= set(f.columns)
+    assert not [c for c in f.columns if c.startswith("doy")] and f.filter("city IS NULL").count() == 0
