@@ -1,24 +1,19 @@
 """Spatial operators: great-circle distance and the exact k-nearest-station join.
 
-k nearest without a cross join: stations and places are put on a latitude/longitude grid;
-each place looks at the 3 x 3 block of cells around its own (an equi-join on the cell id).
-A place is finished when its k-th candidate is closer than the nearest point *outside* the
-block (a lower bound computed from the place's position), which makes the answer exact.
-Unfinished places (sparse areas, or fewer than k candidates) move to a grid with cells twice
-as large; at the coarsest level the block covers the globe, so every place finishes.
-Each level only carries the still-unfinished places, and every level is cut with a reliable
-checkpoint (computed once), so the loop's lineage stays short. The number of levels is log2(180 / base cell) + 1 (about 10).
+k nearest without a cross join: stations lie in the leaves of a quadtree over latitude and longitude whose cells are split until they hold
+few stations (``operators.quadtree``), so a dense city has small cells and an empty ocean one large cell. The
+tree's directory (leaf, count, box) is small and bounded. Each place gets from it a distance within which k stations must lie, and the
+leaves that come that close; an equi-join on the leaf brings their stations, and a top-k per place ranks them. That is one search for
+all places, at every density, without levels or checkpoints.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windlass.operators.joins import maybe_broadcast
-from windlass.session import cut_lineage
+from windlass.operators.quadtree import leaf_of, near_leaves, quad_key, station_leaves
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -33,107 +28,32 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_KM) -> Col
     return F.lit(2 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def _cells(lat: Column, lon: Column, size: float):
-    n_lat = math.ceil(180.0 / size)
-    n_lon = math.ceil(360.0 / size)
-    i = F.least(F.floor((lat + 90) / size), F.lit(n_lat - 1)).cast("int")
-    j = F.pmod(F.floor((lon + 180) / size).cast("int"), F.lit(n_lon))
-    return i, j, n_lat, n_lon
-
-
-def _bound_km(lat: Column, lon: Column, i: Column, j: Column, size: float, radius: float) -> Column:
-    """Distance below which every station lies inside the 3 x 3 block around cell (i, j)."""
-    inf = F.lit(float("inf"))
-    lo = (i - 1) * size - 90
-    hi = (i + 2) * size - 90
-    m_lat = F.least(F.when(lo > -90, lat - lo).otherwise(inf), F.when(hi < 90, hi - lat).otherwise(inf))
-    lat_b = F.when(m_lat == inf, inf).otherwise(F.radians(m_lat) * radius)
-    if 3 * size >= 360:
-        lon_b = inf
-    else:
-        # unwrapped longitude of the place relative to its cell block
-        base = (F.floor((lon + 180) / size)) * size - 180
-        m_lon = F.least(lon - (base - size), (base + 2 * size) - lon)
-        lon_b = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(m_lon, F.lit(90.0))))) * radius
-    return F.least(lat_b, lon_b)
-
-
-def auto_cell(stations: DataFrame, k: int, lat: str, lon: str) -> tuple[float, int]:
-    """Base cell (degrees, 180 / 2^m) sized so that a 3 x 3 block holds about 4k stations
-    on average over the stations' bounding box; also returns the station count."""
-    r = stations.agg(F.count(F.lit(1)).alias("n"), F.min(lat).alias("a"), F.max(lat).alias("b"),
-                     F.min(lon).alias("c"), F.max(lon).alias("d")).first()
-    n = r["n"] or 0
-    if n == 0:
-        return 180.0, 0
-    area = max((r["b"] - r["a"]) * (r["d"] - r["c"]), 1e-6)
-    side = math.sqrt(4.0 * k * area / n / 9.0)
-    return tiling_cell(max(side, 1.0 / 64)), n
-
-
-def tiling_cell(size: float) -> float:
-    """The smallest cell of at least ``size`` degrees that tiles the globe: 180 / 2^m, so that the last cell before
-    the antimeridian is as wide as the others and the block's bound holds there."""
-    return 180.0 / 2 ** max(0, math.floor(math.log2(180.0 / min(size, 180.0))))
-
-
 def k_nearest(places: DataFrame, stations: DataFrame, k: int, place_key: str = "place",
               station_key: str = "station", place_lat: str = "latitude", place_lon: str = "longitude",
-              station_lat: str = "latitude", station_lon: str = "longitude", base_cell: float | None = None,
+              station_lat: str = "latitude", station_lon: str = "longitude", leaf_stations: int | None = None,
               radius: float = EARTH_RADIUS_KM) -> DataFrame:
     """J4 + W7: for each place its ``k`` nearest stations, ranked 1..k by (distance, station key).
 
-    Returns the place columns plus ``station_key``, ``distance_km`` and ``rank``. The search
-    runs once per distinct (lat, lon); one checkpointed job per grid level. ``place_key`` is
-    kept for callers' clarity; places without coordinates get no rows.
+    Returns the place columns plus ``station_key``, ``distance_km`` and ``rank``. The search runs once per distinct (lat, lon).
+    ``leaf_stations`` is the number of stations from which a cell is split. ``place_key`` is kept for callers' clarity; places and stations
+    without coordinates get no rows.
     """
-    st = stations.select(F.col(station_key).alias("__sid"), F.col(station_lat).alias("__slat"),
-                         F.col(station_lon).alias("__slon")).filter(
-        F.col("__slat").isNotNull() & F.col("__slon").isNotNull())
-    cell, n_st = auto_cell(st, k, "__slat", "__slon")
-    size = tiling_cell(base_cell) if base_cell else cell
-    st = maybe_broadcast(st, known_rows=n_st)
-    # the search runs once per distinct point: places sharing a location share the answer
+    known = stations.filter(F.col(station_lat).isNotNull() & F.col(station_lon).isNotNull() & ~F.isnan(station_lat) & ~F.isnan(station_lon))
+    st = known.select(F.col(station_key).alias("__sid"), F.col(station_lat).alias("__slat"), F.col(station_lon).alias("__slon"))
+    # of stations at one point, only the k smallest keys can be among the k nearest of anything
+    at_point = Window.partitionBy("__slat", "__slon").orderBy("__sid")
+    st = st.withColumn("__nth", F.row_number().over(at_point)).filter(F.col("__nth") <= k).drop("__nth")
+    st = st.withColumn("__key", quad_key("__slat", "__slon"))
+    leaves = station_leaves(st.select("__key"), leaf_stations or max(64, 4 * k))
+    st = maybe_broadcast(st.withColumn("__leaf", leaf_of(leaves)("__key")).drop("__key"), known_rows=leaves.stations)
     key = ["__plat", "__plon"]
-    todo = places.select(F.col(place_lat).alias("__plat"), F.col(place_lon).alias("__plon")).filter(
-        F.col("__plat").isNotNull() & F.col("__plon").isNotNull()).distinct()
-    out = None
-    level = 0
-    while True:
-        full = size >= 180.0
-        i, j, n_lat, n_lon = _cells(F.col("__plat"), F.col("__plon"), size)
-        cand_cells = F.array_distinct(F.array(*[
-            F.struct((i + di).alias("ci"), F.pmod(j + dj, F.lit(n_lon)).alias("cj"))
-            for di in (-1, 0, 1) for dj in (-1, 0, 1)]))
-        p = todo.withColumns({"__pi": i, "__pj": j}).withColumn("__cell", F.explode(cand_cells)) \
-                .filter(F.col("__cell.ci").between(0, n_lat - 1))
-        p = p.withColumns({"__ci": F.col("__cell.ci"), "__cj": F.col("__cell.cj")}).drop("__cell")
-        si, sj, _, _ = _cells(F.col("__slat"), F.col("__slon"), size)
-        s = st.withColumns({"__ci": si, "__cj": sj})
-        # left join: a point without any station in its block still shows up (count 0)
-        cand = p.join(s, ["__ci", "__cj"], "left").withColumn(
-            "distance_km", haversine_km("__plat", "__plon", "__slat", "__slon", radius))
-        w = Window.partitionBy(*key).orderBy(F.col("distance_km").asc_nulls_last(), F.col("__sid").asc())
-        top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        wk = Window.partitionBy(*key)
-        bound = F.lit(float("inf")) if full else _bound_km(F.col("__plat"), F.col("__plon"), F.col("__pi"),
-                                                          F.col("__pj"), size, radius)
-        done = F.lit(True) if full else ((F.count("__sid").over(wk) >= k)
-                                         & (F.max("distance_km").over(wk) < bound))
-        top = top.withColumn("__done", done).select(*key, "__sid", "distance_km", "rank", "__done")
-        if not full:
-            top = cut_lineage(top)
-        finished = top.filter(F.col("__done") & F.col("__sid").isNotNull()).select(
-            *key, F.col("__sid").alias(station_key), "distance_km", "rank")
-        out = finished if out is None else out.unionByName(finished)
-        if full:
-            break
-        todo = top.filter(~F.col("__done")).select(*key).distinct()
-        if todo.isEmpty():
-            break
-        size = min(size * 2, 180.0)
-        level += 1
-    # back to the places: equi-join on the exact coordinates (the point table is small)
-    pl = places.withColumns({"__plat": F.col(place_lat), "__plon": F.col(place_lon)})
+    points = places.select(F.col(place_lat).cast("double").alias("__plat"), F.col(place_lon).cast("double").alias("__plon"))
+    points = points.filter(F.col("__plat").isNotNull() & F.col("__plon").isNotNull() & ~F.isnan("__plat") & ~F.isnan("__plon")).distinct()
+    cand = near_leaves(points, leaves, k).join(st, "__leaf").withColumn(
+        "distance_km", haversine_km("__plat", "__plon", "__slat", "__slon", radius))
+    w = Window.partitionBy(*key).orderBy(F.col("distance_km").asc(), F.col("__sid").asc())
+    out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = out.select(*key, F.col("__sid").alias(station_key), "distance_km", "rank")
+    # back to the places: equi-join on the exact coordinates
+    pl = places.withColumns({"__plat": F.col(place_lat).cast("double"), "__plon": F.col(place_lon).cast("double")})
     return pl.join(out, key).drop(*key)
-
