@@ -80,22 +80,12 @@ def date_spine(places: DataFrame, with_data: DataFrame, keys: Sequence[str], sta
 
 # ---- J5 event-window join ------------------------------------------------------------------------
 def event_window_join(events: DataFrame, obs: DataFrame, days: int = 3, event_date: str = "d",
-                      station: str = "station", time: str = "time") -> DataFrame:
-    """Observations of each event's station within [date - days, date + days] (inclusive).
-
-    The interval condition becomes an equi-join: each event is expanded to its 2*days+1
-    calendar days and joined on (station, day); the exact bound is then re-checked. Spark
-    plans a hash join (broadcast when the expanded event side is small, else shuffled on
-    (station, day), which spreads one busy station over its days) -- never a nested loop.
-    """
-    lo = F.to_timestamp(F.date_sub(F.col(event_date), days))
-    hi = F.to_timestamp(F.date_add(F.col(event_date), days))
-    ev = events.withColumns({"__lo": lo.cast("timestamp_ntz"), "__hi": hi.cast("timestamp_ntz")})
-    ev = ev.withColumn("__day", F.explode(F.sequence(F.date_sub(F.col(event_date), days),
-                                                     F.date_add(F.col(event_date), days))))
-    ob = obs.withColumn("__day", F.to_date(F.col(time)))
-    j = ev.join(ob, [station, "__day"])
-    return j.filter(F.col(time).between(F.col("__lo"), F.col("__hi"))).drop("__day", "__lo", "__hi")
+                      station: str = "station", time: str = "time", **how) -> DataFrame:
+    """Observations of each event's station within [date - days, date + days] (inclusive), by the interval join on (station, block)
+    buckets, of which hot ones are salted (``operators.intervals``; ``how`` goes there)."""
+    from windlass.operators.intervals import interval_join
+    lo, hi = F.date_sub(F.col(event_date), days).cast("timestamp_ntz"), F.date_add(F.col(event_date), days).cast("timestamp_ntz")
+    return interval_join(events, obs, station, lo, hi, time, **how)
 
 
 # ---- W9 / W10 ------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from windlass.operators.sampling import stratified_sample
 from windlass.operators.spatial import k_nearest
 from windlass.operators.temporal import event_window_join
 from windlass.plans.registry import DIGITS, R, hash_sql, haversine_sql, query
+from windlass.session import cut_lineage
 from windlass.sources import standins as sv
 
 
@@ -36,12 +37,13 @@ def q_nearest_stations(spark, d):
 
 
 def event_window_wind(events: DataFrame, stations: DataFrame, obs: DataFrame, days: int = 3,
-                      factor: float = KMH_TO_MPH) -> DataFrame:
+                      factor: float = KMH_TO_MPH, **how) -> DataFrame:
     """Each event's nearest station (k = 1) and its observations from ``days`` before to
     ``days`` after the event date (inclusive); ``time_delta`` = hours from the event's midnight."""
-    near = nearest_stations(events, stations, 1, "ev", "start_lat", "start_lon").select("ev", "station")
+    # the interval join reads the events twice (counts, then rows): the search runs once
+    near = cut_lineage(nearest_stations(events, stations, 1, "ev", "start_lat", "start_lon").select("ev", "station"))
     ev = events.drop("station").join(near, "ev")
-    j = event_window_join(ev, obs.select("station", "time", "wspd", "wdir"), days=days)
+    j = event_window_join(ev, obs.select("station", "time", "wspd", "wdir"), days=days, **how)
     return j.select(
         "ev", "magnitude", "station", "time",
         hours_between(F.col("d").cast("timestamp_ntz"), F.col("time")).alias("time_delta"),
