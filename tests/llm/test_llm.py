@@ -299,6 +299,42 @@ def test_language_model_is_a_distribution_and_its_gradient_is_right():
     assert language_model.log_probabilities(trained, v, [ids])[0] > language_model.log_probabilities(flat, v, [ids])[0] + 2
 
 
+def test_language_model_gradient_is_that_of_finite_differences():
+    v = language_model.Vocabulary({b"": 5, b"a": 9, b"b": 7, b"c": 2, b"d": 1, b"e": 1}, 30, 9, classes=2)
+    rng = np.random.default_rng(7)
+    flat = language_model.start_parameters(v) + rng.normal(0, 0.3, len(language_model.start_parameters(v)))
+    docs = [np.array([*rng.integers(1, v.size, n), 0], np.int32) for n in (9, 3, 4, 1, 0)]
+    (_, source, target, fresh, mask), = language_model.lanes(docs, 3, 12)
+    assert fresh[:, 1:].any() and not mask.all()
+    state = rng.normal(0, 0.5, (len(source), language_model.WIDTH))
+
+    def loss(x):
+        grads = language_model.split(np.zeros_like(x), v)
+        return language_model.window_gradient(language_model.split(x, v), v, grads, state, source, target, fresh, mask, math.inf)[1], grads
+
+    _, grads = loss(flat)
+    own = np.concatenate([np.ravel(grads[k]) for k in language_model.shapes(v)])
+    for i in rng.choice(len(flat), 300, replace=False):
+        step = np.zeros_like(flat)
+        step[i] = 1e-5
+        assert math.isclose((loss(flat + step)[0] - loss(flat - step)[0]) / 2e-5, own[i], rel_tol=1e-4, abs_tol=1e-8), i
+
+
+def test_lanes_hold_every_token_once_and_start_documents_afresh():
+    rng = np.random.default_rng(1)
+    docs = [np.array([*rng.integers(2, 99, n), 0], np.int32) for n in [*rng.integers(0, 40, 200), 900]]
+    seen, windows = [[] for _ in docs], 0
+    for doc, source, target, fresh, mask in language_model.lanes(docs, 16, 32):
+        windows += 1
+        for row in range(len(doc)):
+            for t in np.flatnonzero(mask[row]):
+                held = seen[doc[row, t]]
+                assert fresh[row, t] == (not held) and source[row, t] == (held[-1] if held else 0)
+                held.append(target[row, t])
+    assert all(h == d.tolist() for h, d in zip(seen, docs))
+    assert windows <= 2 + sum(map(len, docs)) // (16 * 32) + 900 // 32
+
+
 def test_language_model_knows_more_words_of_a_larger_corpus():
     sizes = []
     for distinct in (100_000, 800_000):

@@ -10,8 +10,8 @@ the softmax is factored into about the square root of that many classes of about
 frequencies. An unknown word gets the model's probability of the unknown, divided among the rest by smoothed
 counts, so every text has a probability.
 
-Training: truncated backpropagation in numpy, state carried from window to window, on all training documents. They are
-dealt to shards; a round trains every shard from the same parameters, batch after batch, and the parameters are averaged
+Training: truncated backpropagation in numpy, state carried from window to window, on all training documents, once. Documents lie
+one after the other in lanes, so that a window is full however unlike their lengths. They are dealt to shards; a round trains every shard from the same parameters, batch after batch, and the parameters are averaged
 by words in a tree. A shard has a document for every fourth word of the model at least, so what the averaging sends stays
 in proportion to the text. Scoring carries the state across windows of whole
 documents, many documents at a time.
@@ -23,6 +23,7 @@ are ignored. The longest text of a batch bounds a task's memory.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -36,6 +37,7 @@ from windlass.llm.common import id_remainder, saved, whole_text
 LEAST_WORDS, MOST_FREQUENT = 1000, 131_072
 END, UNKNOWN = 0, 1
 WIDTH = 24
+LEAST_LANES, LEAST_WINDOWS = 32, 64
 END_WORD = ""  # a word is never empty
 
 
@@ -152,40 +154,50 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def forward(p: dict, ids: np.ndarray, state: np.ndarray):
-    """States after each step (steps, rows, WIDTH) for inputs ids (rows, steps), and what backpropagation needs."""
-    used, at = np.unique(ids, return_inverse=True)  # only the window's words, not the whole vocabulary
-    table, at = p["embed"][used] @ p["input"] + p["bias"], at.reshape(ids.shape)
-    states, gates = [state], []
-    w = p["state"]
-    for t in range(ids.shape[1]):
-        x, h = table[at[:, t]], states[-1]
-        a = h @ w
+def forward(p: dict, table: np.ndarray, at: np.ndarray, state: np.ndarray, fresh: np.ndarray):
+    """States after each step (steps, rows, WIDTH) for input rows ``at`` (rows, steps) of ``table``, and what backpropagation needs.
+    Where ``fresh`` is set a document starts, and the state before it is zero."""
+    rows, steps = at.shape
+    states, before, gates = np.empty((steps, rows, WIDTH), state.dtype), [], []
+    w, h = p["state"], state
+    starts = fresh.any(0)
+    for t in range(steps):
+        if starts[t]:
+            h = np.where(fresh[:, t, None], h.dtype.type(0), h)
+        x, a = table[at[:, t]], h @ w
         zr = sigmoid(x[:, :2 * WIDTH] + a[:, :2 * WIDTH])
         z, r = zr[:, :WIDTH], zr[:, WIDTH:]
         c = np.tanh(x[:, 2 * WIDTH:] + r * a[:, 2 * WIDTH:])
-        states.append(c + z * (h - c))
+        before.append(h)
         gates.append((z, r, c, a[:, 2 * WIDTH:]))
-    return states, gates
+        h = np.add(c, z * (h - c), out=states[t])
+    return states, before, gates
+
+
+def input_table(p: dict, used=slice(None)) -> np.ndarray:
+    return p["embed"][used] @ p["input"] + p["bias"]
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    x -= x.max(1, keepdims=True)
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
 
 
-def output(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
+def output(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dict | None = None, block: int = 2048):
     """Natural log probability of each target, and with ``grads`` the gradient of the loss by h."""
     cls = v.of[target]
-    n = np.arange(len(h))
-    logits = log_softmax(h @ p["classes"] + p["class_bias"])
-    out = logits[n, cls].astype(np.float64)
-    if grads is not None:
-        d = np.exp(logits)
-        d[n, cls] -= 1
-        grads["classes"] += h.T @ d
-        grads["class_bias"] += d.sum(0)
-        dh = d @ p["classes"].T
+    out, dh = np.empty(len(h)), np.empty_like(h) if grads is not None else None
+    for a in range(0, len(h), block):  # a block of logits stays in the processor's cache
+        part, own, n = h[a:a + block], cls[a:a + block], np.arange(min(block, len(h) - a))
+        logits = log_softmax(part @ p["classes"] + p["class_bias"])
+        out[a:a + block] = logits[n, own]
+        if grads is not None:
+            d = np.exp(logits, out=logits)
+            d[n, own] -= 1
+            grads["classes"] += part.T @ d
+            grads["class_bias"] += d.sum(0)
+            dh[a:a + block] = d @ p["classes"].T
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(len(v.first)))
     for k in range(len(v.first) - 1):
@@ -193,96 +205,144 @@ def output(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dic
         a, b = v.first[k], v.first[k + 1]
         if b - a < 2 or not len(rows):
             continue
-        inner = log_softmax(h[rows] @ p["words"][a:b].T + p["word_bias"][a:b])
+        own = h[rows]
+        inner = log_softmax(own @ p["words"][a:b].T + p["word_bias"][a:b])
         at = target[rows] - a
         m = np.arange(len(rows))
         out[rows] += inner[m, at]
         if grads is not None:
-            d = np.exp(inner)
+            d = np.exp(inner, out=inner)
             d[m, at] -= 1
-            grads["words"][a:b] += d.T @ h[rows]
-            grads["word_bias"][a:b] += d.sum(0)
+            grads["words"][a:b] = d.T @ own
+            grads["word_bias"][a:b] = d.sum(0)
             dh[rows] += d @ p["words"][a:b]
     return (out, dh) if grads is not None else out
 
 
-def streams(encoded: list[np.ndarray], rows: int, steps: int):
-    """Windows over batches of ``rows`` documents of like length, the longest first: (documents, inputs, targets, mask)."""
-    order = sorted(range(len(encoded)), key=lambda i: (-len(encoded[i]), i))
-    for at in range(0, len(order), rows):
-        batch = order[at:at + rows]
-        lengths = np.array([len(encoded[i]) for i in batch])
-        for t in range(0, int(lengths[0]), steps):
-            n = int((lengths > t).sum())
-            width = min(steps, int(lengths[0]) - t)
-            target = np.zeros((n, width), np.int32)
-            source = np.zeros((n, width), np.int32)
-            for row, i in enumerate(batch[:n]):
-                part = encoded[i][t:t + width]
-                target[row, :len(part)] = part
-                before = encoded[i][max(0, t - 1):t + len(part) - 1]
-                source[row, len(part) - len(before):len(part)] = before
-            if t == 0:
-                source[:, 0] = END
-            yield batch[:n], t == 0, source, target, np.arange(t, t + width)[None] < lengths[:n, None]
+def lanes(encoded: list[np.ndarray], rows: int, steps: int):
+    """Windows over lanes of documents: (document of each place, inputs, targets, fresh, mask). When a document ends in a lane the next
+    one starts there with a fresh state, so the lanes stay full; the longest documents are dealt first, to the
+    shortest lane. Lanes stand by falling length, so those still going on are the first ones. A long document takes as many windows as
+    it does alone, so there are only as many lanes as it leaves full, and then more steps a window. Windows are smaller where the
+    documents would give less than ``LEAST_WINDOWS``."""
+    if not encoded:
+        return
+    sizes = [len(x) for x in encoded]
+    total, share = sum(sizes), sum(sizes) // LEAST_WINDOWS
+    full = min(rows, max(LEAST_LANES, min(total // max(sizes), share // steps)))
+    rows, steps = min(full, len(encoded)), max(steps, min(8 * steps, rows * steps // full, share // full))
+    held: list[list[int]] = [[] for _ in range(rows)]
+    heap = [(0, i) for i in range(len(held))]
+    for i in sorted(range(len(encoded)), key=lambda i: (-len(encoded[i]), i)):
+        n, lane = heapq.heappop(heap)
+        held[lane].append(i)
+        heapq.heappush(heap, (n + len(encoded[i]), lane))
+    sizes = dict((lane, n) for n, lane in heap)
+    order = sorted(range(len(held)), key=lambda lane: (-sizes[lane], lane))
+    lengths = np.array([sizes[lane] for lane in order])
+    tokens = [np.concatenate([encoded[i] for i in held[lane]]) for lane in order]
+    docs = [np.repeat(held[lane], [len(encoded[i]) for i in held[lane]]) for lane in order]
+    for t in range(0, int(lengths[0]), steps):
+        n, width = int((lengths > t).sum()), min(steps, int(lengths[0]) - t)
+        target, source, doc = np.zeros((n, width), np.int32), np.full((n, width), END, np.int32), np.full((n, width), -1)
+        fresh = np.zeros((n, width), bool)
+        for row in range(n):
+            part = tokens[row][t:t + width]
+            target[row, :len(part)], doc[row, :len(part)] = part, docs[row][t:t + width]
+            first = 1 if t == 0 else 0
+            source[row, first:len(part)] = tokens[row][t - 1 + first:t + len(part) - 1]
+            fresh[row, first:len(part)] = docs[row][t + first:t + len(part)] != docs[row][t - 1 + first:t + len(part) - 1]
+        fresh[:, 0] |= t == 0
+        source[fresh] = END
+        yield doc, source, target, fresh, np.arange(t, t + width)[None] < lengths[:n, None]
 
 
 def log_probabilities(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows: int = 512, steps: int = 32) -> np.ndarray:
     """Natural log probability of each document; the state is carried across the windows."""
-    p, out, state = split(flat, v), np.zeros(len(encoded)), None
-    for docs, new, source, target, mask in streams(encoded, rows, steps):
-        state = np.zeros((len(docs), WIDTH), np.float32) if new else state[:len(docs)]
-        states, _ = forward(p, source, state)
-        state = states[-1]
-        h = np.stack(states[1:], 1)[mask]
-        got = np.zeros(mask.shape)
-        got[mask] = output(p, v, h, target[mask])
-        out[docs] += got.sum(1)
+    p, out, state = split(flat, v), np.zeros(len(encoded)), np.zeros((rows, WIDTH), np.float32)
+    table = input_table(p)
+    for docs, source, target, fresh, mask in lanes(encoded, rows, steps):
+        states, _, _ = forward(p, table, source, state[:len(docs)], fresh)
+        state, mask = states[-1], mask.T
+        out += np.bincount(docs.T[mask], output(p, v, states[mask], target.T[mask]), len(encoded))
     return out
 
 
-def train_shard(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows: int = 128, steps: int = 16, rate: float = 0.01) -> np.ndarray:
+class Adam:
+    """Adam over named arrays; of a large table, only the rows that a window touched are updated."""
+
+    def __init__(self, p: dict, rate: float):
+        self.p, self.rate, self.step = p, rate, 0
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+
+    def update(self, grads: dict, touched: dict):
+        self.step += 1
+        rate = self.rate * math.sqrt(1 - 0.999 ** self.step) / (1 - 0.9 ** self.step)
+        for k, x in self.p.items():
+            rows = touched.get(k, slice(None))
+            g = grads[k][rows]
+            first, second = 0.9 * self.first[k][rows] + 0.1 * g, 0.999 * self.second[k][rows] + 0.001 * g * g
+            self.first[k][rows], self.second[k][rows] = first, second
+            x[rows] -= rate * first / (np.sqrt(second) + 1e-8)
+
+
+def window_gradient(p: dict, v: Vocabulary, grads: dict, state: np.ndarray, source, target, fresh, mask, clip: float = 1.0):
+    """Fills ``grads`` with the gradient of the window's mean loss, of length ``clip`` at most; gives the last state, the loss, and the touched rows of the tables."""
+    used, at = np.unique(source, return_inverse=True)
+    states, before, gates = forward(p, input_table(p, used), at.reshape(source.shape), state, fresh)
+    on = mask.T
+    for k in ("classes", "class_bias", "state", "input", "bias"):
+        grads[k][...] = 0
+    of = np.unique(v.of[target[mask]])
+    words = np.concatenate([np.arange(v.first[k], v.first[k + 1]) for k in of])
+    for k in ("words", "word_bias"):
+        grads[k][words] = 0
+    dh = np.zeros_like(states)
+    logs, dh[on] = output(p, v, states[on], target.T[on], grads)
+    back, dx = np.zeros_like(states[0]), np.empty((source.shape[1], len(source), 3 * WIDTH), states.dtype)
+    for t in reversed(range(source.shape[1])):
+        (z, r, c, a), h = gates[t], before[t]
+        d = dh[t] + back
+        dc = d * (1 - z) * (1 - c * c)
+        dr = dc * a * r * (1 - r)
+        dx[t, :, :WIDTH], dx[t, :, WIDTH:2 * WIDTH], dx[t, :, 2 * WIDTH:] = d * (h - c) * z * (1 - z), dr, dc
+        da = dx[t].copy()
+        da[:, 2 * WIDTH:] *= r
+        grads["state"] += h.T @ da
+        back = d * z + da @ p["state"].T
+        if fresh[:, t].any():
+            back[fresh[:, t]] = 0
+    at, dx = at.reshape(source.shape).T.ravel(), dx.reshape(-1, 3 * WIDTH)
+    order = np.argsort(at, kind="stable")
+    table = np.add.reduceat(dx[order], np.searchsorted(at[order], np.arange(len(used))), axis=0)
+    grads["embed"][used] = table @ p["input"].T
+    grads["input"] += p["embed"][used].T @ table
+    grads["bias"] += table.sum(0)
+    touched = {"embed": used, "words": words, "word_bias": words}
+    n, size = max(1, len(logs)), 0.0
+    for k, g in grads.items():
+        own = g[touched[k]] if k in touched else g
+        own = own / n
+        size += float((own * own).sum())
+        g[touched.get(k, slice(None))] = own
+    if size > clip * clip:
+        for k, g in grads.items():
+            g[touched.get(k, slice(None))] *= clip / math.sqrt(size)
+    return states[-1], -float(logs.sum()) / n, touched
+
+
+def train_shard(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows: int = 512, steps: int = 32, rate: float = 0.01) -> np.ndarray:
     """One pass of truncated backpropagation (Adam) over the shard's documents."""
     flat = flat.copy()
-    first, second, step, state = np.zeros_like(flat), np.zeros_like(flat), 0, None
-    for docs, new, source, target, mask in streams(encoded, rows, steps):
-        p = split(flat, v)
-        gradient = np.zeros_like(flat)
-        g = split(gradient, v)
-        state = np.zeros((len(docs), WIDTH), np.float32) if new else state[:len(docs)]
-        states, gates = forward(p, source, state)
-        h = np.stack(states[1:], 1)
-        dh = np.zeros_like(h)
-        _, dh[mask] = output(p, v, h[mask], target[mask], g)
-        back, dx = np.zeros_like(state), np.zeros((*source.shape, 3 * WIDTH), np.float32)
-        for t in reversed(range(source.shape[1])):
-            (z, r, c, a), before = gates[t], states[t]
-            d = dh[:, t] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * a * r * (1 - r)
-            dx[:, t] = np.hstack([dz, dr, dc])
-            da = np.hstack([dz, dr, dc * r])
-            g["state"] += before.T @ da
-            back = d * z + da @ p["state"].T
-        ids, dx = source.ravel(), dx.reshape(-1, 3 * WIDTH)
-        order = np.argsort(ids, kind="stable")
-        used, at = np.unique(ids[order], return_index=True)
-        table = np.add.reduceat(dx[order], at, axis=0)
-        g["embed"][used] += table @ p["input"].T
-        g["input"] += p["embed"][used].T @ table
-        g["bias"] += dx.sum(0)
-        gradient /= max(1, int(mask.sum()))
-        gradient *= min(1.0, 1.0 / (float(np.linalg.norm(gradient)) + 1e-12))
-        step += 1
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient * gradient
-        flat -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
-        state = states[-1]
+    p, grads = split(flat, v), split(np.zeros_like(flat), v)
+    adam, state = Adam(p, rate), np.zeros((rows, WIDTH), np.float32)
+    for docs, source, target, fresh, mask in lanes(encoded, rows, steps):
+        state, _, touched = window_gradient(p, v, grads, state[:len(docs)], source, target, fresh, mask)
+        adam.update(grads, touched)
     return flat
 
 
-def train(texts: DataFrame, v: Vocabulary, share: int = 1, rounds: int = 2, shard_docs: int = 8000) -> np.ndarray:
+def train(texts: DataFrame, v: Vocabulary, share: int = 1, rounds: int = 1, shard_docs: int = 8000) -> np.ndarray:
     """Parameters learned from every document of ``texts`` (every ``share``-th for tests), by averaging the shards' parameters."""
     spark = texts.sparkSession
     flat = start_parameters(v)
