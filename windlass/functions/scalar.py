@@ -20,6 +20,8 @@ TIME_BINS = [(0, 6, "Night"), (6, 12, "Morning"), (12, 18, "Afternoon"), (18, 24
 # Sector colours of a direction: North, East, South, West, and white for none.
 SECTOR_COLOURS = {"N": "#007bff", "E": "#dc3545", "S": "#ffc107", "W": "#28a745", None: "#ffffff"}
 # Blended direction colour: RGB of the four cardinal directions (0, 90, 180, 270 degrees).
+# ---- fixed values: the palette of the wind tables' speed column
+SPEED_PALETTE = ("#f8f9fa", "#adb5bd", "#6c757d")
 CARDINAL_RGB = [(0, (0.2, 0.4, 0.9)), (90, (0.9, 0.3, 0.3)), (180, (0.9, 0.9, 0.2)), (270, (0.3, 0.8, 0.3))]
 # Condition-code groups (4 classes).
 CONDITION_4 = {
@@ -184,6 +186,23 @@ def scale_position(x, lo, hi) -> Column:
     return F.try_divide(_c(x) - lo, F.lit(hi) - F.lit(lo) if not isinstance(hi, Column) else hi - lo)
 
 
+# F14 -- colour of a position in [0, 1] on a palette of any number of stops
+def palette_mix(position, stops) -> Column:
+    """Colour as ``#rrggbb``, mixed linearly between the two ``stops`` (hex colours) around ``position``; positions outside [0, 1] take the
+    end colours. Null where the position is null or NaN."""
+    rgb = [[int(s[i:i + 2], 16) for i in (1, 3, 5)] for s in stops]
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(position))) * F.lit(float(max(1, len(rgb) - 1)))
+    at = F.least(F.floor(x), F.lit(max(0, len(rgb) - 2))).cast("int")
+    part = x - at
+    mixed = []
+    for ch in range(3):
+        low = F.element_at(F.array(*[F.lit(float(c[ch])) for c in rgb]), at + 1)
+        high = F.element_at(F.array(*[F.lit(float(c[ch])) for c in rgb]), F.least(at + 2, F.lit(len(rgb))))
+        mixed.append(F.rint(low + part * (high - low)).cast("int"))
+    known = _c(position).isNotNull() & ~F.isnan(_c(position))
+    return F.when(known, F.format_string("#%02x%02x%02x", *mixed))
+
+
 # F15 -- percent label
 def percent_label(p) -> Column:
     return F.format_string("%.1f%%", _c(p))

@@ -18,6 +18,7 @@ from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, c
 from windlass.operators.aggregates import global_scalars
 from windlass.operators.quantiles import global_quantiles_many
 from windlass.operators.pieces import own_rows, piece_window, with_halo
+from windlass.operators.reshape import drop_any_null
 from windlass.operators.sequence import mean_of, ref, std_of, with_lags
 from windlass.operators.temporal import rolling_mean, rolling_std
 from windlass.session import wide_plan_mode
@@ -188,10 +189,6 @@ def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, flo
 
     Only the 6 raw columns are shifted (lags 1-5, one window pass over pieces): a
     derived column k rows back is its formula on the raw values shifted by k.
-
-    Catalyst's constraint propagation grows combinatorially with hundreds of aliased columns
-    under a null filter, so it is switched off for the session (it only derives extra
-    IS NOT NULL filters; results do not change).
     """
     wide_plan_mode(obs.sparkSession)
     g = thresholds or global_thresholds(obs)
@@ -204,7 +201,8 @@ def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, flo
         block.update(derived_columns(g, acc))
         for name, expr in block.items():
             cols[name if k == 0 else f"{name}_lag{k}"] = expr
-    wide = lagged.select("station", "time", "coco", *[v.alias(n) for n, v in cols.items()]).dropna()
+    wide = lagged.select("station", "time", "coco", *[v.alias(n) for n, v in cols.items()])
+    wide = drop_any_null(wide)
     coords = stations.select("station", "latitude", "longitude", "elevation")
     j = wide.join(coords, "station", "left")
     e = j.withColumns(enhanced_columns())

@@ -7,14 +7,18 @@ condition class = class of ``1 + (coco * 2) % 22``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windlass.functions.scalar import CONDITION_4, condition_group_4, wind_u, wind_v, arrow_end
 from windlass.operators import metrics as mx
 from windlass.operators.aggregates import round_doubles
-from windlass.operators.reshape import pivot_ranks
+from windlass.operators.reshape import drop_any_null, pivot_ranks
 from windlass.operators.sampling import hash_order, sample_n, split_by_hash
+from windlass.operators.selection import pick_id
 from windlass.operators.spatial import k_nearest
 from windlass.operators.sequence import with_lags
 from windlass.operators.temporal import running_id, time_folds
@@ -143,18 +147,22 @@ def q_circular_r2(spark, d):
 
 
 # ---- J2 + F22 + W9: prediction arrows on the map ------------------------------------------------------
-def prediction_arrows(pred: DataFrame, stations: DataFrame, scale: float = 0.5) -> DataFrame:
-    """Observed and predicted wind vectors placed at their station (J2; the station table is
-    deduplicated by id first), arrow ends (F22) and a running arrow id by station (W9)."""
-    st = stations.select("station", "longitude", "latitude").dropDuplicates(["station"])
+def prediction_arrows(pred: DataFrame, stations: DataFrame, scale: float = 0.5, keep_repeats: bool = False) -> DataFrame:
+    """Observed and predicted wind vectors placed at their station (J2), arrow ends (F22) and a running arrow id by station and time
+    (W9). A station that the station table lists more than once has the place that is smallest by (longitude, latitude), or with
+    ``keep_repeats`` an arrow for each of its places, as a plain join gives."""
+    st = stations.select("station", "longitude", "latitude")
+    if not keep_repeats:
+        place = F.struct("longitude", "latitude")
+        st = st.groupBy("station").agg(F.min_by(place, place).alias("p")).select("station", "p.longitude", "p.latitude")
     j = pred.join(st, "station", "left").withColumns({
         "end_lon": arrow_end("longitude", "u_obs", scale), "end_lat": arrow_end("latitude", "v_obs", scale),
         "end_lon_pred": arrow_end("longitude", "u_pred", scale),
         "end_lat_pred": arrow_end("latitude", "v_pred", scale)})
-    return running_id(j, [F.col("station").asc(), F.col("time").asc()], "arrow_id")
+    return running_id(j, [F.col("station").asc(), F.col("time").asc(), F.col("longitude").asc(), F.col("latitude").asc()], "arrow_id")
 
 
-@query("prediction_arrows", "J2 F22 W9 F9", views=("obs", "stations"), sql=f"""
+_ARROWS_SQL = f"""
 SELECT * EXCLUDE (wspd_p, wdir_p) FROM (
 SELECT p.station, p.time, {R('u_obs')} AS u_obs, {R('v_obs')} AS v_obs, {R('u_pred')} AS u_pred, {R('v_pred')} AS v_pred,
   s.longitude, s.latitude, {R('s.longitude + u_obs * 0.5e0')} AS end_lon, {R('s.latitude + v_obs * 0.5e0')} AS end_lat,
@@ -163,13 +171,26 @@ SELECT p.station, p.time, {R('u_obs')} AS u_obs, {R('v_obs')} AS v_obs, {R('u_pr
 FROM (SELECT station, time, {_U} AS u_obs, {_V} AS v_obs, {_UP} AS u_pred, {_VP} AS v_pred FROM obs) p
 LEFT JOIN stations s USING (station)
 WHERE u_obs IS NOT NULL AND v_obs IS NOT NULL AND u_pred IS NOT NULL AND v_pred IS NOT NULL)
-""")
-def q_prediction_arrows(spark, d):
+"""
+
+
+def _stand_in_arrows(spark, d) -> DataFrame:
     o = _lagged(sv.obs(spark, d))
     p = o.select("station", "time", wind_u("wspd", "wdir").alias("u_obs"), wind_v("wspd", "wdir").alias("v_obs"),
                  wind_u("wspd_pred", "wdir_pred").alias("u_pred"),
                  wind_v("wspd_pred", "wdir_pred").alias("v_pred")).dropna()
-    return round_doubles(prediction_arrows(p, sv.stations(spark, d)), 6)
+    return prediction_arrows(p, sv.stations(spark, d))
+
+
+@query("prediction_arrows", "J2 F22 W9 F9", views=("obs", "stations"), sql=_ARROWS_SQL)
+def q_prediction_arrows(spark, d):
+    return round_doubles(_stand_in_arrows(spark, d), 6)
+
+
+@query("picked_arrow", "P17 W9 J2", views=("obs", "stations"), sql=f"SELECT * FROM ({_ARROWS_SQL}) WHERE arrow_id = 100")
+def q_picked_arrow(spark, d):
+    """The slider's pick: one arrow by its running id."""
+    return round_doubles(pick_id(_stand_in_arrows(spark, d), "arrow_id", 100), 6)
 
 
 # ---- S9: first station with data among a place's nearest ----------------------------------------------
@@ -270,34 +291,40 @@ def q_time_folds(spark, d):
 
 # ---- L1 data: wind-vector pivot of each main station and its 6 nearest --------------------------------
 def wind_vector_table(obs: DataFrame, stations: DataFrame, mains: DataFrame, k: int = 6,
-                      bucket: str = "DAY") -> DataFrame:
-    """L1: neighbours ranked by distance (J4) -> wind vectors (F9) -> mean per (time bucket,
-    rank, main station) (A11) -> one row per (time, main station) with ``{u,v,longitude,
-    latitude}_{rank}`` (A12) -> rows with any gap dropped -> distinct (U2)."""
+                      bucket: str = "HOUR") -> DataFrame:
+    """L1: wind vectors (F9) averaged per (time bucket, station) (A11), joined to the mains whose k nearest stations they are (J4), and
+    turned to one row per (time, main station) with ``{u,v,longitude,latitude}_{rank}`` (A12); rows with any gap are dropped.
+
+    A (main, rank) has one station, so the mean per station is the mean per (main, rank): observations are aggregated before the join, which
+    then copies one row per station and bucket, not every observation."""
     wide_plan_mode(obs.sparkSession)
     nb = k_nearest(mains.select(F.col("station").alias("place"), "latitude", "longitude"), stations, k,
                    place_key="place").select("place", "station", "rank")
-    coords = stations.select("station", "longitude", "latitude")
+    coords = stations.groupBy("station").agg(F.avg("longitude").alias("longitude"), F.avg("latitude").alias("latitude"))
+    nb = nb.join(coords, "station")
     o = obs.select("station", F.date_trunc(bucket, "time").cast("timestamp_ntz").alias("time"),
                    wind_u("wspd", "wdir").alias("u"), wind_v("wspd", "wdir").alias("v"))
-    j = o.join(nb, "station").join(coords, "station")
-    a = j.groupBy("time", "rank", "place").agg(F.avg("u").alias("u"), F.avg("v").alias("v"),
-                                               F.avg("longitude").alias("longitude"),
-                                               F.avg("latitude").alias("latitude"))
+    a = o.groupBy("station", "time").agg(F.avg("u").alias("u"), F.avg("v").alias("v")).join(nb, "station").drop("station")
     p = pivot_ranks(a, ["time", "place"], "rank", list(range(1, k + 1)), ["u", "v", "longitude", "latitude"])
-    return p.dropna().withColumnRenamed("place", "station").dropDuplicates()
+    return drop_any_null(p).withColumnRenamed("place", "station")
+
 
+def wind_vector_union(obs: DataFrame, stations: DataFrame, mains: Sequence[DataFrame], k: int = 6, bucket: str = "HOUR") -> DataFrame:
+    """The tables of several groups of mains, one after the other, each row once (groups may share mains)."""
+    tables = [wind_vector_table(obs, stations, m, k, bucket) for m in mains]
+    return reduce(DataFrame.unionByName, tables).distinct()
 
-def _pivot_sql() -> str:
+
+def _pivot_sql(bucket: str = "day", mains: str = "true") -> str:
     cols = ", ".join(f"{R(f'max(CASE WHEN rank = {r} THEN {v} END)')} AS {v}_{r}"
                      for r in range(1, 7) for v in ("u", "v", "longitude", "latitude"))
     notnull = " AND ".join(f"{v}_{r} IS NOT NULL" for r in range(1, 7) for v in ("u", "v", "longitude", "latitude"))
     hv = haversine_sql('m.latitude', 'm.longitude', 's.latitude', 's.longitude')
     return f"""
-WITH m AS (SELECT station AS place, latitude, longitude FROM stations),
+WITH m AS (SELECT station AS place, latitude, longitude FROM stations WHERE {mains}),
 nb AS (SELECT place, station, rank FROM (SELECT m.place, s.station,
          row_number() OVER (PARTITION BY m.place ORDER BY {hv}, s.station) AS rank FROM m, stations s) WHERE rank <= 6),
-o AS (SELECT station, date_trunc('day', time) AS time, {_U} AS u, {_V} AS v FROM obs),
+o AS (SELECT station, date_trunc('{bucket}', time) AS time, {_U} AS u, {_V} AS v FROM obs),
 a AS (SELECT o.time, nb.rank, nb.place, avg(o.u) AS u, avg(o.v) AS v, avg(s.longitude) AS longitude, avg(s.latitude) AS latitude
       FROM o JOIN nb USING (station) JOIN stations s USING (station) GROUP BY o.time, nb.rank, nb.place),
 p AS (SELECT time, place AS station, {cols} FROM a GROUP BY time, place)
@@ -305,7 +332,15 @@ SELECT DISTINCT * FROM p WHERE {notnull}
 """
 
 
-@query("wind_vector_pivot", "L1 J4 F9 A11 A12 P7 U2", views=("obs", "stations"), sql=_pivot_sql())
+@query("wind_vector_pivot", "L1 J4 F9 A11 A12 P7", views=("obs", "stations"), sql=_pivot_sql())
 def q_wind_vector_pivot(spark, d):
     st = sv.stations(spark, d)
-    return round_doubles(wind_vector_table(sv.obs(spark, d), st, st), 6)
+    return round_doubles(wind_vector_table(sv.obs(spark, d), st, st, bucket="DAY"), 6)
+
+
+@query("wind_vector_union", "U2 L1 A12", views=("obs", "stations"), sql=_pivot_sql(mains="station % 2 = 0 OR station % 3 = 0"))
+def q_wind_vector_union(spark, d):
+    """Two groups of mains that overlap."""
+    st = sv.stations(spark, d)
+    groups = [st.filter("station % 2 = 0"), st.filter("station % 3 = 0")]
+    return round_doubles(wind_vector_union(sv.obs(spark, d), st, groups, bucket="DAY"), 6)

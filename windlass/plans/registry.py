@@ -75,6 +75,19 @@ def blend_colour_sql(x: str) -> str:
             f"ELSE printf('#%02x%02x%02x', {', '.join(chans)}) END)")
 
 
+def palette_sql(x: str, stops) -> str:
+    """DuckDB spelling of ``palette_mix`` for a position ``x`` that is null or a number."""
+    rgb = [[int(s[i:i + 2], 16) for i in (1, 3, 5)] for s in stops]
+    p = f"(greatest(0e0, least(1e0, {x})) * {len(rgb) - 1}e0)"
+    at = f"CAST(least(floor({p}), {len(rgb) - 2}) AS INTEGER)"
+    chans = []
+    for ch in range(3):
+        arr = "[" + ", ".join(f"{c[ch]}e0" for c in rgb) + "]"
+        low, high = f"({arr})[{at} + 1]", f"({arr})[{at} + 2]"
+        chans.append(f"CAST(round_even({low} + ({p} - {at}) * ({high} - {low}), 0) AS INTEGER)")
+    return f"(CASE WHEN ({x}) IS NULL THEN NULL ELSE printf('#%02x%02x%02x', {', '.join(chans)}) END)"
+
+
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = 6371.0) -> str:
     """DuckDB spelling of ``haversine_km`` (same expression order)."""
     a = (f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * "

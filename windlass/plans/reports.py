@@ -22,6 +22,7 @@ from windlass.operators.joins import maybe_broadcast
 from windlass.operators.spatial import k_nearest
 from windlass.operators.temporal import date_spine, event_window_join
 from windlass.plans.registry import R, circ_sql, haversine_sql, query
+from windlass.plans.wind import with_speed_scale
 from windlass.sources import standins as sv
 
 
@@ -66,13 +67,14 @@ def wind_tables(obs, stations, places, start="2020-01-01", end="2024-12-31",
 
 
 def wind_table(obs, stations, places, start="2024-01-01", end="2024-12-31", factor: float = KMH_TO_MPH) -> DataFrame:
-    """Speed in mph (the factor is a parameter; ``MS_TO_MPH`` reproduces the m/s reading),
-    direction, compass-sector colour, and the speed scale domain."""
+    """Speed in mph (the factor is a parameter; ``MS_TO_MPH`` reproduces the m/s reading), direction, compass-sector colour,
+    and the speed's domain, position and palette colour."""
     t = wind_stats(obs, stations, places, start, end)
     t = t.withColumns({"avg_wind_speed_mph": round_half_even(F.col("avg_wind_speed_kmh") * F.lit(factor), 1),
                        "avg_wind_direction_deg": round_half_even("avg_wind_direction_deg", 0)}).drop("avg_wind_speed_kmh")
     t = t.withColumns({"sector": direction_sector("avg_wind_direction_deg"),
                        "sector_colour": sector_colour("avg_wind_direction_deg")})
+    t = with_speed_scale(t, "avg_wind_speed_mph")
     return t.orderBy(F.col("region").asc_nulls_last(), F.col("avg_wind_speed_mph").desc_nulls_last())
 
 

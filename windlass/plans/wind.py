@@ -3,19 +3,18 @@ regional daily wind, feature temperature, city-day wind, explorer)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windlass.functions.circular import circular_mean
-from windlass.functions.scalar import (KMH_TO_MPH, c_to_f, chart_vector, direction_blend_colour,
-                                       direction_sector, scale_position, sector_colour)
-from windlass.functions.scalar import round_half_even
+from windlass.functions.scalar import (KMH_TO_MPH, SPEED_PALETTE, c_to_f, chart_vector, direction_blend_colour, direction_sector,
+                                       palette_mix, round_half_even, scale_position, sector_colour)
 from windlass.dims import GEO_FEATURES
 from windlass.operators.aggregates import padded_domain, round_doubles, wind_mean, wind_profile
 from windlass.operators.joins import maybe_broadcast
 from windlass.operators.selection import box_selection, highlight, interval_selection, point_selection
 from windlass.operators.temporal import date_spine
-from windlass.plans.registry import (DIGITS, R, blend_colour_sql, circ_sql, pmod360_sql, query,
+from windlass.plans.registry import (DIGITS, R, blend_colour_sql, circ_sql, palette_sql, pmod360_sql, query,
                                      sector_sql)
 from windlass.sources import standins as sv
 
@@ -77,6 +76,20 @@ def q_wind_table_sector(spark, d):
     return wind_table_sector(sv.obs(spark, d), sv.stations(spark, d), digits=DIGITS, dir_digits=DIGITS)
 
 
+def with_speed_scale(t: DataFrame, speed: str) -> DataFrame:
+    """A16 + F14: the speed's domain over the table (one row per place), its position in the domain and its palette colour."""
+    whole = Window.partitionBy()  # an aggregated table: a row per place
+    t = t.withColumns({"domain_min": F.min(speed).over(whole), "domain_max": F.max(speed).over(whole)})
+    t = t.withColumn("speed_position", scale_position(speed, F.col("domain_min"), F.col("domain_max")))
+    return t.withColumn("speed_colour", palette_mix("speed_position", SPEED_PALETTE))
+
+
+def speed_scale_sql(speed: str) -> str:
+    lo, hi = f"min({speed}) OVER ()", f"max({speed}) OVER ()"
+    pos = f"(({speed} - {lo}) / nullif({hi} - {lo}, 0))"
+    return f"{lo} AS domain_min, {hi} AS domain_max, {R(pos)} AS speed_position, {palette_sql(pos, SPEED_PALETTE)} AS speed_colour"
+
+
 def wind_table_blend(obs: DataFrame, stations: DataFrame, digits: int | None = 1,
                      dir_digits: int | None = 0) -> DataFrame:
     """Mean speed (km/h) and direction per city, blended direction colour (F13) and the
@@ -86,18 +99,14 @@ def wind_table_blend(obs: DataFrame, stations: DataFrame, digits: int | None = 1
         t = t.withColumn("avg_wind_speed_kmh", round_half_even("avg_wind_speed_kmh", digits))
     if dir_digits is not None:
         t = t.withColumn("avg_wind_direction_deg", round_half_even("avg_wind_direction_deg", dir_digits))
-    t = t.cache()  # small (one row per city); reused for the scale domain
-    lo, hi = padded_domain(t, "avg_wind_speed_kmh", mode="minmax")
-    pos = F.lit(None).cast("double") if lo is None else scale_position("avg_wind_speed_kmh", F.lit(lo), F.lit(hi))
-    out = t.withColumns({"direction_colour": direction_blend_colour("avg_wind_direction_deg"),
-                         "speed_position": pos})
+    out = with_speed_scale(t, "avg_wind_speed_kmh").withColumn("direction_colour", direction_blend_colour("avg_wind_direction_deg"))
     return out.orderBy(F.col("region").asc_nulls_last(), F.col("avg_wind_speed_kmh").desc_nulls_last(), "city")
 
 
 @query("wind_table_blend", "A1 A2 F13 F14 A16 O1", views=("obs", "stations"), sql=f"""
 SELECT region, city, avg_wind_speed_kmh, avg_wind_direction_deg,
   {blend_colour_sql('avg_wind_direction_deg')} AS direction_colour,
-  {R('(avg_wind_speed_kmh - min(avg_wind_speed_kmh) OVER ()) / (max(avg_wind_speed_kmh) OVER () - min(avg_wind_speed_kmh) OVER ())')} AS speed_position
+  {speed_scale_sql('avg_wind_speed_kmh')}
 FROM (
   SELECT region, city, {R('avg(wspd)')} AS avg_wind_speed_kmh, {R(circ_sql('wdir'))} AS avg_wind_direction_deg
   FROM obs JOIN stations USING (station) GROUP BY region, city
@@ -215,9 +224,7 @@ def city_day_wind(obs: DataFrame, stations: DataFrame, factor: float = KMH_TO_MP
     j = obs.join(stations.select("station", "city"), "station")
     t = j.groupBy("city", F.dayofyear("time").alias("day_of_year")).agg(
         (F.avg("wspd") * F.lit(factor)).alias("wind_speed"))
-    t = t.cache()
-    _, top = padded_domain(t, "wind_speed", mode="plus2")
-    return t.withColumn("y_domain_max", F.lit(top).cast("double"))
+    return t.withColumn("y_domain_max", F.max("wind_speed").over(Window.partitionBy()) + 2)  # an aggregated table
 
 
 @query("city_day_wind", "A1 F2 F8 A16", views=("obs", "stations"), sql=f"""

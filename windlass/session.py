@@ -30,6 +30,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     if "spark.checkpoint.dir" not in conf:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(
             prefix="windlass-ckpt-", dir=os.environ.get("WINDLASS_SCRATCH", "/tmp"))
     for k, v in conf.items():
@@ -64,9 +66,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def wide_plan_mode(spark: SparkSession) -> None:
-    """Wide plans (pivots and feature tables with hundreds of aliased columns under null
-    filters) make Catalyst's constraint propagation grow combinatorially; switching it off
-    only drops some inferred IS NOT NULL filters -- results are unchanged."""
+    """Wide plans (pivots and feature tables with hundreds of aliased columns under null filters) make Catalyst's constraint propagation
+    grow combinatorially, up to the driver's memory; switching it off for the session only drops some inferred IS NOT NULL filters.
+    It stays off: plans are optimized when they run, after the functions that build them have returned."""
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
