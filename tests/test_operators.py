@@ -413,6 +413,27 @@ def test_quantiles_equal_a_full_sort_at_every_spread(spark):
     np.testing.assert_allclose(got["normal"], np.quantile(groups["normal"], probs), rtol=1e-12)
 
 
+def test_quantiles_of_a_million_values_inside_one_range(spark):
+    """All values lie in one range of the first cut; no window of the finer cuts sees more than 2^14 rows of them."""
+    df = spark.range(1_000_000).select((F.lit(1.0) + F.col("id") * F.lit(2.0 ** -36)).alias("x"))
+    assert df.select(quantiles.value_range(F.col("x")).alias("r")).distinct().count() == 1
+    probs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = quantiles.global_quantiles(df.repartition(8), "x", probs)
+    v = 1.0 + np.arange(1_000_000) * 2.0 ** -36
+    assert got == [_sorted_quantile(v, p) if 0 < p < 1 else float(v[0 if p == 0 else -1]) for p in probs]
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_quantiles_by_every_cut(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "MOST_VALUES", most)
+    rng = np.random.default_rng(3)
+    groups = {"dense": 1 + rng.random(400) * 1e-11, "normal": rng.normal(size=500), "ties": rng.integers(-2, 3, 300) / 2, "signs": np.array([-0.5, 0.5] * 40)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, x double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r["quantiles"] for r in quantiles.grouped_quantiles(df, ["g"], "x", probs).collect()}
+    assert got == {g: [_sorted_quantile(vs.tolist(), p) for p in probs] for g, vs in groups.items()}
+
+
 def test_value_range_never_decreases(spark):
     rng = np.random.default_rng(5)
     vals = np.concatenate([rng.normal(size=2000) * 10.0 ** rng.integers(-300, 300, 2000), 2.0 ** np.arange(-1074.0, 1024),
