@@ -379,6 +379,31 @@ def test_embeddings(spark):
     assert embedding_join.near_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_stars_are_the_forest():
+    rng = np.random.default_rng(6)
+    for nodes, links in ((5, 3), (60, 40), (300, 290), (40, 5000), (1, 4), (10, 0)):
+        a, b = rng.integers(-nodes, nodes, (2, links)) * 7
+        assert sorted(zip(*(x.tolist() for x in embedding_join.stars(a, b)))) == sorted(forest(zip(a.tolist(), b.tolist())))
+    chain = np.arange(1, 3000)
+    got = embedding_join.stars(chain, chain - 1)
+    assert (got[0] == chain).all() and (got[1] == 0).all()
+
+
+def test_embeddings_of_a_large_group_and_clashing_columns(spark):
+    """3,000 near copies of one vector: all link with all."""
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=32)
+    group = one + rng.normal(0, 0.02, (3000, 32))
+    rows = [(int(i), v.tolist(), "x", "y", "z") for i, v in enumerate(np.vstack([group, rng.normal(size=(200, 32))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, raw string, copies string").repartition(6)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.near_groups(df).collect()}
+    unit = np.vstack([group, [r[1] for r in rows[3000:]]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    assert near[:3000, :3000].all() and not near[3000:, :3000].any()
+    assert got == {i: (2999, 0, i == 0) if i < 3000 else (int(near[i].sum()) - 1, int(np.flatnonzero(near[i])[0]), np.flatnonzero(near[i])[0] == i) for i in range(3200)}
+
+
 @pytest.mark.parametrize("op, column, least", [(quality, "quality", 0.9), (toxicity, "toxic", 0.9)])
 def test_classifiers(spark, docs, none, op, column, least):
     folder = "/root/testdata/sf0.1"

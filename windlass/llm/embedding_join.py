@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windlass.llm.common import saved
-from windlass.llm.components import components, forest
+from windlass.llm.components import components
 
 AXES, SMALL, MAX_BLOCKS = 8, 64, 16_384
 SLACK = 1e-6
@@ -152,6 +152,25 @@ def join_intervals(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray,
                 join_intervals(a[sa], b[sb], pa[sa], pb[sb], eps, cosine, found, i + oa, j + ob)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a[i], b[i]) as stars: every node but the smallest of its component, and that smallest node. Labels fall to the
+    smallest neighbour's, also at the roots they point to, and are shortened, until none changes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        for place in (x, y, label[x], label[y]):
+            np.minimum.at(new, place, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
 def near_pairs(distinct: DataFrame, cosine: float = 0.9, block: int = 512) -> DataFrame:
     """Rows (a, b, weight) from the interval pairs: weight null for a link of the forest, else the number of
     rows that link with vector a in that pair of intervals (b is null)."""
@@ -198,8 +217,8 @@ def near_pairs(distinct: DataFrame, cosine: float = 0.9, block: int = 512) -> Da
                 for nodes, links in degree:
                     some = links > 0
                     out.append(pd.DataFrame({"a": nodes[some], "b": pd.array([None] * int(some.sum()), "Int64"), "weight": links[some].astype(np.int64)}))
-                links = forest(zip(na[x].tolist(), nb[y].tolist()))
-                out.append(pd.DataFrame({"a": [p for p, _ in links], "b": [q for _, q in links], "weight": pd.array([None] * len(links), "Int64")}))
+                p, q = stars(na[x], nb[y])
+                out.append(pd.DataFrame({"a": p, "b": q, "weight": pd.array([None] * len(p), "Int64")}))
             yield pd.concat(out)[["a", "b", "weight"]].astype("Int64")
 
     pairs = blocks.select("block", "dims", "low", "high").mapInPandas(partners, "block long, other long")
