@@ -168,8 +168,15 @@ def best_sums(texts, weights: np.ndarray, usual: np.ndarray | float = np.inf) ->
 
 def features(windows: list[tuple[np.ndarray, int]]) -> np.ndarray:
     """Feature numbers of each window's subsequences, a row each; their weights are ``entry_weights``."""
-    inside = np.arange(WINDOW)
-    return np.array([np.concatenate([np.where(inside < n, f, 0) for f, _ in subsequences(w)]) for w, n in windows]).reshape(len(windows), -1)
+    if not windows:
+        return np.zeros((0, len(STEPS) * WINDOW), np.int64)
+    codes = np.array([w for w, _ in windows])
+    inside = np.arange(WINDOW) < np.array([n for _, n in windows])[:, None]
+    out = []
+    for a, b, _ in STEPS:
+        x, y, z = codes[:, :WINDOW], codes[:, a:a + WINDOW], codes[:, b:b + WINDOW]
+        out.append(np.where((x > 0) & (y > 0) & (z > 0) & inside, (x << 12) | (y << 6) | z, 0))
+    return np.hstack(out)
 
 
 def entry_weights() -> np.ndarray:
@@ -223,20 +230,21 @@ class Svm:
         value, vector = np.linalg.eigh(phi @ phi.T)
         keep = value > 1e-6 * value[-1]
         to_z = vector[:, keep] / np.sqrt(value[keep])  # Nystroem: K_mm^(-1/2)
-        basis = phi.T @ to_z  # of subsequences in Nystroem features
-        z = np.vstack([np.einsum("ijk,j->ik", basis[column[features(part[i:i + 256])]], entry)
+        basis = (phi.T @ to_z).astype(np.float32)  # of subsequences in Nystroem features
+        z = np.vstack([np.einsum("ijk,j->ik", basis[column[features(part[i:i + 256])]], entry.astype(np.float32))
                        for part in (positive, negative) for i in range(0, len(part), 256)])
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         shares = np.broadcast_to(np.asarray(shares, float), len(positive))
         c = np.r_[0.5 * shares / shares.sum(), np.full(len(negative), 0.5 * CLEAN_WEIGHT / len(negative))]
         scale = np.sqrt((z * z).sum(1).mean()) + 1e-9
-        z = np.hstack([z / scale, np.ones((len(z), 1))])
-        v = ahead = np.zeros(z.shape[1])
-        rate = 1 / (2 * np.linalg.norm((z * c[:, None]).T @ z, 2) + ridge)
+        z = np.hstack([z / scale, np.ones((len(z), 1))]).astype(np.float32)
+        y, c = y.astype(np.float32), c.astype(np.float32)
+        v = ahead = np.zeros(z.shape[1], np.float32)
+        rate = np.float32(1 / (2 * np.linalg.norm((z * c[:, None]).T @ z, 2) + ridge))
         for k in range(steps):  # accelerated gradient on the squared hinge
             slack = np.maximum(0, 1 - y * (z @ ahead))
-            new = ahead - rate * (ridge * ahead - 2 * z.T @ (c * y * slack))
-            v, ahead = new, new + k / (k + 3) * (new - v)
+            new = ahead - rate * (np.float32(ridge) * ahead - 2 * z.T @ (c * y * slack))
+            v, ahead = new, new + np.float32(k / (k + 3)) * (new - v)
         self.weights = np.zeros(CLASSES ** 3, np.float32)
         self.weights[used] = (basis @ v[:-1] / scale)[1:]
         self.bias = float(v[-1])
