@@ -147,13 +147,25 @@ def dashboard_std_data(obs, stations, places, features, start="2024-01-01", end=
 
 
 # ---- registered: wind statistics of placed cities via their nearest station ----------------------------
-@query("place_wind_stats", "S3 S11 J4 A1 A2", views=("obs", "stations"), sql=f"""
+_NEAR_SQL = f"""
 WITH pl AS (SELECT n_nationkey AS place, n_name AS city, 25 + (n_nationkey * 7 % 240) / 10e0 + 0.05e0 AS latitude,
               -120 + (n_nationkey * 13 % 450) / 10e0 + 0.05e0 AS longitude FROM nation),
 near AS (SELECT place, station FROM (SELECT pl.place, s.station, row_number() OVER (PARTITION BY pl.place
            ORDER BY {haversine_sql('pl.latitude', 'pl.longitude', 's.latitude', 's.longitude')}, s.station) AS rn
          FROM pl, stations s) WHERE rn = 1),
-o AS (SELECT near.place, obs.wspd, obs.wdir FROM near JOIN obs USING (station)
+"""
+
+
+def _places(spark, d) -> DataFrame:
+    """Place dimension of the registered reports: one per nation, beside the stations."""
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    k = F.col("n_nationkey")
+    return n.select(k.alias("place"), F.col("n_name").alias("city"),
+                    (F.lit(25) + (k * 7 % 240) / F.lit(10e0) + F.lit(0.05)).alias("latitude"),
+                    (F.lit(-120) + (k * 13 % 450) / F.lit(10e0) + F.lit(0.05)).alias("longitude"))
+
+
+@query("place_wind_stats", "S3 S11 J4 A1 A2", views=("obs", "stations"), sql=_NEAR_SQL + f"""o AS (SELECT near.place, obs.wspd, obs.wdir FROM near JOIN obs USING (station)
       WHERE obs.time BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'),
 st AS (SELECT place, avg(wspd) AS w, {circ_sql('wdir')} AS d FROM o GROUP BY place)
 SELECT pl.place, pl.city, {R('pl.latitude')} AS latitude, {R('pl.longitude')} AS longitude,
@@ -161,16 +173,45 @@ SELECT pl.place, pl.city, {R('pl.latitude')} AS latitude, {R('pl.longitude')} AS
 FROM pl LEFT JOIN st USING (place)
 """)
 def q_place_wind_stats(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    k = F.col("n_nationkey")
-    places = n.select(k.alias("place"), F.col("n_name").alias("city"),
-                      (F.lit(25) + (k * 7 % 240) / F.lit(10e0) + F.lit(0.05)).alias("latitude"),
-                      (F.lit(-120) + (k * 13 % 450) / F.lit(10e0) + F.lit(0.05)).alias("longitude"))
-    out = wind_stats(sv.obs(spark, d), sv.stations(spark, d), places, "2024-01-01 00:00:00",
+    out = wind_stats(sv.obs(spark, d), sv.stations(spark, d), _places(spark, d), "2024-01-01 00:00:00",
                      "2024-01-20 00:00:00", key="place")
     return round_doubles(out, 6)
 
 
+@query("place_hourly_wind", "S3 S4 U1 J4", views=("obs", "stations"), sql=_NEAR_SQL + """
+o AS (SELECT near.place, obs.time, obs.wspd, obs.wdir FROM near JOIN obs USING (station)
+      WHERE obs.time BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00')
+SELECT place, time, wspd, wdir FROM o
+""")
+def q_place_hourly_wind(spark, d):
+    return hourly_wind(sv.obs(spark, d), sv.stations(spark, d), _places(spark, d), "2024-01-01 00:00:00", "2024-01-20 00:00:00", key="place")
+
+
+@query("cities_map_daily", "S3 A1 A16 F2 F8", views=("obs", "stations"), sql=_NEAR_SQL + f"""
+o AS (SELECT near.place, obs.time, obs.wspd FROM near JOIN obs USING (station)
+      WHERE obs.time BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'),
+m AS (SELECT place, CAST(dayofyear(time) AS INTEGER) AS day_of_year, avg(wspd) * {KMH_TO_MPH!r}e0 AS wind_speed
+      FROM o GROUP BY 1, 2)
+SELECT place, day_of_year, {R('wind_speed')} AS wind_speed, {R('max(wind_speed) OVER () + 2')} AS domain_top FROM m
+""")
+def q_cities_map_daily(spark, d):
+    daily, top = cities_map_data(q_place_hourly_wind(spark, d), key="place")
+    return round_doubles(daily.withColumn("domain_top", F.lit(top).cast("double")), 6)
+
+
+@query("place_daily_temperature", "S5 A10 F8 J9", views=("obs", "stations"), sql=_NEAR_SQL + f"""
+daily AS (SELECT city, CAST(time AS DATE) AS date, avg(temp * 9e0 / 5e0 + 32e0) AS temp_f
+          FROM near JOIN pl USING (place) JOIN obs USING (station)
+          WHERE time >= TIMESTAMP '2024-01-01' AND time < TIMESTAMP '2024-01-21' GROUP BY 1, 2),
+spine AS (SELECT city, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS date
+          FROM pl WHERE city NOT IN (SELECT city FROM daily))
+SELECT date, city AS "Feature", {R('temp_f')} AS temp_f FROM daily UNION ALL SELECT date, city, NULL FROM spine
+""")
+def q_place_daily_temperature(spark, d):
+    places = _places(spark, d).select(F.col("city").alias("feature"), "latitude", "longitude")
+    return round_doubles(geo_feature_temperature(sv.obs(spark, d), sv.stations(spark, d), places, "2024-01-01", "2024-01-20"), 6)
+
+
 __all__ = ["wind_stats", "wind_tables", "wind_table", "hourly_wind", "cities_map_data", "regional_daily_wind",
            "geo_feature_temperature", "tornado_data", "tornado_map_data", "dashboard_std_data", "split_tables",
            "MS_TO_MPH"]
