@@ -36,6 +36,15 @@ def test_interval_join_is_the_condition(tables, hot_rows, block_hours):
     assert got.columns == ["station", "ev", "d", "oid", "time"]
 
 
+def test_an_event_stands_in_two_blocks_at_most(tables, monkeypatch):
+    ev, obs = tables
+    seen, real = [], intervals.hot_buckets
+    monkeypatch.setattr(intervals, "hot_buckets", lambda e, *a: seen.append(e) or real(e, *a))
+    for days in (1, 3, 10):
+        temporal.event_window_join(ev, obs, days)
+        assert seen.pop().agg(F.max(F.col("__last") - F.col("__first") + 1)).first()[0] <= 2
+
+
 def test_before_1970_empty_and_turned_intervals(spark):
     ev = spark.createDataFrame([(1, 1, datetime(1969, 12, 30), datetime(1970, 1, 2)), (2, 1, datetime(1970, 1, 2), datetime(1970, 1, 1))],
                                "ev int, station int, a timestamp_ntz, b timestamp_ntz")

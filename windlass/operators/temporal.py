@@ -82,8 +82,10 @@ def date_spine(places: DataFrame, with_data: DataFrame, keys: Sequence[str], sta
 def event_window_join(events: DataFrame, obs: DataFrame, days: int = 3, event_date: str = "d",
                       station: str = "station", time: str = "time", **how) -> DataFrame:
     """Observations of each event's station within [date - days, date + days] (inclusive), by the interval join on (station, block)
-    buckets, of which hot ones are salted (``operators.intervals``; ``how`` goes there)."""
+    buckets, of which hot ones are salted (``operators.intervals``; ``how`` goes there). A block is as long as a window, so an event
+    is shuffled in two copies at most, however long the window is."""
     from windlass.operators.intervals import interval_join
+    how = {"block_hours": max(12, 48 * days)} | how
     lo, hi = F.date_sub(F.col(event_date), days).cast("timestamp_ntz"), F.date_add(F.col(event_date), days).cast("timestamp_ntz")
     return interval_join(events, obs, station, lo, hi, time, **how)
 

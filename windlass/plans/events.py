@@ -42,7 +42,7 @@ def event_window_wind(events: DataFrame, stations: DataFrame, obs: DataFrame, da
     ``days`` after the event date (inclusive); ``time_delta`` = hours from the event's midnight."""
     # the interval join reads the events twice (counts, then rows): the search runs once
     near = cut_lineage(nearest_stations(events, stations, 1, "ev", "start_lat", "start_lon").select("ev", "station"))
-    ev = events.drop("station").join(near, "ev")
+    ev = events.select("ev", "magnitude", "d").join(near, "ev")
     j = event_window_join(ev, obs.select("station", "time", "wspd", "wdir"), days=days, **how)
     return j.select(
         "ev", "magnitude", "station", "time",
