@@ -111,3 +111,35 @@ def test_direction_features_hold_place_and_city(spark, smoke_dir):
     f = ml.direction_features(sv.obs(spark, smoke_dir), sv.stations(spark, smoke_dir))
     assert {"latitude", "longitude", "elevation", "city", "condition_group", *ml.DIRECTION_NUMERIC, *ml.DIRECTION_CLOCK} <= set(f.columns)
     assert not [c for c in f.columns if c.startswith("doy")] and f.filter("city IS NULL").count() == 0
+
+
+def test_tree_training_parts_follow_bytes_not_files(spark, monkeypatch):
+    """Every part sends statistics for every tree level, so many small files must not become many parts."""
+    seen = []
+
+    class Seen:
+        def __init__(self, **kw):
+            pass
+
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return 1.0
+
+    monkeypatch.setattr(boosting, "GBTClassifier", Seen)
+    df = spark.range(0, 4000, 1, 40).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("label"))
+    boosting.boost_classes(df, ["a"], "label")
+    assert seen == [1, 1]
+    for n in (0, 10 ** 5, 10 ** 7, 10 ** 9):
+        parts = boosting.training_parts(n, 171, 12)
+        assert n * 171 * 4 / parts <= boosting.MOST_BYTES and (parts == 1 or n * 800 / parts >= boosting.LEAST_BYTES / 2)
+
+
+def test_feature_rows_are_not_shuffled_when_wide(spark, smoke_dir):
+    obs = spark.createDataFrame(sv.obs(spark, smoke_dir).limit(300).collect(), sv.obs(spark, smoke_dir).schema)
+    st = spark.createDataFrame(sv.stations(spark, smoke_dir).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = feature_table(obs, st)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

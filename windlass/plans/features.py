@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from windlass.functions import met
 from windlass.functions.scalar import beaufort, condition_group_4, cyclic_cos, cyclic_sin
 from windlass.operators.aggregates import global_scalars
+from windlass.operators.joins import maybe_broadcast
 from windlass.operators.quantiles import global_quantiles_many
 from windlass.operators.pieces import own_rows, piece_window, with_halo
 from windlass.operators.reshape import drop_any_null
@@ -201,11 +202,12 @@ def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, flo
         block.update(derived_columns(g, acc))
         for name, expr in block.items():
             cols[name if k == 0 else f"{name}_lag{k}"] = expr
-    wide = lagged.select("station", "time", "coco", *[v.alias(n) for n, v in cols.items()])
-    wide = drop_any_null(wide)
-    coords = stations.select("station", "latitude", "longitude", "elevation")
-    j = wide.join(coords, "station", "left")
-    e = j.withColumns(enhanced_columns())
+    # the place joins the raw values, and as a broadcast where it may: the wide rows are never shuffled
+    place = ["latitude", "longitude", "elevation"]
+    j = lagged.join(maybe_broadcast(stations.select("station", *place)), "station", "left")
+    own = ["station", "time", "coco"]
+    wide = drop_any_null(j.select(*own, *[v.alias(n) for n, v in cols.items()], *place), [*own, *cols])
+    e = wide.withColumns(enhanced_columns())
     e = e.filter(~F.col("coco").isin(23, 24, 25, 26, 27))
     return e.withColumn("condition", condition_group_4("coco"))
 
