@@ -143,3 +143,23 @@ def test_feature_rows_are_not_shuffled_when_wide(spark, smoke_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_direction_fits_read_rows_spread_over_the_cores(spark, smoke_dir, monkeypatch):
+    """The observations come in one split; the stored rows do not, and the trees get few parts of them."""
+    seen, made = [], {}
+
+    class Trees(ml.GBTRegressor):
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return super().fit(rows)
+
+    def kept(df, name, real=boosting.stored):
+        made[name] = df.rdd.getNumPartitions()
+        return real(df, name)
+
+    monkeypatch.setattr(ml, "GBTRegressor", Trees)
+    monkeypatch.setattr(ml, "stored", kept)
+    out = ml.direction_model(sv.obs(spark, smoke_dir).coalesce(1), sv.stations(spark, smoke_dir), gbt_iter=2).collect()
+    assert len(out) == 2 and len({r["test_rows"] for r in out}) == 1
+    assert seen == [1, 1] and made["direction_rows"] == spark.sparkContext.defaultParallelism
