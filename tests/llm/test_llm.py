@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +347,61 @@ def test_language_model_knows_more_words_of_a_larger_corpus():
     assert sizes[1] > 3.9 * sizes[0]
 
 
+def test_language_model_takes_one_exponential_a_logit(monkeypatch):
+    """Costs of a training window and of a scoring one: an exponential for each logit and gate, and some for each token."""
+    v = language_model.Vocabulary({b"": 50, **{b"%d" % i: 2 + 3000 // (i + 1) for i in range(900)}}, 30_000, 901)
+    rng = np.random.default_rng(4)
+    docs = [np.array([*rng.integers(2, v.size, n), 0], np.int32) for n in rng.integers(20, 40, 60)]
+    windows = list(language_model.lanes(docs, 60, 50))
+    own = np.concatenate([target[mask] for _, _, target, _, mask in windows])
+    within = np.diff(v.first)[v.of[own]]
+    logits, gates = len(own) * len(v.class_bias) + int(within[within > 1].sum()), sum(w[1].size for w in windows) * 2 * language_model.WIDTH
+    flat = language_model.start_parameters(v)
+    p, grads = language_model.split(flat, v), language_model.split(np.zeros_like(flat), v)
+    taken, exp = [], np.exp
+    monkeypatch.setattr(language_model.np, "exp", lambda x, *a, **k: (taken.append(np.size(x)), exp(x, *a, **k))[1])
+    for _, source, target, fresh, mask in windows:
+        state = np.zeros((len(source), language_model.WIDTH), np.float32)
+        language_model.window_gradient(p, v, grads, state, source, target, fresh, mask)
+    assert logits < sum(taken) <= logits + gates + 2 * len(own)
+    taken.clear()
+    language_model.log_probabilities(flat, v, docs, rows=60, steps=50)
+    assert logits < sum(taken) <= logits + gates
+
+
+def test_language_model_windows_share_their_memory():
+    rng = np.random.default_rng(6)
+    v = language_model.Vocabulary({b"": 50, **{b"%d" % i: 2 + 3000 // (i + 1) for i in range(900)}}, 30_000, 901)
+    flat = language_model.start_parameters(v)
+    docs = [np.array([*rng.integers(2, v.size, n), 0], np.int32) for n in rng.integers(1, 60, 300)]
+    one = language_model.log_probabilities(flat, v, docs, rows=40, steps=16)
+    assert np.allclose(one, [language_model.log_probabilities(flat, v, [d])[0] for d in docs], rtol=1e-5)
+    room = language_model.Room()
+    windows = list(language_model.lanes(docs, 40, 16))[:4]
+    for _, source, target, fresh, mask in windows:  # the same with memory used before as with fresh memory
+        state = rng.normal(0, 0.5, (len(source), language_model.WIDTH)).astype(np.float32)
+        got = []
+        for r in (room, None):
+            grads = language_model.split(np.zeros_like(flat), v)
+            out = language_model.window_gradient(language_model.split(flat, v), v, grads, state, source, target, fresh, mask, room=r)
+            got.append([out[0], out[1], *grads.values()])
+        assert all(np.array_equal(a, b) for a, b in zip(*got))
+
+
+def test_language_model_splits_words_alike_in_arrow(spark):
+    rng = random.Random(3)
+    texts = ["", " ", "  a", "a  ", "\ta\n\nB\x0b\x0cC\r", "x\x1cy\x85z w", "\u00c0B \u00fc", "a\x00b c"]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x1d\x00aBc\u00c4\u3000\u0130") for _ in range(rng.randrange(40))) for _ in range(500)]
+    v = language_model.Vocabulary({b"": 5, b"a": 9, b"b": 7, b"c": 2}, 30, 9)
+    for held in (pa.array(texts), pa.array(texts).slice(7, 100), pa.array([], pa.string())):
+        want = [language_model.words_of(t) for t in held.to_pylist()]
+        words, counts = language_model.split_words(held)
+        assert [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws] and counts.tolist() == [len(ws) for ws in want]
+        assert [x.tolist() for x in v.encode_all(held)] == [v.encode(ws).tolist() for ws in want]
+    got = {r["word"].encode(): r["n"] for r in language_model.count_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    assert got == Counter(w for t in texts for w in [*language_model.words_of(t), b""])
+
+
 def test_language_model_learns_from_every_training_document(spark):
     docs = spark.createDataFrame([(i, "a b " * 30) for i in range(300)], "doc_id long, text string")
     docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(16)) != 0)  # those a sixteenth by hash leaves out

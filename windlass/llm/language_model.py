@@ -14,21 +14,22 @@ Training: truncated backpropagation in numpy, state carried from window to windo
 one after the other in lanes, so that a window is full however unlike their lengths. They are dealt to shards; a round trains every shard from the same parameters, batch after batch, and the parameters are averaged
 by words in a tree. A shard has a document for every fourth word of the model at least, so what the averaging sends stays
 in proportion to the text. Scoring carries the state across windows of whole
-documents, many documents at a time.
+documents, many documents at a time. A window takes one exponential a logit, in blocks that stay in cache, in memory kept from the window before;
+words are split and looked up a batch at a time in Arrow.
 
 Defined cases: null and empty texts are the end alone; repeated rows are counted and scored each; null ids count as the
 empty text in the split; with nothing to learn from the model is uniform; empty tables give empty results; other columns
-are ignored. The longest text of a batch bounds a task's memory.
+are ignored. The word ids of an Arrow batch, the words of 2,048 of its texts and its longest text bound a task's memory.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,30 +52,32 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` all ``texts``, one after the other, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = lists.flatten(), np.asarray(lists.offsets)
+    kept = pc.not_equal(words, "")  # space at a text's ends leaves empty pieces
+    before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+    return words.filter(kept), np.diff(before[ends - ends[0]])
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    x = batch.column(name)
+    return x.cast(pa.string()) if name == "text" else x
+
+
 def training(docs: DataFrame, mod: int = 7, left_out: int = 2) -> DataFrame:
     return docs.filter(id_remainder(F.col("doc_id"), mod) != left_out)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """word, n over all rows; the end is counted under the empty word."""
-    def count(frames):
-        held = Counter()
-
-        def rows():
-            words, counts = [w.decode("utf-8", "replace") for w in held], list(held.values())
-            held.clear()
-            for at in range(0, len(words), 50_000):
-                yield pd.DataFrame({"word": pd.Series(words[at:at + 50_000], dtype=object), "n": counts[at:at + 50_000]})
+    def count(batches):
+        for batch in batches:
+            words, counts = pc.value_counts(split_words(column(batch, "text"))[0]).flatten()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END_WORD])]), pa.concat_arrays([counts, pa.array([len(batch)])])], ["word", "n"])
 
-        for frame in frames:
-            for text in frame["text"]:
-                held.update(words_of(text))
-            held[END_WORD.encode()] += len(frame)
-            if len(held) > 400_000:
-                yield from rows()
-        yield from rows()
-
-    return texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
@@ -119,21 +122,37 @@ class Vocabulary:
         get = self.ids.get
         return np.array([*(get(w, UNKNOWN) for w in words), END], np.int32)
 
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """``encode`` of the words of each text."""
+        words, counts = split_words(texts)
+        known = pa.array(list(self.ids), pa.binary()).cast(pa.string())  # in the order of the ids
+        return with_ends(pc.fill_null(pc.index_in(words, known), -1).to_numpy(), counts)
+
+
+def with_ends(places: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Ids of each text, the end last, from the words' places in the vocabulary: -1 is unknown."""
+    ends = np.cumsum(counts + 1)
+    ids, word = np.full(ends[-1] if len(ends) else 0, END, np.int32), np.ones(ends[-1] if len(ends) else 0, bool)
+    word[ends - 1] = False
+    ids[word] = np.where(places < 0, UNKNOWN, places + 2)
+    return np.split(ids, ends[:-1]) if len(ends) else []
+
 
 def shapes(v: Vocabulary) -> dict[str, tuple]:
+    """The last column of ``classes`` and ``words`` is their bias."""
     return {"embed": (v.size, WIDTH), "input": (WIDTH, 3 * WIDTH), "bias": (3 * WIDTH,), "state": (WIDTH, 3 * WIDTH),
-            "classes": (WIDTH, len(v.class_bias)), "class_bias": (len(v.class_bias),), "words": (v.size, WIDTH), "word_bias": (v.size,)}
+            "classes": (len(v.class_bias), WIDTH + 1), "words": (v.size, WIDTH + 1)}
 
 
 def start_parameters(v: Vocabulary, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
+    biases = {"classes": v.class_bias, "words": v.word_bias}
     made = []
     for name, shape in shapes(v).items():
-        if name == "class_bias":
-            x = v.class_bias
-        elif name == "word_bias":
-            x = v.word_bias
-        elif name in ("bias", "classes", "words"):
+        if name in biases:
+            x = np.zeros(shape)
+            x[:, -1] = biases[name]
+        elif name == "bias":
             x = np.zeros(shape)
         else:
             x = rng.normal(0, WIDTH ** -0.5, shape)
@@ -150,73 +169,126 @@ def split(flat: np.ndarray, v: Vocabulary) -> dict[str, np.ndarray]:
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+class Room:
+    """Arrays by name, made once and used again: fresh memory for every window costs as much as the sums."""
 
+    def __init__(self):
+        self.held = {}
 
-def forward(p: dict, table: np.ndarray, at: np.ndarray, state: np.ndarray, fresh: np.ndarray):
-    """States after each step (steps, rows, WIDTH) for input rows ``at`` (rows, steps) of ``table``, and what backpropagation needs.
-    Where ``fresh`` is set a document starts, and the state before it is zero."""
-    rows, steps = at.shape
-    states, before, gates = np.empty((steps, rows, WIDTH), state.dtype), [], []
-    w, h = p["state"], state
-    starts = fresh.any(0)
-    for t in range(steps):
-        if starts[t]:
-            h = np.where(fresh[:, t, None], h.dtype.type(0), h)
-        x, a = table[at[:, t]], h @ w
-        zr = sigmoid(x[:, :2 * WIDTH] + a[:, :2 * WIDTH])
-        z, r = zr[:, :WIDTH], zr[:, WIDTH:]
-        c = np.tanh(x[:, 2 * WIDTH:] + r * a[:, 2 * WIDTH:])
-        before.append(h)
-        gates.append((z, r, c, a[:, 2 * WIDTH:]))
-        h = np.add(c, z * (h - c), out=states[t])
-    return states, before, gates
+    def __call__(self, name: str, shape: tuple, dtype) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or self.held[name].size < n or self.held[name].dtype != dtype:
+            self.held[name] = np.empty(n, dtype)
+        return self.held[name][:n].reshape(shape)
 
 
-def input_table(p: dict, used=slice(None)) -> np.ndarray:
-    return p["embed"][used] @ p["input"] + p["bias"]
+def by_gate(x: np.ndarray) -> np.ndarray:
+    """(3, rows, WIDTH) of (rows, 3 * WIDTH); negated for the two sigmoid gates."""
+    out = np.ascontiguousarray(x.reshape(-1, 3, WIDTH).swapaxes(0, 1))
+    np.negative(out[:2], out=out[:2])
+    return out
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def input_table(p: dict, used=slice(None)) -> np.ndarray:
+    return by_gate(p["embed"][used] @ p["input"] + p["bias"])
 
 
-def output(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dict | None = None, block: int = 2048):
-    """Natural log probability of each target, and with ``grads`` the gradient of the loss by h."""
+def forward(p: dict, table: np.ndarray, at: np.ndarray, state: np.ndarray, fresh: np.ndarray, kept: dict | None = None,
+            room: Room | None = None) -> np.ndarray:
+    """States after each step (steps, rows, WIDTH) for input rows ``at`` (rows, steps) of ``table``. Where ``fresh`` is set a document
+    starts, and the state before it is zero. ``kept`` gets what backpropagation needs."""
+    rows, steps = at.shape
+    weights, h, at, starts = by_gate(p["state"]), state, np.ascontiguousarray(at.T), fresh.any(0)
+    room = room or Room()
+    states = room("states", (steps, rows, WIDTH), state.dtype)
+    x, a, gates = (room(k, (3, rows, WIDTH), state.dtype) for k in ("gate inputs", "gate sums", "gates"))
+    spare, one = np.empty_like(x[0]), state.dtype.type(1)
+    if kept is not None:
+        kept.update({k: room(k, states.shape, state.dtype) for k in ("before", "z", "r", "dz", "dr", "dc")})
+    with np.errstate(over="ignore"):  # a sigmoid of zero
+        for t in range(steps):
+            if starts[t]:
+                h = np.where(fresh[:, t, None], h.dtype.type(0), h)
+            np.take(table, at[t], axis=1, out=x, mode="clip")
+            np.matmul(h, weights, out=a)
+            zr, c = gates[:2], gates[2]
+            z, r = zr
+            np.add(x[:2], a[:2], out=zr)
+            np.exp(zr, out=zr)
+            np.add(zr, one, out=zr)
+            np.reciprocal(zr, out=zr)
+            np.multiply(r, a[2], out=c)
+            np.add(c, x[2], out=c)
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=spare)
+            np.multiply(spare, z, out=spare)
+            if kept is not None:  # the derivative of the state by each gate's sum
+                kept["before"][t], kept["z"][t], kept["r"][t] = h, z, r
+                rest, dz, dr, dc = x[0], kept["dz"][t], kept["dr"][t], kept["dc"][t]
+                np.subtract(one, z, out=rest)
+                np.multiply(spare, rest, out=dz)
+                np.multiply(c, c, out=dc)
+                np.subtract(one, dc, out=dc)
+                np.multiply(dc, rest, out=dc)
+                np.subtract(one, r, out=rest)
+                np.multiply(rest, r, out=rest)
+                np.multiply(rest, a[2], out=dr)
+            h = np.add(c, spare, out=states[t])
+    return states
+
+
+def own_share(part: np.ndarray, w: np.ndarray, own: np.ndarray, y: np.ndarray, n: np.ndarray, grad: np.ndarray | None, dx: np.ndarray | None):
+    """Natural log of the softmax of the logits w @ part.T at ``own``; ``grad`` and ``dx``, if given, get the loss's derivatives by ``w`` and ``part``. ``y`` is room."""
+    np.matmul(w, part.T, out=y)
+    if not (y.max() < 40 and y.min() > -40):  # else no power leaves its range
+        y -= np.maximum.reduce(y, 0)
+    at = own, n
+    logs = y[at]
+    np.exp(y, out=y)
+    sums = np.add.reduce(y, 0)
+    logs -= np.log(sums)
+    if grad is not None:
+        y *= 1 / sums
+        y[at] = np.exp(logs) - 1
+        grad += y @ part
+        np.matmul(y.T, w, out=dx)
+    return logs
+
+
+def output(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dict | None = None, block: int = 32_768, room: Room | None = None):
+    """Natural log probability of each target, and with ``grads``, which hold zeros for the targets' classes, the gradient of
+    the loss by h. Logits are taken on rows sorted by class, in blocks that stay in the processor's cache."""
+    order = np.argsort(v.of[target].astype(np.min_scalar_type(len(v.first))), kind="stable")
+    target, n = target[order], np.arange(len(h))
     cls = v.of[target]
-    out, dh = np.empty(len(h)), np.empty_like(h) if grads is not None else None
-    for a in range(0, len(h), block):  # a block of logits stays in the processor's cache
-        part, own, n = h[a:a + block], cls[a:a + block], np.arange(min(block, len(h) - a))
-        logits = log_softmax(part @ p["classes"] + p["class_bias"])
-        out[a:a + block] = logits[n, own]
-        if grads is not None:
-            d = np.exp(logits, out=logits)
-            d[n, own] -= 1
-            grads["classes"] += part.T @ d
-            grads["class_bias"] += d.sum(0)
-            dh[a:a + block] = d @ p["classes"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(len(v.first)))
-    for k in range(len(v.first) - 1):
-        rows = order[bounds[k]:bounds[k + 1]]
-        a, b = v.first[k], v.first[k + 1]
-        if b - a < 2 or not len(rows):
-            continue
-        own = h[rows]
-        inner = log_softmax(own @ p["words"][a:b].T + p["word_bias"][a:b])
-        at = target[rows] - a
-        m = np.arange(len(rows))
-        out[rows] += inner[m, at]
-        if grads is not None:
-            d = np.exp(inner, out=inner)
-            d[m, at] -= 1
-            grads["words"][a:b] = d.T @ own
-            grads["word_bias"][a:b] = d.sum(0)
-            dh[rows] += d @ p["words"][a:b]
-    return (out, dh) if grads is not None else out
+    room = room or Room()
+    x, logits = room("x", (len(h), WIDTH + 1), h.dtype), room("logits", (max(block, len(v.class_bias), int(np.diff(v.first).max())),), h.dtype)
+    x[:, :WIDTH], x[:, WIDTH] = h[order], 1
+    logs, dx, d = np.zeros(len(h)), None, None
+    if grads is not None:
+        dx, spare = (room(k, x.shape, h.dtype) for k in ("dx", "part of dx"))
+        dx[...] = 0
+    # each softmax is over one run of rows of its table, for the tokens whose target is in that run
+    for name, first, run, own in (("classes", np.array([0, len(v.class_bias)]), np.zeros_like(cls), cls), ("words", v.first, cls, target)):
+        own = own - first[run]
+        bounds = np.searchsorted(run, np.arange(len(first))).tolist()
+        for k in np.flatnonzero((np.diff(first) > 1) & (np.diff(bounds) > 0)).tolist():
+            i, j = int(first[k]), int(first[k + 1])
+            w, grad, step = p[name][i:j], grads[name][i:j] if grads is not None else None, max(1, block // (j - i))
+            for a in range(bounds[k], bounds[k + 1], step):
+                b = min(a + step, bounds[k + 1])
+                if grads is not None:
+                    d = spare[a:b]
+                logs[a:b] += own_share(x[a:b], w, own[a:b], logits[:(b - a) * (j - i)].reshape(j - i, b - a), n[:b - a], grad, d)
+                if grads is not None:
+                    dx[a:b] += d
+    out = np.empty_like(logs)
+    out[order] = logs
+    if grads is None:
+        return out
+    dh = np.empty_like(h)
+    dh[order] = dx[:, :WIDTH]
+    return out, dh
 
 
 def lanes(encoded: list[np.ndarray], rows: int, steps: int):
@@ -260,11 +332,11 @@ def lanes(encoded: list[np.ndarray], rows: int, steps: int):
 def log_probabilities(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows: int = 512, steps: int = 32) -> np.ndarray:
     """Natural log probability of each document; the state is carried across the windows."""
     p, out, state = split(flat, v), np.zeros(len(encoded)), np.zeros((rows, WIDTH), np.float32)
-    table = input_table(p)
+    table, room = input_table(p), Room()
     for docs, source, target, fresh, mask in lanes(encoded, rows, steps):
-        states, _, _ = forward(p, table, source, state[:len(docs)], fresh)
-        state, mask = states[-1], mask.T
-        out += np.bincount(docs.T[mask], output(p, v, states[mask], target.T[mask]), len(encoded))
+        states = forward(p, table, source, state[:len(docs)], fresh, room=room)
+        state, on = states[-1].copy(), np.flatnonzero(mask.T)
+        out += np.bincount(docs.T.ravel()[on], output(p, v, states.reshape(-1, WIDTH)[on], target.T.ravel()[on], room=room), len(encoded))
     return out
 
 
@@ -278,66 +350,106 @@ class Adam:
     def update(self, grads: dict, touched: dict):
         self.step += 1
         rate = self.rate * math.sqrt(1 - 0.999 ** self.step) / (1 - 0.9 ** self.step)
+
+        def move(x, first, second, g):
+            first *= 0.9
+            first += (part := g * 0.1)
+            second *= 0.999
+            np.multiply(g, g, out=part)
+            part *= 0.001
+            second += part
+            np.sqrt(second, out=part)
+            part += 1e-8
+            np.divide(first, part, out=part)
+            part *= rate
+            x -= part
+
         for k, x in self.p.items():
-            rows = touched.get(k, slice(None))
-            g = grads[k][rows]
-            first, second = 0.9 * self.first[k][rows] + 0.1 * g, 0.999 * self.second[k][rows] + 0.001 * g * g
-            self.first[k][rows], self.second[k][rows] = first, second
-            x[rows] -= rate * first / (np.sqrt(second) + 1e-8)
-
-
-def window_gradient(p: dict, v: Vocabulary, grads: dict, state: np.ndarray, source, target, fresh, mask, clip: float = 1.0):
-    """Fills ``grads`` with the gradient of the window's mean loss, of length ``clip`` at most; gives the last state, the loss, and the touched rows of the tables."""
-    used, at = np.unique(source, return_inverse=True)
-    states, before, gates = forward(p, input_table(p, used), at.reshape(source.shape), state, fresh)
-    on = mask.T
-    for k in ("classes", "class_bias", "state", "input", "bias"):
-        grads[k][...] = 0
-    of = np.unique(v.of[target[mask]])
-    words = np.concatenate([np.arange(v.first[k], v.first[k + 1]) for k in of])
-    for k in ("words", "word_bias"):
-        grads[k][words] = 0
-    dh = np.zeros_like(states)
-    logs, dh[on] = output(p, v, states[on], target.T[on], grads)
-    back, dx = np.zeros_like(states[0]), np.empty((source.shape[1], len(source), 3 * WIDTH), states.dtype)
-    for t in reversed(range(source.shape[1])):
-        (z, r, c, a), h = gates[t], before[t]
-        d = dh[t] + back
-        dc = d * (1 - z) * (1 - c * c)
-        dr = dc * a * r * (1 - r)
-        dx[t, :, :WIDTH], dx[t, :, WIDTH:2 * WIDTH], dx[t, :, 2 * WIDTH:] = d * (h - c) * z * (1 - z), dr, dc
-        da = dx[t].copy()
-        da[:, 2 * WIDTH:] *= r
-        grads["state"] += h.T @ da
-        back = d * z + da @ p["state"].T
-        if fresh[:, t].any():
+            rows = touched.get(k, [(0, len(x))])
+            if isinstance(rows, list):
+                for a, end in rows:
+                    for b in range(a, end, 512):
+                        at = slice(b, min(b + 512, end))
+                        move(x[at], self.first[k][at], self.second[k][at], grads[k][at])
+            else:
+                own = x[rows], self.first[k][rows], self.second[k][rows]
+                move(*own, grads[k][rows])
+                x[rows], self.first[k][rows], self.second[k][rows] = own
+
+
+def sums_by_row(x: np.ndarray, at: np.ndarray, counts: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of the rows of ``x`` (3, rows, WIDTH) with equal ``at``, as (sums, 3 * WIDTH); there are ``counts`` of each. Those of a few rows are added side by side."""
+    x = x[:, np.argsort(at.astype(np.min_scalar_type(len(counts))), kind="stable")]
+    starts = np.cumsum(counts) - counts
+    out = x[:, starts]
+    for i in np.flatnonzero(counts > few).tolist():
+        np.add.reduce(x[:, starts[i]:starts[i] + counts[i]], 1, out=out[:, i])
+    for k in range(1, few):
+        rows = np.flatnonzero((counts > k) & (counts <= few))
+        out[:, rows] += x[:, starts[rows] + k]
+    return out.swapaxes(0, 1).reshape(len(counts), -1)
+
+
+def window_gradient(p: dict, v: Vocabulary, grads: dict, state: np.ndarray, source, target, fresh, mask, clip: float = 1.0,
+                    room: Room | None = None):
+    """Fills ``grads`` with the gradient of the window's mean loss, of length ``clip`` at most; gives the last state, the loss, and the
+    touched rows of the tables, an array of them or a list of their runs (first, end)."""
+    counts = np.bincount(source.ravel(), minlength=v.size)
+    used = np.flatnonzero(counts)
+    place = np.empty(v.size, np.intp)
+    place[used] = np.arange(len(used))
+    at, kept, room = place[source], {}, room or Room()
+    states = forward(p, input_table(p, used), at, state, fresh, kept, room)
+    on = np.flatnonzero(mask.T)
+    dh, own = room("dh", states.shape, states.dtype), target.T.ravel()[on]
+    of = np.flatnonzero((np.bincount(v.of[own], minlength=len(v.first) - 1) > 0) & (np.diff(v.first) > 1))
+    runs = np.split(of, np.flatnonzero(np.diff(of) > 1) + 1) if len(of) else []
+    words = [(int(v.first[r[0]]), int(v.first[r[-1] + 1])) for r in runs]
+    for g in (grads["classes"], *(grads["words"][a:b] for a, b in words)):
+        g[...] = 0
+    dh[...] = 0
+    logs, dh.reshape(-1, WIDTH)[on] = output(p, v, states.reshape(-1, WIDTH)[on], own, grads, room=room)
+    rows, steps = source.shape
+    shape, weights = (steps, rows, WIDTH), np.ascontiguousarray(p["state"].reshape(WIDTH, 3, WIDTH).transpose(1, 2, 0))
+    back, inner = np.zeros_like(states[0]), np.empty_like(states[0])
+    dx, da, by_sum, starts = room("gate dx", (3, *shape), states.dtype), room("gate da", (3, *shape), states.dtype), room("gate sums", (3, rows, WIDTH), states.dtype), fresh.any(0)
+    for t in reversed(range(steps)):
+        d, x, a = dh[t], dx[:, t], da[:, t]
+        d += back
+        np.multiply(d, kept["dz"][t], out=x[0])
+        np.multiply(d, kept["dc"][t], out=x[2])
+        np.multiply(x[2], kept["dr"][t], out=x[1])
+        a[:2] = x[:2]
+        np.multiply(x[2], kept["r"][t], out=a[2])
+        np.matmul(a, weights, out=by_sum)
+        np.multiply(d, kept["z"][t], out=back)
+        np.add.reduce(by_sum, 0, out=inner)
+        back += inner
+        if starts[t]:
             back[fresh[:, t]] = 0
-    at, dx = at.reshape(source.shape).T.ravel(), dx.reshape(-1, 3 * WIDTH)
-    order = np.argsort(at, kind="stable")
-    table = np.add.reduceat(dx[order], np.searchsorted(at[order], np.arange(len(used))), axis=0)
-    grads["embed"][used] = table @ p["input"].T
-    grads["input"] += p["embed"][used].T @ table
-    grads["bias"] += table.sum(0)
-    touched = {"embed": used, "words": words, "word_bias": words}
-    n, size = max(1, len(logs)), 0.0
-    for k, g in grads.items():
-        own = g[touched[k]] if k in touched else g
-        own = own / n
-        size += float((own * own).sum())
-        g[touched.get(k, slice(None))] = own
-    if size > clip * clip:
-        for k, g in grads.items():
-            g[touched.get(k, slice(None))] *= clip / math.sqrt(size)
-    return states[-1], -float(logs.sum()) / n, touched
+    before = kept["before"].reshape(-1, WIDTH).T
+    for k in range(3):
+        grads["state"][:, k * WIDTH:(k + 1) * WIDTH] = before @ da[k].reshape(-1, WIDTH)
+    table = sums_by_row(dx.reshape(3, -1, WIDTH), at.T.ravel(), counts[used])
+    embed = table @ p["input"].T
+    np.matmul(p["embed"][used].T, table, out=grads["input"])
+    table.sum(0, out=grads["bias"])
+    n, touched = max(1, len(logs)), {"embed": used, "words": words}
+    parts = [embed, *(grads["words"][a:b] for a, b in words), *(grads[k] for k in ("input", "bias", "state", "classes"))]
+    size = math.sqrt(sum(float(np.vdot(g, g)) for g in parts)) / n
+    for g in parts:
+        g *= min(1.0, clip / size if size else 1.0) / n
+    grads["embed"][used] = embed
+    return states[-1].copy(), -float(logs.sum()) / n, touched
 
 
 def train_shard(flat: np.ndarray, v: Vocabulary, encoded: list[np.ndarray], rows: int = 512, steps: int = 32, rate: float = 0.01) -> np.ndarray:
     """One pass of truncated backpropagation (Adam) over the shard's documents."""
     flat = flat.copy()
     p, grads = split(flat, v), split(np.zeros_like(flat), v)
-    adam, state = Adam(p, rate), np.zeros((rows, WIDTH), np.float32)
+    adam, state, room = Adam(p, rate), np.zeros((rows, WIDTH), np.float32), Room()
     for docs, source, target, fresh, mask in lanes(encoded, rows, steps):
-        state, _, touched = window_gradient(p, v, grads, state[:len(docs)], source, target, fresh, mask)
+        state, _, touched = window_gradient(p, v, grads, state[:len(docs)], source, target, fresh, mask, room=room)
         adam.update(grads, touched)
     return flat
 
@@ -356,20 +468,22 @@ def train(texts: DataFrame, v: Vocabulary, share: int = 1, rounds: int = 1, shar
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(flat)
 
-        def one(frames):
+        def one(batches):
             learned, weight = now.value, 0
-            for frame in frames:
-                encoded = [v.encode(words_of(t)) for _, t in sorted(zip(frame["doc_id"].astype("string").fillna(""), frame["text"]))]
+            for batch in batches:
+                rows = pa.table({"doc_id": pc.fill_null(column(batch, "doc_id").cast(pa.string()), ""), "text": column(batch, "text")})
+                rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+                encoded = v.encode_all(rows.column("text").combine_chunks())
                 learned = train_shard(learned, v, encoded)
                 weight += sum(map(len, encoded))
             if weight:
-                yield pd.DataFrame({"weight": [weight], "learned": [learned.tobytes()]})
+                yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([learned.tobytes()], pa.binary())], ["weight", "learned"])
 
         def mean(a, b):
             n = a[0] + b[0]
             return n, (a[1] * (a[0] / n) + b[1] * (b[0] / n)).astype(np.float32)
 
-        _, flat = dealt.mapInPandas(one, "weight long, learned binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32))).treeReduce(mean, 3)
+        _, flat = dealt.mapInArrow(one, "weight long, learned binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32))).treeReduce(mean, 3)
     return flat
 
 
@@ -385,31 +499,35 @@ def score_documents(docs: DataFrame, mod: int = 7, left_out: int = 2, share: int
     end_log = math.log10(frequent.pop(END_WORD.encode(), 0) + 1)
     listed = sorted(frequent, key=lambda w: (-frequent[w], w))  # the model's words come first
     table = docs.sparkSession.sparkContext.broadcast(
-        ({w: k for k, w in enumerate(listed)}, np.log10(np.array([*(frequent[w] for w in listed), 0], np.float64) + 1)))
+        (pa.array(listed, pa.binary()).cast(pa.string()), np.log10(np.array([*(frequent[w] for w in listed), 0], np.float64) + 1)))
     in_model = len(v.ids)
 
-    def scan(frames):
-        (places, logs), end = table.value, np.array([END], np.int32)
-        place = places.get
-        for frame in frames:
-            for at in range(0, len(frame), 2048):
-                part, rows, encoded = frame.iloc[at:at + 2048], [], []
-                for doc_id, text in zip(part["doc_id"].astype("Int64"), part["text"]):
-                    words = words_of(text)
-                    found = np.array([place(w, -1) for w in words], np.int64)  # -1 is the last of logs, 0
-                    model = (found >= 0) & (found < in_model)
-                    encoded.append(np.concatenate([np.where(model, found + 2, UNKNOWN).astype(np.int32), end]))
-                    rare = Counter(words[i].decode("utf-8", "replace") for i in np.flatnonzero(found < 0))
-                    log = logs[found]
-                    rows.append((doc_id, len(words) + 1, int((found >= 0).sum()) + (total > 0), float(log.sum()) + end_log, float(log[~model].sum()),
-                                 int((~model).sum()), [{"word": w, "times": n} for w, n in rare.items()]))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_frequent", "base", "rest", "n_unknown", "rare"])
-                out["model"] = log_probabilities(flat.value, v, encoded) / math.log(10)
-                yield out.astype({"doc_id": "Int64"})
+    def scan(batches):
+        (known, logs), types = table.value, pa.struct([("word", pa.string()), ("times", pa.int64())])
+        for batch in batches:
+            encoded, parts = [], []
+            for at in range(0, len(batch), 2048):
+                words, counts = split_words(column(batch.slice(at, 2048), "text"))
+                found = pc.fill_null(pc.index_in(words, known), -1).to_numpy()  # -1 is the last of logs, 0
+                n, of = len(counts), np.repeat(np.arange(len(counts)), counts)
+                model, log, seldom = (found >= 0) & (found < in_model), logs[found], np.flatnonzero(found < 0)
+                encoded += with_ends(np.where(model, found, -1), counts)
+                rare = words.take(pa.array(seldom)).dictionary_encode()
+                size = max(1, len(rare.dictionary))
+                pairs, times = np.unique(of[seldom] * size + np.asarray(rare.indices), return_counts=True)
+                listing = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(pairs % size)), pa.array(times.astype(np.int64))], fields=list(types))
+                parts.append((counts + 1, np.bincount(of, found >= 0, n).astype(np.int64) + (total > 0), np.bincount(of, log, n) + end_log,
+                              np.bincount(of, np.where(model, 0, log), n), np.bincount(of, ~model, n).astype(np.int64),
+                              pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // size, np.arange(n + 1)).astype(np.int32)), listing)))
+            if parts:
+                *numbers, rare = zip(*parts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate(x)) for x in numbers), pa.concat_arrays(rare),
+                                                  pa.array(log_probabilities(flat.value, v, encoded, steps=128) / math.log(10))],
+                                                 ["doc_id", "n_tokens", "n_frequent", "base", "rest", "n_unknown", "rare", "model"])
 
     schema = ("doc_id long, n_tokens long, n_frequent long, base double, rest double, n_unknown long, "
               "rare array<struct<word:string,times:long>>, model double")
-    marked = saved(docs.mapInPandas(scan, schema).withColumn("row", F.monotonically_increasing_id()), "lm_rows")
+    marked = saved(docs.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()), "lm_rows")
     rare = (marked.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
             .join(counts.filter(F.col("n") < bound), "word")
             .groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs")))
