@@ -494,3 +494,25 @@ def test_pipeline(spark, smoke_dir):
             held = docs.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, smoke_dir)
     assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_embeddings_travel_once_for_each_group_not_for_each_near_interval(spark):
+    """All 2,000 vectors near each other in 125 intervals: a vector is in as many tiles as there are groups, and the sums are right."""
+    assert np.bincount(embedding_join.groups_of(np.full(1000, 2.0 ** 18), 6)).max() <= embedding_join.TILE_BYTES / 2 ** 18 + 1
+    assert embedding_join.groups_of(np.empty(0), 6).size == 0
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=24) + rng.normal(0, 0.25, (2000, 24)).astype(np.float32)
+    rows = [(i, bytearray(v.astype(np.float64).tobytes()), 1 + i % 3) for i, v in enumerate(x)]
+    pairs = embedding_join.near_pairs(spark.createDataFrame(rows, "node long, raw binary, copies long"), 0.95, block=16)
+    counted = pairs.filter("weight IS NOT NULL").groupBy("a").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).toPandas()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near @ (1 + np.arange(2000) % 3)
+    assert near.any(1).sum() > 1000 and not near.all()
+    assert dict(zip(counted["a"], counted["w"])) == {i: w for i, w in enumerate(want.tolist()) if w}
+    tasks = spark.sparkContext.defaultParallelism
+    assert counted["n"].max() <= math.ceil(math.sqrt(6 * tasks)) + 1 < 125
+    joined = sorted((r["a"], r["b"]) for r in pairs.filter("weight IS NULL").collect())
+    assert sorted(forest(joined)) == sorted(forest(zip(*(k.tolist() for k in np.nonzero(near)))))
+    assert len(joined) <= 2000 * (math.ceil(math.sqrt(6 * tasks)) + 1)

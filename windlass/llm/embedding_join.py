@@ -3,13 +3,16 @@
 Vectors of length one with cosine >= c lie within eps = sqrt(2 - 2c). Distinct vectors are projected on the
 leading principal axes (a projection never lengthens a distance), sorted by their eps grid cells in order of the
 axes, and cut into intervals of consecutive vectors. An interval knows the box of its projections. Two intervals
-whose boxes are more than eps apart are skipped; others are halved recursively, skipping distant halves, until they
-are small, and then every pair is compared by its cosine in double precision.
+whose boxes are more than eps apart are skipped; of others, the distant parts are skipped, and then every pair is
+compared: a product in single precision leaves out what is below the cosine by more than its error, the rest is decided
+in double precision.
 
 Scale: copies of a vector are one vector with a count (``copies``). The number of intervals is bounded (their length grows
-beyond), so the table of boxes that the tasks get is bounded. An equi-join on interval ids brings the two
-intervals of a surviving pair together, and each row of it is compared alone. Of its links, a row returns a
-count per vector and a spanning forest, so the output is bounded by the members, not by the pairs.
+beyond), so the table of boxes that the tasks get is bounded. Consecutive intervals form groups of ``TILE_BYTES`` (smaller ones
+where cores are left). A pair of groups is a tile, compared by one task; an interval travels to the tiles that hold an
+interval near it, at most one for each group. So what is shuffled is the table times the groups, not an interval for each surviving pair,
+and a task holds two groups. Of its links, a tile returns a count per vector and a spanning forest, so the output is
+bounded by the members, not by the pairs.
 
 Defined cases: null or zero vectors and vectors with null or non-finite components link with nothing; vectors of
 unlike length never link; the empty vector counts as zero. Rows repeated with the same vec_id are rows of their
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from windlass.llm.common import saved
 from windlass.llm.components import components
 
-AXES, SMALL, MAX_BLOCKS = 8, 64, 16_384
+AXES, SMALL, STRIP, MAX_BLOCKS = 8, 64, 512, 16_384
+#: Bytes of a group of intervals; a task holds two.
+TILE_BYTES = 16 * 2 ** 20
 SLACK = 1e-6
 
 
@@ -137,19 +142,33 @@ def apart(low_a, high_a, low_b, high_b) -> np.ndarray:
     return np.sqrt((np.maximum(0, np.maximum(low_a - high_b, low_b - high_a)) ** 2).sum(-1))
 
 
-def join_intervals(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, eps: float, cosine: float, found: list, i=0, j=0):
-    """Index pairs of linked vectors of two intervals (units and projections), recursively by halves."""
+def linked(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the units with at least that cosine. Single precision only leaves out pairs that are surely below."""
+    most = (a.shape[1] + 4) * 1.2e-7  # above the error of a product of units in single precision
+    x, y = np.nonzero(a.astype(np.float32) @ b.astype(np.float32).T >= np.float32(cosine - most))
+    if 16 * len(x) > len(a) * len(b):
+        return np.nonzero(a @ b.T >= cosine)
+    sure = np.einsum("ij,ij->i", a[x], b[y]) >= cosine
+    return x[sure], y[sure]
+
+
+def join_intervals(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, eps: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked vectors of two intervals (units and projections). Parts of ``SMALL`` vectors know their boxes;
+    a part is compared with the parts near it, a strip of parts at once where nothing is distant."""
     if apart(pa.min(0), pa.max(0), pb.min(0), pb.max(0)) > eps:
-        return
-    if max(len(a), len(b)) <= SMALL:
-        x, y = np.nonzero(a @ b.T >= cosine)
-        found.append((x + i, y + j))
-        return
-    ha, hb = (len(a) + 1) // 2, (len(b) + 1) // 2
-    for sa, oa in ((slice(0, ha), 0), (slice(ha, None), ha)):
-        for sb, ob in ((slice(0, hb), 0), (slice(hb, None), hb)):
-            if len(a[sa]) and len(b[sb]):
-                join_intervals(a[sa], b[sb], pa[sa], pb[sb], eps, cosine, found, i + oa, j + ob)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    low_a, high_a, low_b, high_b = (f.reduceat(p, np.arange(0, len(p), SMALL)) for p in (pa, pb) for f in (np.minimum, np.maximum))
+    found = []
+    for s in range(0, len(a), STRIP):
+        parts = slice(s // SMALL, (s + STRIP) // SMALL)
+        near = apart(low_a[parts, None], high_a[parts, None], low_b, high_b) <= eps
+        step = STRIP if near.all() else SMALL
+        for i in range(s, min(s + STRIP, len(a)), step):
+            at = np.flatnonzero(np.repeat(near[(i - s) // SMALL], SMALL)[:len(b)])
+            if len(at):
+                x, y = linked(a[i:i + step], b if len(at) == len(b) else b[at], cosine)
+                found.append((x + i, at[y]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,61 +190,84 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
+def groups_of(sizes: np.ndarray, tasks: int) -> np.ndarray:
+    """The group of each interval: runs of at most about ``TILE_BYTES``, and so many that their pairs keep the tasks busy."""
+    least = int(np.ceil(np.sqrt(6 * tasks)))
+    most = max(1.0, min(float(TILE_BYTES), sizes.sum() / least))
+    return np.unique(((np.cumsum(sizes) - sizes) // most).astype(np.int64), return_inverse=True)[1]
+
+
 def near_pairs(distinct: DataFrame, cosine: float = 0.9, block: int = 512) -> DataFrame:
-    """Rows (a, b, weight) from the interval pairs: weight null for a link of the forest, else the number of
-    rows that link with vector a in that pair of intervals (b is null)."""
+    """Rows (a, b, weight) from the tiles: weight null for a link of the forest, else the number of
+    rows that link with vector a in that tile (b is null)."""
     spark, eps = distinct.sparkSession, float(np.sqrt(2 - 2 * cosine)) + SLACK
     n = distinct.count()
     axes = principal_axes(distinct)
     block = max(block, -(-n // MAX_BLOCKS))
     blocks = saved(grid_blocks(distinct, axes, eps, block, n), "grid_blocks")
-    boxes = blocks.select("block", "dims", "low", "high").collect()  # at most about MAX_BLOCKS rows of 2 x AXES numbers
-    ids, dims = np.array([r[0] for r in boxes], np.int64), np.array([r[1] for r in boxes], np.int64)
-    low, high = (np.array([np.frombuffer(r[k]) for r in boxes]).reshape(-1, AXES) for k in (2, 3))
-    upper = spark.sparkContext.broadcast((ids, dims, low, high))
-
-    def partners(frames):
-        ids, dims, low, high = upper.value
+    held = ("nodes", "copies", "points", "scales", "members")
+    size = sum((F.length(c) for c in held[1:]), F.length(held[0]))
+    boxes = blocks.select("block", "dims", "low", "high", size.alias("size")).orderBy("block").collect()  # about MAX_BLOCKS rows of 2 x AXES numbers
+    dims, ids = np.array([r["dims"] for r in boxes], np.int64), np.array([r["block"] for r in boxes], np.int64)
+    low, high = (np.array([np.frombuffer(r[k]) for r in boxes]).reshape(-1, AXES) for k in ("low", "high"))
+    group = groups_of(np.array([r["size"] for r in boxes], np.float64), spark.sparkContext.defaultParallelism)
+    many = int(group.max(initial=-1)) + 1
+    upper = spark.sparkContext.broadcast((ids, dims, low, high, group))
+
+    def tiles(frames):
+        ids, dims, low, high, group = upper.value
         for frame in frames:
-            out = [pd.DataFrame({"block": [], "other": []}, dtype="int64")]
+            out = []
             for block, d, lo, hi in zip(frame["block"], frame["dims"], frame["low"], frame["high"]):
-                near = (apart(np.frombuffer(lo), np.frombuffer(hi), low, high) <= eps) & (dims == d) & (ids >= block)
-                out.append(pd.DataFrame({"block": block, "other": ids[near]}))
-            yield pd.concat(out)
-
-    def load(width, nodes, points, scales, members):
-        nodes, scales = np.frombuffer(nodes, np.int64), np.frombuffer(scales, np.float64)
-        kind = np.float32 if len(members) == 4 * width * len(nodes) else np.float64
-        x = np.frombuffer(members, kind).reshape(len(nodes), -1).astype(np.float64) * scales[:, None]
-        return nodes, x, np.frombuffer(points, np.float32).reshape(len(nodes), -1).astype(np.float64)
-
-    def compare(frames):
-        for frame in frames:
-            out = [pd.DataFrame({"a": [], "b": [], "weight": []}, dtype="Int64")]
-            for row in frame.itertuples(index=False):
-                na, a, pa = load(row.dims, row.nodes, row.points, row.scales, row.members)
-                nb, b, pb = load(row.dims, row.other_nodes, row.other_points, row.other_scales, row.other_members)
-                found: list = []
-                join_intervals(a, b, pa, pb, eps, cosine, found)
-                x = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-                y = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-                ca, cb = np.frombuffer(row.copies, np.int64), np.frombuffer(row.other_copies, np.int64)
-                same = row.block == row.other
-                if same:  # each pair is found both ways here, and each vector with itself
+                own = group[np.searchsorted(ids, block)]
+                near = np.unique(group[(apart(np.frombuffer(lo), np.frombuffer(hi), low, high) <= eps) & (dims == d)])
+                out.append((block, own, (np.minimum(own, near) * many + np.maximum(own, near)).tolist()))
+            yield pd.DataFrame(out, columns=["block", "group", "tiles"])
+
+    def load(row):
+        nodes, scales = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.scales, np.float64)
+        kind = np.float32 if len(row.members) == 4 * row.dims * len(nodes) else np.float64
+        x = np.frombuffer(row.members, kind).reshape(len(nodes), -1).astype(np.float64) * scales[:, None]
+        return x, np.frombuffer(row.points, np.float32).reshape(len(nodes), -1).astype(np.float64), np.frombuffer(row.copies, np.int64)
+
+    def compare(tile):
+        rows = list(tile.sort_values("block").itertuples(index=False))
+        nodes = [np.frombuffer(r.nodes, np.int64) for r in rows]
+        start = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
+        low, high = (np.array([np.frombuffer(x) for x in tile.sort_values("block")[k]]) for k in ("low", "high"))
+        dims, group = np.array([r.dims for r in rows]), np.array([r.group for r in rows])
+        across = group[0] != group[-1]
+        label, degree = np.arange(start[-1]), np.zeros(start[-1], np.int64)
+        for i, row in enumerate(rows):
+            near = (apart(low[i], high[i], low, high) <= eps) & (dims == row.dims) & (np.arange(len(rows)) >= i)
+            if across:  # two intervals of one group are compared in that group's own tile
+                near &= group != group[i]
+            if not near.any():
+                continue
+            a, pa, ca = load(row)
+            for j in np.flatnonzero(near):
+                b, pb, cb = (a, pa, ca) if i == j else load(rows[j])
+                x, y = join_intervals(a, b, pa, pb, eps, cosine)
+                if i == j:  # each pair is found both ways here, and each vector with itself
                     x, y = x[x != y], y[x != y]
-                degree = [(na, np.bincount(x, cb[y], len(na)))] + ([] if same else [(nb, np.bincount(y, ca[x], len(nb)))])
-                for nodes, links in degree:
-                    some = links > 0
-                    out.append(pd.DataFrame({"a": nodes[some], "b": pd.array([None] * int(some.sum()), "Int64"), "weight": links[some].astype(np.int64)}))
-                p, q = stars(na[x], nb[y])
-                out.append(pd.DataFrame({"a": p, "b": q, "weight": pd.array([None] * len(p), "Int64")}))
-            yield pd.concat(out)[["a", "b", "weight"]].astype("Int64")
-
-    pairs = blocks.select("block", "dims", "low", "high").mapInPandas(partners, "block long, other long")
-    held = ("nodes", "copies", "points", "scales", "members")
-    left = blocks.select("block", "dims", *held)
-    right = blocks.select(F.col("block").alias("other"), *(F.col(c).alias(f"other_{c}") for c in held))
-    return pairs.join(left, "block").join(right, "other").mapInPandas(compare, "a long, b long, weight long")
+                else:
+                    degree[start[j]:start[j + 1]] += np.bincount(y, ca[x], len(b)).astype(np.int64)
+                degree[start[i]:start[i + 1]] += np.bincount(x, cb[y], len(a)).astype(np.int64)
+                p, q = label[x + start[i]], label[y + start[j]]
+                if (new := p != q).any():
+                    p, q = stars(p[new], q[new])
+                    least = np.arange(len(label))
+                    least[p] = q
+                    label = least[label]
+        nodes, some, own = np.concatenate(nodes), degree > 0, label != np.arange(len(label))
+        return pd.concat([pd.DataFrame({"a": nodes[some], "b": pd.array([None] * int(some.sum()), "Int64"), "weight": degree[some]}),
+                          pd.DataFrame({"a": nodes[own], "b": nodes[label[own]], "weight": pd.array([None] * int(own.sum()), "Int64")})]
+                         )[["a", "b", "weight"]].astype("Int64")
+
+    placed = blocks.select("block", "dims", "low", "high").mapInPandas(tiles, "block long, group long, tiles array<long>")
+    dealt = (blocks.join(F.broadcast(placed), "block").select("block", "dims", "low", "high", *held, "group", F.explode("tiles").alias("tile"))
+             .repartitionByRange(max(1, many * (many + 1) // 2), "tile"))
+    return dealt.groupBy("tile").applyInPandas(compare, "a long, b long, weight long")
 
 
 def near_groups(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
