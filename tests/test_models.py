@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from windlass.plans import boosting
+from windlass.plans import binned_trees, boosting
 from windlass.plans import models as ml
 from windlass.plans.features import feature_names, feature_table
 from windlass.sources import standins as sv
@@ -165,3 +165,117 @@ def test_direction_fits_read_rows_spread_over_the_cores(spark, smoke_dir, monkey
     assert len(out) == 2 and len({r["test_rows"] for r in out}) == 1
     cores = spark.sparkContext.defaultParallelism
     assert made["direction_rows"] == cores and all(1 < n <= cores for n in seen)
+
+
+def test_many_parts_train_the_trees_of_spark_ml_over_shared_rows(spark, monkeypatch):
+    """Rows of more than one part make the same ensembles as Spark ML does of one part, without an ensemble's own copy of the rows."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3000, 5))
+    x[:, 3], x[:, 4] = rng.integers(0, 2, 3000), rng.integers(0, 24, 3000)
+    label = np.where(np.hypot(x[:, 0], x[:, 1]) < 0.6, "core", np.where(x[:, 2] + 0.7 * x[:, 0] + 0.5 * x[:, 3] + rng.normal(0, 0.3, 3000) > 0, "up", "low"))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcde")).assign(flat=2.0, label=label)).repartition(3).cache()
+    weight, feats = F.when(F.col("label") == "core", 4.0).otherwise(1.5), [*"abcde", "flat"]
+    one = boosting.boost_classes(df, feats, "label", weight, rounds=6, depth=4)
+    monkeypatch.setattr(boosting, "LEAST_BYTES", 1000)
+    monkeypatch.setattr(boosting, "GBTClassifier", None)  # before, each class trained on binned rows of its own
+    many = boosting.boost_classes(df, feats, "label", weight, rounds=6, depth=4)
+    a, b = (m.transform(df).orderBy("a").toPandas() for m in (one, many))
+    np.testing.assert_allclose(np.stack(a.probabilities), np.stack(b.probabilities), atol=1e-9)
+    assert (a.predicted_label == b.predicted_label).all() and many.labels == one.labels
+    np.testing.assert_allclose([v for _, v in many.importances()], [v for _, v in one.importances()], atol=1e-9)
+    assert [f for f, _ in many.importances()] == [f for f, _ in one.importances()]
+
+
+def test_boosted_values_of_many_parts_equal_spark_ml(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2500, 4))
+    y = np.stack([np.sin(x[:, 0] * 2) + rng.normal(0, 0.2, 2500), np.abs(x[:, 1]) * x[:, 2]], 1)
+    df = spark.createDataFrame(pd.DataFrame(np.hstack([x, y]), columns=["a", "b", "c", "d", "y0", "y1"])).repartition(2)
+    rows = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(df).cache()
+    binned = rows.select(vector_to_array("features").alias("__x"), "y0", "y1", F.lit(1.0).alias("__w"))
+    trees, layout = binned_trees.boost(binned, ["__x"], ["y0", "y1"], 2500, 2500.0, float(np.abs(y).max()), 0, 8, 0.1, 5, 42)
+    for t, target in zip(trees, ("y0", "y1")):
+        new = binned_trees.spark_model(spark, t, layout, 0.1, False).setFeaturesCol("features").setPredictionCol("p")
+        old = GBTRegressor(featuresCol="features", labelCol=target, maxIter=8, maxDepth=5, stepSize=0.1, seed=42, predictionCol="q").fit(rows.coalesce(1))
+        r = old.transform(new.transform(rows)).select("p", "q").toPandas()
+        np.testing.assert_allclose(r.p, r.q, atol=1e-9)
+
+
+class Parts(list):
+    """Parts of blocks, with the calls that growing a tree makes."""
+
+    def getNumPartitions(self):
+        return len(self)
+
+    def mapPartitions(self, f):
+        return Parts(list(f(iter(p))) for p in self)
+
+    def treeReduce(self, f, depth):
+        out = None
+        for p in self:
+            for x in p:
+                out = x if out is None else f(out, x)
+        return out
+
+
+def test_trees_do_not_depend_on_dealing_or_on_what_workers_remember(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.hstack([rng.normal(size=(4000, 3)), rng.integers(0, 2, (4000, 8))])
+    x[::9, 1], x[:, 2] = np.nan, 5.0
+    y, w = (x[:, 0] > 0.3).astype(int) + (x[:, 3] * x[:, 4]).astype(int), rng.choice([0.1, 1.0, 325.0], 4000)
+    layout = binned_trees.Layout([binned_trees.cuts_of(v, w) for v in x.T], binned_trees.CELLS)
+    assert layout.group[2] == -1 and max(layout.sizes) <= binned_trees.CELLS and len(layout.sizes) == 2  # 32 x 32 and eight of two
+    codes = layout.codes(list(x.T))
+
+    def grown(deal, room):
+        monkeypatch.setattr(binned_trees, "HELD_BYTES", room)
+        job = binned_trees.Job(f"{deal}{room}", layout, True, 0.1, 4, 3, (2.0 ** 30, 2.0 ** 28), [[], [], []])
+        parts = Parts([(f"{i}-{j}", len(rows), codes[:, rows].tobytes(), w[rows].tobytes(), y[rows].astype(np.int32).tobytes())
+                       for j, rows in enumerate(np.array_split(part, 3))] for i, part in enumerate(np.array_split(rng.permutation(4000), deal)))
+        for _ in range(4):
+            binned_trees._grown(parts, job)
+            for trees, tree in zip(job.done, job.growing):
+                trees.append(tree)
+        binned_trees._held.clear()
+        return [np.concatenate([t.feature, t.cut, t.value, t.weight, t.gain]) for trees in job.done for t in trees]
+
+    first = grown(1, 2 ** 27)
+    assert all((t[:32] >= 0).sum() > 3 for t in first)
+    for deal, room in ((1, 0), (5, 2 ** 27), (3, 20_000)):  # nothing, all, some blocks remembered
+        for a, b in zip(first, grown(deal, room)):
+            np.testing.assert_array_equal(a, b)
+
+
+def test_thresholds_hold_missing_values_apart():
+    assert binned_trees.cuts_of(np.array([1.0, 3.0, np.nan, 3.0]), np.ones(4)).tolist() == [2.0, 3.0]
+    assert binned_trees.cuts_of(np.array([7.0, 7.0]), np.ones(2)).tolist() == [] == binned_trees.cuts_of(np.array([np.nan]), np.ones(1)).tolist()
+    x = np.random.default_rng(1).normal(size=20_000)
+    cuts = binned_trees.cuts_of(x, np.ones(20_000))
+    assert len(cuts) == binned_trees.BINS - 1 and np.bincount(np.searchsorted(cuts, x)).max() < 700
+
+
+def test_feature_rows_with_any_null_are_dropped_by_few_columns(spark, smoke_dir):
+    """The filter reads a part of the 144 columns, and drops the same rows as one on all of them: nulls and divisors of 0."""
+    from windlass.plans import features
+    named = [c if k == 0 else f"{c}_lag{k}" for k in range(4) for c in [*features.RAW, *features.DERIVED]]
+    assert len(named) == 144 and set(features.may_be_null()) < set(named) and len(features.may_be_null()) < 50
+    rng = np.random.default_rng(13)
+    obs = sv.obs(spark, smoke_dir).limit(600).toPandas()
+    for c in features.RAW:
+        obs[c] = obs[c].fillna(1.0).mask(rng.random(len(obs)) < 0.02)
+    obs["station"], obs["coco"] = 1, 5
+    obs.loc[40::97, "rhum"], obs.loc[50::89, "wspd"], obs.loc[60::101, "pres"] = -0.01, -0.01, -10.0
+    g = {k: 1.0 for k in ("pres_mean", "temp_mean", "pres_q10", "wspd_q90", "temp_q10", "temp_q90")}
+    df = spark.createDataFrame(obs.astype(object).where(obs.notna(), None), sv.obs(spark, smoke_dir).schema)
+    st = sv.stations(spark, smoke_dir)
+    got = feature_table(df, st, g)
+    pandas = got.toPandas()
+    assert 50 < len(pandas) < 500 and not pandas[named].isna().any().any()
+    every, features_null = list(named), features.may_be_null
+    try:
+        features.may_be_null = lambda: every
+        assert sorted(feature_table(df, st, g).toPandas()["time"]) == sorted(pandas["time"])
+    finally:
+        features.may_be_null = features_null

@@ -184,6 +184,15 @@ def enhanced_columns(lat: str = "latitude", lon: str = "longitude") -> dict[str,
     return out
 
 
+def may_be_null() -> list[str]:
+    """Columns of which one is null wherever any of the 36 base columns or their lags is: raw values, the differences that reach furthest
+    back, quotients (null where the divisor is 0) and the deviation from a mean. The filter on them costs a part of one on all 144, whose
+    expressions Spark would evaluate once for the filter and once for the result."""
+    quotients = [c for c in DERIVED if c.endswith("_ratio")]
+    lagged = [c if k == 0 else f"{c}_lag{k}" for k in range(max(LAGS) + 1) for c in [*RAW, *quotients]]
+    return [*lagged, *[f"{c}_change_lag{max(LAGS)}" for c in DIFF_COLS], "pres_deviation"]
+
+
 def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """The classifier's table: 36 base columns (6 raw + 30 derived), their lags 1-3,
     coordinates, 24 enhanced columns and the 4-class label (codes 23-27 removed).
@@ -206,7 +215,7 @@ def feature_table(obs: DataFrame, stations: DataFrame, thresholds: dict[str, flo
     place = ["latitude", "longitude", "elevation"]
     j = lagged.join(maybe_broadcast(stations.select("station", *place)), "station", "left")
     own = ["station", "time", "coco"]
-    wide = drop_any_null(j.select(*own, *[v.alias(n) for n, v in cols.items()], *place), [*own, *cols])
+    wide = drop_any_null(j.select(*own, *[v.alias(n) for n, v in cols.items()], *place), [*own, *may_be_null()])
     e = wide.withColumns(enhanced_columns())
     e = e.filter(~F.col("coco").isin(23, 24, 25, 26, 27))
     return e.withColumn("condition", condition_group_4("coco"))
