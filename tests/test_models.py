@@ -279,3 +279,11 @@ def test_feature_rows_with_any_null_are_dropped_by_few_columns(spark, smoke_dir)
         assert sorted(feature_table(df, st, g).toPandas()["time"]) == sorted(pandas["time"])
     finally:
         features.may_be_null = features_null
+
+
+def test_direction_trees_of_many_parts_share_rows(spark, smoke_dir, monkeypatch):
+    monkeypatch.setattr(boosting, "LEAST_BYTES", 1000)
+    monkeypatch.setattr(ml, "GBTRegressor", None)  # before, each target trained on binned rows of its own
+    out = {r["model"]: r for r in ml.direction_model(sv.obs(spark, smoke_dir), sv.stations(spark, smoke_dir), gbt_iter=3).collect()}
+    assert set(out) == {"LinearRegression", "GradientBoostedTrees"} and sum(r["best"] for r in out.values()) == 1
+    assert len({r["test_rows"] for r in out.values()}) == 1
