@@ -203,6 +203,14 @@ def test_boosted_values_of_many_parts_equal_spark_ml(spark):
         np.testing.assert_allclose(r.p, r.q, atol=1e-9)
 
 
+def test_many_parts_reject_weights_and_targets_that_spark_ml_rejects(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "LEAST_BYTES", 100)
+    df = spark.range(0, 200).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("label"))
+    for weight in (F.lit(-1.0), F.when(F.col("a") > 5, 1.0)):
+        with pytest.raises(Exception, match="weights of at least 0"):
+            boosting.boost_classes(df, ["a"], "label", weight, rounds=1)
+
+
 class Parts(list):
     """Parts of blocks, with the calls that growing a tree makes."""
 
@@ -251,6 +259,7 @@ def test_trees_do_not_depend_on_dealing_or_on_what_workers_remember(monkeypatch)
 def test_thresholds_hold_missing_values_apart():
     assert binned_trees.cuts_of(np.array([1.0, 3.0, np.nan, 3.0]), np.ones(4)).tolist() == [2.0, 3.0]
     assert binned_trees.cuts_of(np.array([7.0, 7.0]), np.ones(2)).tolist() == [] == binned_trees.cuts_of(np.array([np.nan]), np.ones(1)).tolist()
+    assert binned_trees.cuts_of(np.array([-np.inf, np.inf, 1e308, 1.7e308]), np.ones(4)).tolist() == [-np.inf, 1e308, 1.7e308]
     x = np.random.default_rng(1).normal(size=20_000)
     cuts = binned_trees.cuts_of(x, np.ones(20_000))
     assert len(cuts) == binned_trees.BINS - 1 and np.bincount(np.searchsorted(cuts, x)).max() < 700
